@@ -236,7 +236,6 @@ PARKING = {
     "cashparking.com": "GoDaddy CashParking",
     "parkingpage": "parking chung",
 }
-MAX_BODY_BYTES = 256 * 1024
 
 # Networks that are not public (besides the classes the standards name).
 NON_PUBLIC = """

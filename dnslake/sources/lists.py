@@ -75,7 +75,7 @@ def guard_drop(new: DataFrame, previous: DataFrame,
     a = new.groupBy("source_id").agg(F.count("*").alias("new_count"))
     b = previous.groupBy("source_id").agg(F.count("*").alias("prev_count"))
     joined = b.join(a, "source_id", "full").fillna(0, ["new_count", "prev_count"])
-    ratio = F.col("new_count") / F.col("prev_count")
+    ratio = F.try_divide("new_count", "prev_count")
     return joined.withColumn(
         "status",
         F.when((F.col("prev_count") > 0) & (ratio < min_ratio), "suspicious_drop").otherwise("ok"))

@@ -114,19 +114,33 @@ def export_manifest(queries: DataFrame, resolutions: DataFrame, from_: str, to:
     return one(queries, "queries").unionByName(one(resolutions, "resolutions"))
 
 
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """Size and SHA-256 of every part file under ``path``, one file per task row."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+            .select(F.regexp_extract("path", r"[^/]+/[^/]+$", 0).alias("file"),
+                    F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+
+
 def export_case(queries: DataFrame, resolutions: DataFrame, from_: str, to: str,
-                out: str, max_days: int = 400) -> None:
-    """Write both parts of a case as NDJSON beside their manifest."""
+                out: str, max_days: int = 400, rows_per_file: int = 1_000_000) -> None:
+    """Write both parts of a case as NDJSON in time order, with manifest and file hashes.
+
+    Files are bounded by ``rows_per_file``, so that hashing one fits a task.
+    """
     spark = queries.sparkSession
     span = spark.range(1).select(F.unix_timestamp(F.lit(to).cast("timestamp"))
                                  - F.unix_timestamp(F.lit(from_).cast("timestamp")))
     if span.first()[0] > max_days * 86400:
         raise ValueError(f"range is longer than {max_days} days")
     notes = ["client addresses are those seen at the mirror", "times are those of receipt"]
-    queries.orderBy("at").write.mode("errorifexists").json(f"{out}/queries")
-    resolutions.orderBy("last_seen").write.mode("errorifexists").json(f"{out}/resolutions")
+    for df, part, order in ((queries, "queries", "at"), (resolutions, "resolutions", "last_seen")):
+        (df.orderBy(order).write.mode("errorifexists")
+         .option("maxRecordsPerFile", rows_per_file).json(f"{out}/{part}"))
     manifest = export_manifest(spark.read.schema(queries.schema).json(f"{out}/queries"),
                                spark.read.schema(resolutions.schema).json(f"{out}/resolutions"),
                                from_, to)
     (manifest.withColumn("limitations", F.lit(notes)).coalesce(1)
      .write.mode("errorifexists").json(f"{out}/manifest"))
+    hashes = file_hashes(spark, f"{out}/queries").unionByName(
+        file_hashes(spark, f"{out}/resolutions"))
+    hashes.write.mode("errorifexists").json(f"{out}/files")
