@@ -80,14 +80,12 @@ def keyword_hit(name: Column | str, keywords: Mapping[str, Iterable[str]]) -> Co
     pairs = [(w, c) for c, words in keywords.items() for w in words]
     if not pairs:
         return F.lit(None).cast("struct<word:string,category:string>")
-    # One pass rejects the names without any keyword, the ordered chain runs on the rest only.
+    # One pass rejects the names without any keyword, the ordered list is walked for the rest only.
     any_word = "|".join(re.escape(w) for w, _ in pairs)
-    chain = None
-    for word, category in pairs:
-        value = F.struct(F.lit(word).alias("word"), F.lit(category).alias("category"))
-        test = name.contains(word)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return F.when(name.rlike(any_word), chain)
+    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(c).alias("category"))
+                      for w, c in pairs])
+    first = F.get(F.filter(table, lambda k: name.contains(k["word"])), F.lit(0))
+    return F.when(name.rlike(any_word), first)
 
 
 def suffix_hit(host: Column | str, known: Iterable[str]) -> Column:
@@ -126,9 +124,9 @@ def protecting_rule(name: Column | str, soft: Iterable[str] = ()) -> Column:
     soft_rules = [s.strip().lower() for s in soft if s.strip()]
 
     def first_of(rules: list[str]) -> Column:
-        return F.coalesce(*[
-            F.when((name == r) | name.endswith("." + r), F.lit(r)) for r in rules
-        ], F.lit(None).cast("string"))
+        table = F.array(*[F.lit(r) for r in rules])
+        return F.get(F.filter(table, lambda r: (name == r) | name.endswith(
+            F.concat(F.lit("."), r))), F.lit(0))
 
     # The regex screens out almost every name before the ordered list is walked.
     screen = r"(?:^|\.)(" + "|".join(re.escape(r) for r in refdata.HARD_PROTECTED) + r")$"

@@ -8,15 +8,18 @@ function.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dnslake import refdata
 
 V4_PREFIX = "0" * 20 + "ffff"
-_V4_TEXT = r"^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})$"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4_TEXT = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
 
 
 def _col(c: Column | str) -> Column:
@@ -34,25 +37,31 @@ def _text6(key: str | None) -> str | None:
     return None if key is None else str(ipaddress.IPv6Address(int(key, 16)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _parse_v6(text: pd.Series) -> pd.Series:
     return text.map(_hex6)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _format_v6(key: pd.Series) -> pd.Series:
     return key.map(_text6)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` refers to it.
+
+    Catalyst copies an expression into every place that refers to it; a lambda variable is not
+    copied, which keeps plans small.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def v4_number(ip: Column | str) -> Column:
     """IPv4 text to a number, null when it is not IPv4."""
     ip = _col(ip)
-    octets = [F.regexp_extract(ip, _V4_TEXT, i).try_cast("long") for i in range(1, 5)]
-    value = sum((o * (1 << (8 * (3 - i))) for i, o in enumerate(octets)), F.lit(0))
-    ok = octets[0] <= 255
-    for o in octets[1:]:
-        ok = ok & (o <= 255)
-    return F.when(ok, value)
+    value = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"),
+                        lambda acc, octet: acc * 256 + octet.cast("long"))
+    return F.when(ip.rlike(_V4_TEXT), value)
 
 
 def v4_text(number: Column | str) -> Column:
@@ -90,11 +99,17 @@ def ip_text(key: Column | str, allow_v6: bool = True) -> Column:
 
 def mask_key(key: Column | str, bits: Column | int) -> Column:
     """Keep the first ``bits`` of 128 bits, set the rest to zero."""
-    key = _col(key)
+    if isinstance(bits, int):
+        return _masked(_col(key), bits)
+    pair = F.struct(_col(key).alias("key"), bits.cast("int").alias("bits"))
+    return bound(pair, lambda p: _masked(p["key"], p["bits"]))
+
+
+def _masked(key: Column, bits: Column | int) -> Column:
     bits = F.lit(bits) if isinstance(bits, int) else bits
     whole = F.floor(bits / 4).cast("int")
     rest = (bits % 4).cast("int")
-    keep = F.lit(16) - F.element_at(F.array(*[F.lit(16 >> i) for i in range(4)]), rest + 1)
+    keep = F.element_at(F.array(*[F.lit(16 - (16 >> i)) for i in range(4)]), rest + 1)
     digit = F.conv(F.substr(key, whole + 1, F.lit(1)), 16, 10).cast("int")
     partial = F.when(rest == 0, F.lit("")).otherwise(
         F.lower(F.hex(digit.bitwiseAND(keep).cast("long"))))
@@ -105,14 +120,19 @@ def parse_prefix(field: Column | str, allow_v6: bool = True) -> Column:
     """``addr`` or ``addr/bits`` to ``struct(key, bits)`` over 128 bits, host bits cleared."""
     field = _col(field)
     addr = F.substring_index(field, "/", 1)
-    key = ip_key(addr, allow_v6)
-    text_bits = F.regexp_extract(field, r"^[^/]+/([0-9]{1,3})$", 1).try_cast("int")
-    width = F.when(F.contains(addr, F.lit(":")), 128).otherwise(32)
-    bits = F.when(~F.contains(field, F.lit("/")), width).otherwise(
-        F.when((text_bits >= 0) & (text_bits <= width), text_bits))
-    full = F.when(width == 32, bits + 96).otherwise(bits)
-    return F.when(key.isNotNull() & full.isNotNull(),
-                  F.struct(mask_key(key, full).alias("key"), full.cast("int").alias("bits")))
+    text = F.regexp_extract(field, r"^[^/]+/([0-9]{1,3})$", 1).try_cast("int")
+    v6 = F.contains(addr, F.lit(":"))
+    raw = F.struct(ip_key(addr, allow_v6).alias("key"), text.alias("bits"), v6.alias("v6"),
+                   F.contains(field, F.lit("/")).alias("masked"))
+
+    def read(p: Column) -> Column:
+        width = F.when(p["v6"], 128).otherwise(32)
+        bits = F.when(~p["masked"], width).when(p["bits"] <= width, p["bits"])
+        full = F.when(p["v6"], bits).otherwise(bits + 96)
+        return F.when(p["key"].isNotNull() & full.isNotNull(), F.struct(
+            mask_key(p["key"], full).alias("key"), full.cast("int").alias("bits")))
+
+    return bound(raw, read)
 
 
 def prefix_text(key: Column | str, bits: Column | str, allow_v6: bool = True) -> Column:
@@ -141,5 +161,5 @@ def is_public_ip(key: Column | str) -> Column:
 
 def ips_of(df: DataFrame, ip: str = "ip", allow_v6: bool = True) -> DataFrame:
     """Distinct addresses with their key; unreadable ones are left out."""
-    return (df.select(ip).distinct().withColumn("ip_key", ip_key(ip, allow_v6))
-            .where(F.col("ip_key").isNotNull()))
+    readable = F.array_compact(F.array(ip_key(ip, allow_v6)))
+    return df.select(ip).distinct().withColumn("ip_key", F.explode(readable))

@@ -129,13 +129,13 @@ def metric_summary(metrics: DataFrame, from_: str, to: str, columns: list[str],
 def call_usage(calls: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Model calls of the last days: requests, names, verdicts, failures, characters."""
     def total(c: str):
-        return F.coalesce(F.sum(c), F.lit(0)).alias(c.replace("_count", "s"))
+        return F.coalesce(F.sum(c), F.lit(0))
 
     return calls.where(F.col("created_at") >= cutoff(as_of, days)).agg(
-        F.count("*").alias("requests"), total("domain_count"), total("parsed_count"),
+        F.count("*").alias("requests"), total("domain_count").alias("domains"),
+        total("parsed_count").alias("verdicts"),
         F.count_if(F.col("error") != "").alias("failed"),
-        F.coalesce(F.sum("prompt_chars"), F.lit(0)).alias("prompt_chars"),
-        F.coalesce(F.sum("reply_chars"), F.lit(0)).alias("reply_chars"),
+        total("prompt_chars").alias("prompt_chars"), total("reply_chars").alias("reply_chars"),
         F.max("created_at").alias("last_at"))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
+def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int | Column,
             salts: int = 64) -> DataFrame:
-    """First ``n`` rows of every key in the given (total) order, exactly.
+    """First ``n`` rows of every key in the given (total) order, exactly.  ``n`` may depend on the
+    key.
 
     Every salt share of a key keeps its own first ``n``; the winners meet in a second step that
     sees at most ``salts * n`` rows per key, however hot the key is.

@@ -278,12 +278,9 @@ def eval_sample(scored: DataFrame, per_band: Mapping[str, int] | None = None) ->
     band = (F.when(F.col("score") < 3, "under").when(F.col("score") < 5.5, "near")
             .when(F.col("score") < 8, "over").otherwise("far"))
     rows = scored.withColumn("band", band).withColumn("_h", F.xxhash64("name"))
-    parts = [first_n(rows.where(F.col("band") == b), ["band"], [F.col("_h"), F.col("name")], n)
-             for b, n in sizes.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("_h")
+    wanted = F.coalesce(*[F.when(F.col("band") == b, F.lit(n)) for b, n in sizes.items()],
+                        F.lit(0))
+    return first_n(rows, ["band"], [F.col("_h"), F.col("name")], wanted).drop("_h")
 
 
 def precision_recall(predicted: DataFrame, labels: DataFrame, key: str = "name") -> DataFrame:

@@ -140,8 +140,9 @@ def _wide_enough(p: Column) -> Column:
 
 
 def _prefixes(fields: DataFrame, source: str, priority: int, allow_v6: bool) -> DataFrame:
-    rows = fields.select(nets.parse_prefix("field", allow_v6).alias("_p"))
-    return (rows.where(F.col("_p").isNotNull() & _wide_enough(F.col("_p")))
+    usable = F.filter(F.array(nets.parse_prefix("field", allow_v6)),
+                      lambda p: p.isNotNull() & _wide_enough(p))
+    return (fields.select(F.explode(usable).alias("_p"))
             .select(F.col("_p.key").alias("net_key"), F.col("_p.bits").alias("bits")).distinct()
             .withColumn("source", F.lit(source)).withColumn("priority", F.lit(priority)))
 
