@@ -32,16 +32,20 @@ def preceded_within(df: DataFrame, key: str, other: str, ts: str, gap: int,
             .withColumn("preceded", preceded).drop("_s", "_own", "_cell", "_lo", "_hi"))
 
 
+def per_second(events: DataFrame, client: str = "client_id") -> DataFrame:
+    """Queries per (client, name, second): what both measures below start from."""
+    return (events.groupBy(client, "name", "etld1",
+                           F.date_trunc("second", "occurred_at").alias("occurred_at"))
+            .agg(F.count("*").alias("_n")))
+
+
 def third_party_ratio(events: DataFrame, gap: int = 3, min_total: int = 5,
                       client: str = "client_id") -> DataFrame:
     """Share of a name's queries that follow a query to another registrable name.
 
     Equal queries of one second are counted first, so repeated names shrink early.
     """
-    counted = (events.groupBy(client, "name", "etld1",
-                              F.date_trunc("second", "occurred_at").alias("occurred_at"))
-               .agg(F.count("*").alias("_n")))
-    flagged = preceded_within(counted, client, "etld1", "occurred_at", gap)
+    flagged = preceded_within(per_second(events, client), client, "etld1", "occurred_at", gap)
     return (flagged.groupBy("name").agg(
         F.sum("_n").alias("sample_size"),
         F.sum(F.when(F.col("preceded"), F.col("_n")).otherwise(0)).alias("third_party"))
@@ -53,17 +57,23 @@ def interval_cv(events: DataFrame, first: int = 2000, keys: tuple[str, ...] = ("
                 ) -> DataFrame:
     """Population deviation over mean of the positive gaps among a name's earliest events.
 
-    0 with fewer than three events or two gaps.  Only the earliest ``first`` events per key reach
-    the window, see :func:`first_n`; events of one second count each, as equal times.
+    0 with fewer than three events or two gaps.  With the client among the keys, regularity is
+    judged per client.
     """
-    keys = list(keys)
-    seconds = events.select(*keys, F.unix_seconds("occurred_at").alias("_s"))
-    # Equal seconds are interchangeable: keep them as counts, expand nothing.
-    per_second = seconds.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
-    early = first_n(per_second, keys, [F.col("_s")], first)
+    rows = events.select(*keys, F.date_trunc("second", "occurred_at").alias("occurred_at"),
+                         F.lit(1).alias("_n"))
+    return _regularity(rows, list(keys), first)
+
+
+def _regularity(rows: DataFrame, keys: list[str], first: int) -> DataFrame:
+    """Events of one second are equal in time, so they stay one row with a count.  Only the
+    earliest seconds of a key reach the window, see :func:`first_n`."""
+    seconds = rows.groupBy(*keys, F.unix_seconds("occurred_at").alias("_s")).agg(
+        F.sum("_n").alias("_n"))
     by_time = Window.partitionBy(*keys).orderBy("_s")
     seen = F.sum("_n").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    ordered = (early.withColumn("_seen", F.coalesce(seen, F.lit(0)))
+    ordered = (first_n(seconds, keys, [F.col("_s")], first)
+               .withColumn("_seen", F.coalesce(seen, F.lit(0)))
                .where(F.col("_seen") < first)
                .withColumn("_taken", F.least(F.col("_n"), F.lit(first) - F.col("_seen")))
                .withColumn("_gap", F.col("_s") - F.lag("_s").over(by_time)))
@@ -77,8 +87,11 @@ def interval_cv(events: DataFrame, first: int = 2000, keys: tuple[str, ...] = ("
 
 def behavior(events: DataFrame, gap: int = 3, min_total: int = 5,
              client: str = "client_id") -> DataFrame:
-    """Behaviour table: ratio, regularity and sample size per name."""
-    return (third_party_ratio(events, gap, min_total, client)
-            .join(interval_cv(events), "name", "left")
+    """Behaviour table: ratio, regularity and sample size per name.
+
+    Both measures read the counted log, whose shuffle Spark reuses: the log is scanned once.
+    """
+    regular = _regularity(per_second(events, client), ["name"], 2000)
+    return (third_party_ratio(events, gap, min_total, client).join(regular, "name", "left")
             .select("name", "third_party_ratio",
                     F.coalesce("interval_cv", F.lit(0.0)).alias("interval_cv"), "sample_size"))

@@ -86,9 +86,9 @@ def list_entries(spark: SparkSession, sf: str) -> DataFrame:
         .alias("domain")).distinct()
 
 
-def name_entries(spark: SparkSession, sf: str) -> DataFrame:
+def name_entries(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
     """Public list entries about the event names, some roots and one CNAME target."""
-    d = domains(spark, sf).select("name", "etld1", "k")
+    d = (domains(spark, sf) if names is None else names).select("name", "etld1", "k")
     names = d.where((F.col("k") % 10).isin(1, 2)).select(
         (F.col("k") % 3).alias("source_id"), F.col("name").alias("domain"))
     roots = d.where(F.col("etld1") == "click.example").select(
@@ -105,10 +105,10 @@ def list_sources_table(spark: SparkSession, sf: str) -> DataFrame:
         _case(F.col("n_nationkey") % 3, {0: "ads", 1: "malware"}).alias("category"))
 
 
-def facts(spark: SparkSession, sf: str) -> DataFrame:
+def facts(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
     """Stored lookup results of the event names."""
     k = F.col("k")
-    d = domains(spark, sf).select("name", "k", "last_seen")
+    d = (domains(spark, sf) if names is None else names).select("name", "k", "last_seen")
 
     def js(**values) -> Column:
         return F.to_json(F.struct(*[v.alias(n) for n, v in values.items()]))

@@ -13,6 +13,7 @@ from dnslake.plans import pages, replies, rules, score
 from dnslake.plans.publish import category_table
 from dnslake.plans.queries_log import CV, PRECEDED
 from dnslake.plans.registry import CATEGORIES, DOM, EV, HOSTS, LE, query, sec, six
+from dnslake.session import cut_lineage
 from dnslake.sources import lists as list_sources
 
 # Search ------------------------------------------------------------------------------------------
@@ -594,12 +595,15 @@ def merged_rules(spark, sf):
 
 
 def score_rows(spark, sf, only_open=True):
-    """Candidate rows of the event names with all their evidence."""
-    d = A.domains(spark, sf).select("name", "etld1", "k", "query_count", "client_count",
-                                    "status", "is_manual")
+    """Candidate rows of the event names with all their evidence.
+
+    The name table, which jobs normally keep, is read by five branches: it is written once.
+    """
+    names = cut_lineage(A.domains(spark, sf))
+    d = names.select("name", "etld1", "k", "query_count", "client_count", "status", "is_manual")
     return score.assemble_candidates(
-        d, facts_plan.facts_wide(A.facts(spark, sf), A.AS_OF),
-        behavior.behavior(A.events(spark, sf), gap=3600), A.name_entries(spark, sf),
+        d, facts_plan.facts_wide(A.facts(spark, sf, names), A.AS_OF),
+        behavior.behavior(A.events(spark, sf), gap=3600), A.name_entries(spark, sf, names),
         A.list_sources_table(spark, sf), only_open=only_open)
 
 

@@ -107,5 +107,3 @@ rdom AS (SELECT name, CASE c % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'staging' ELSE 'b
   c_mktsegment AS category, c % 97 AS query_count
   FROM cust JOIN customer ON c = c_custkey)"""
 RANGE = "BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:00:00'"
-
-from dnslake.plans import queries_log, queries_names, queries_life, queries_nets  # noqa: E402,F401

@@ -69,11 +69,12 @@ def _first_hit(hosts: Column, known: list[str]) -> Column:
 
 
 def _lookup(values: Mapping, key: Column) -> Column:
-    """Value of a literal map, null when the key is missing."""
+    """Value of a constant map (folded to a literal), null when the key is missing."""
     if not values:
         return F.lit(None).cast("string")
-    flat = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
-    return F.try_element_at(F.create_map(*flat), key)
+    text = "\n".join(f"{k}\t{v}" for k, v in values.items())
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t")),
+                            key.cast("string"))
 
 
 def with_signals(df: DataFrame, rules: Rules | None = None,
@@ -98,22 +99,20 @@ def with_signals(df: DataFrame, rules: Rules | None = None,
     adtech = list(rules.adtech)
 
     # Lookups that several signals or the category need are computed once.
-    df = (df.withColumn("_hop", _first_hit(F.coalesce("dns.cname_chain", F.array().cast(
-        "array<string>")), adtech))
-          .withColumn("_san", _first_hit(F.transform(
-              F.coalesce("cert.sans", F.array().cast("array<string>")),
-              lambda s: F.regexp_replace(s, r"^\*\.", "")), adtech))
-          .withColumn("_cdn", _first_hit(F.concat(F.array("name"), F.coalesce(
-              "dns.cname_chain", F.array().cast("array<string>"))), list(rules.cdn)))
-          .withColumn("_kw", keyword_hit("name", rules.keywords))
-          .withColumn("_label", leftmost_label("name"))
-          .withColumn("_entropy", F.when(
-              F.length("_label") >= refdata.RANDOM_LABEL_MIN_LEN, entropy("_label")))
-          .withColumn("_goto", suffix_hit(host_of("http.redirect_to"), adtech))
-          .withColumn("_org", _lookup({k: v[0] for k, v in asns.items()},
-                                      F.col("asn.asn").cast("int")))
-          .withColumn("_asn_category", _lookup({k: v[1] for k, v in asns.items()},
-                                               F.col("asn.asn").cast("int"))))
+    none = F.array().cast("array<string>")
+    hops, sans = F.coalesce("dns.cname_chain", none), F.coalesce("cert.sans", none)
+    label = leftmost_label("name")
+    df = df.withColumns({
+        "_hop": _first_hit(hops, adtech),
+        "_san": _first_hit(F.transform(sans, lambda s: F.regexp_replace(s, r"^\*\.", "")), adtech),
+        "_cdn": _first_hit(F.concat(F.array("name"), hops), list(rules.cdn)),
+        "_kw": keyword_hit("name", rules.keywords),
+        "_label": label,
+        "_entropy": F.when(F.length(label) >= refdata.RANDOM_LABEL_MIN_LEN, entropy(label)),
+        "_goto": suffix_hit(host_of("http.redirect_to"), adtech),
+        "_org": _lookup({k: v[0] for k, v in asns.items()}, F.col("asn.asn")),
+        "_asn_category": _lookup({k: v[1] for k, v in asns.items()}, F.col("asn.asn")),
+    })
 
     status, is_html = F.col("http.status"), F.coalesce("http.is_html", F.lit(False))
     pixel = F.coalesce("http.is_pixel", F.lit(False))
@@ -240,9 +239,8 @@ def score(df: DataFrame, rules: Rules | None = None,
         .when(infra > 0, "ads")
         .otherwise("content"))
     value = round2(F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + s["weight"]))
-    return (df.withColumn("score", value).withColumn("confidence", confidence)
-            .withColumn("category", category)
-            .select("name", "score", "confidence", "category", "signals"))
+    return df.select("name", value.alias("score"), confidence.alias("confidence"),
+                     category.alias("category"), "signals")
 
 
 def simulate(rows: DataFrame, categories: DataFrame, current: tuple, proposed: tuple,
