@@ -17,7 +17,7 @@ def preceded_within(df: DataFrame, key: str, other: str, ts: str, gap: int,
     a RANGE window.  Time is cut into cells and the last ``gap`` seconds of a cell are copied into
     the next as context, so that one busy key spreads over many tasks.
     """
-    cell = cell_seconds or max(4 * gap, 900)
+    cell = cell_seconds or 20 * gap
     own = F.floor(F.col("_s") / cell)
     late = F.pmod(F.col("_s"), F.lit(cell)) >= cell - gap
     rows = (df.withColumn("_s", F.unix_seconds(ts)).withColumn("_own", own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dnslake import refdata
 from dnslake.functions import nets
-from dnslake.operators.joins import priority_prefix_join, range_join
+from dnslake.operators.joins import interval_join, priority_prefix_join, range_join
 from dnslake.sources.tables import merge_latest
 
 
@@ -42,8 +42,8 @@ def access_rows(domain_ips: DataFrame, events: DataFrame, ip: str | None = None)
     spans = domain_ips.select("name", "ip", "first_seen", "last_seen")
     if ip is not None:
         spans = spans.where(F.col("ip") == ip)
-    return (events.join(spans, "name")
-            .where(F.col("occurred_at").between(F.col("first_seen"), F.col("last_seen"))))
+    return interval_join(events, spans, ["name"], "occurred_at", "first_seen", "last_seen",
+                         cell_seconds=86400)
 
 
 def accesses_by_ip(domain_ips: DataFrame, events: DataFrame, ip: str, k: int = 200,

@@ -9,9 +9,20 @@ from dnslake.functions import nets
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, start: str,
-                  end: str) -> DataFrame:
-    """Rows of ``left`` whose time lies in the ``[start, end]`` of an equal-key ``right`` row."""
-    return left.join(right, on).where(F.col(ts).between(F.col(start), F.col(end)))
+                  end: str, cell_seconds: int = 30 * 86400) -> DataFrame:
+    """Rows of ``left`` whose time lies in the ``[start, end]`` of an equal-key ``right`` row.
+
+    Intervals are filed under every time cell they touch, so a row meets only the intervals alive
+    in its cell and a hot key spreads over its cells.  Choose cells of about the usual length of an
+    interval.
+    """
+    def cell(c: str) -> Column:
+        return F.floor(F.unix_seconds(c) / cell_seconds)
+
+    spans = right.where(F.col(start) <= F.col(end)).withColumn(
+        "_cell", F.explode(F.sequence(cell(start), cell(end))))
+    return (left.withColumn("_cell", cell(ts)).join(spans, [*on, "_cell"])
+            .where(F.col(ts).between(F.col(start), F.col(end))).drop("_cell"))
 
 
 def _shares(cells: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:

@@ -47,11 +47,9 @@ def co_occurrence_counts(events: DataFrame, key: str = "name", gap: int = 3, min
 def npmi(pairs: DataFrame, totals: DataFrame, key: str = "name") -> DataFrame:
     """Normalised pointwise mutual information of pairs, kept where positive, at most 1.
 
-    ``totals`` holds (key, total); the grand total is one row attached to each total.
+    ``totals`` holds (key, total); the grand total is a scalar subquery.
     """
-    grand = totals.agg(F.sum("total").alias("_grand"))
-    # One row by construction (a global aggregate), hence safe to attach to every pair.
-    share = pairs.join(F.broadcast(grand))
+    share = pairs.withColumn("_grand", totals.agg(F.sum("total")).scalar())
     for side in ("a", "b"):
         share = share.join(totals.select(F.col(key).alias(side), F.col("total").alias(f"_{side}")),
                            side)
@@ -177,8 +175,7 @@ def network_totals(relations: DataFrame, kinds: list[str] | None = None,
     deg = (edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("degree"))
            if outgoing_only else degree(relations, kinds, min_strength))
     nodes = deg.agg(F.count_if(F.col("degree") >= max(min_degree, 1)).alias("total_nodes"))
-    # Both sides are global aggregates of one row.
-    return nodes.join(F.broadcast(edges.agg(F.count("*").alias("total_edges"))))
+    return nodes.select("total_nodes", edges.agg(F.count("*")).scalar().alias("total_edges"))
 
 
 def neighbours(relations: DataFrame, domains: DataFrame, name: str,

@@ -45,10 +45,10 @@ def counters(events: DataFrame, domains: DataFrame, requests: DataFrame, from_:
     since = F.lit(from_).cast("timestamp")
     active = client_totals(events).where(F.col("last_seen") >= since).agg(
         F.count("*").alias("active_clients"))
-    staging = domains.agg(F.count_if(F.col("status") == "staging").alias("pending_review"))
-    pending = requests.agg(F.count_if(F.col("state") == "pending").alias("unblock_requests"))
-    # Each side is a global aggregate of one row.
-    return active.join(F.broadcast(staging)).join(F.broadcast(pending))
+    staging = domains.agg(F.count_if(F.col("status") == "staging"))
+    pending = requests.agg(F.count_if(F.col("state") == "pending"))
+    return active.select("active_clients", staging.scalar().alias("pending_review"),
+                         pending.scalar().alias("unblock_requests"))
 
 
 def by_category(hourly: DataFrame, domains: DataFrame, from_: str, to: str,

@@ -6,21 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int | Column,
-            salts: int = 64) -> DataFrame:
-    """First ``n`` rows of every key in the given (total) order, exactly.  ``n`` may depend on the
-    key.
+def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
+            shares: int = 1024) -> DataFrame:
+    """First ``n`` rows of every key in the given (total) order, exactly, however hot a key is.
 
-    Every salt share of a key keeps its own first ``n``; the winners meet in a second step that
-    sees at most ``salts * n`` rows per key, however hot the key is.
+    Every input partition keeps its own first ``n`` of a key (Spark cuts them before the shuffle),
+    then every one of ``shares`` groups of partitions, then the key: the last step sees at most
+    ``shares * n`` rows of it.
     """
-    share = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(salts))
-    local = Window.partitionBy(*keys, "_share").orderBy(*order)
-    final = Window.partitionBy(*keys).orderBy(*order)
-    return (df.withColumn("_share", share)
-            .withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= n)
-            .withColumn("_rn", F.row_number().over(final)).where(F.col("_rn") <= n)
-            .drop("_share", "_rn"))
+    rows = df.withColumn("_share", F.spark_partition_id())
+    for share in (F.col("_share"), F.col("_share") % shares, F.lit(0)):
+        window = Window.partitionBy(*keys, "_share").orderBy(*order)
+        rows = (rows.withColumn("_share", share).withColumn("_rn", F.row_number().over(window))
+                .where(F.col("_rn") <= n))
+    return rows.drop("_share", "_rn")
 
 
 def gaps(df: DataFrame, key: str, ts: str, cell_seconds: int = 3600) -> DataFrame:

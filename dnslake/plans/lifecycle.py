@@ -202,8 +202,8 @@ def import_hosts(domains: DataFrame, entries: DataFrame, actor: str, as_of: str,
     allowed = blank.where(protecting_rule("name", soft).isNull())
     out, decisions, skipped = apply_decisions(
         domains.unionByName(allowed.select(*domains.columns)), requests, as_of, soft)
-    counts = decisions.agg(F.count("*").alias("imported")).join(
-        F.broadcast(skipped.agg(F.count("*").alias("skipped"))))
+    counts = decisions.agg(F.count("*").alias("imported")).select(
+        "imported", skipped.agg(F.count("*")).scalar().alias("skipped"))
     return out, decisions, counts
 
 

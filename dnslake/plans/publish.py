@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dnslake import refdata
@@ -108,11 +108,10 @@ def new_snapshots(plan: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     One row per list (a dozen), so numbering them is one small task.
     """
-    from pyspark.sql import Window
-    top = snapshots.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = snapshots.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     rank = F.row_number().over(Window.orderBy("list_key"))
-    return (plan.where(F.col("status") == "published").join(F.broadcast(top))
-            .withColumn("id", (F.col("_top") + rank).cast("long"))
+    return (plan.where(F.col("status") == "published").withColumn("_rank", rank)
+            .withColumn("id", (top + F.col("_rank")).cast("long"))
             .select("id", "list_key", "entry_count", "checksum", "published_at", "published_by"))
 
 
@@ -133,14 +132,13 @@ def diff_snapshots(entries: DataFrame, a: int, b: int) -> DataFrame:
 def rollback(snapshots: DataFrame, entries: DataFrame, snapshot_id: int, as_of: str,
              actor: str) -> tuple[DataFrame, DataFrame]:
     """A new snapshot with the content of an old one: (snapshot row, its entries)."""
-    top = snapshots.agg(F.max("id").alias("_top"))
-    row = (snapshots.where(F.col("id") == snapshot_id).join(F.broadcast(top))
-           .select((F.col("_top") + 1).alias("id"), "list_key", "entry_count", "checksum",
+    new_id = snapshots.agg(F.max("id") + 1).scalar()
+    row = (snapshots.where(F.col("id") == snapshot_id)
+           .select(new_id.alias("id"), "list_key", "entry_count", "checksum",
                    F.lit(as_of).cast("timestamp").alias("published_at"),
                    F.lit(f"{actor} (rollback of #{snapshot_id})").alias("published_by")))
-    new_id = row.select(F.col("id").alias("_id"))
-    copied = (entries.where(F.col("snapshot_id") == snapshot_id).join(F.broadcast(new_id))
-              .select(F.col("_id").alias("snapshot_id"), "domain"))
+    copied = (entries.where(F.col("snapshot_id") == snapshot_id)
+              .select(new_id.alias("snapshot_id"), "domain"))
     return row, copied
 
 

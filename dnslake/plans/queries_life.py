@@ -63,11 +63,11 @@ def rescore_decisions(spark, sf):
 
 
 def _decision_requests(spark, sf):
-    """Requests for every third name and for names nobody knows, two for some."""
+    """Requests for every name and for names nobody knows, two for some."""
     d = A.domains(spark, sf).select("name", "k")
     k = F.col("k")
     action = F.when(k % 2 == 0, "block").when(k % 3 == 0, "allow").otherwise("recategorize")
-    base = d.where(k % 3 != 1).select(
+    base = d.select(
         "name", action.alias("action"), F.lit("admin").alias("actor"), F.lit("r").alias("reason"),
         F.when(k % 4 == 0, "malware").alias("category"), (k % 2 == 0).alias("manual"),
         F.lit(1).cast("long").alias("seq"))
@@ -80,7 +80,7 @@ def _decision_requests(spark, sf):
 
 DECIDED = f"""WITH {DOM}, req AS (SELECT name, status, k, k % 2 = 0 AS manual,
 CASE WHEN k % 2 = 0 THEN 'block' WHEN k % 3 = 0 THEN 'ignore' ELSE 'recategorize' END AS action
-FROM dom WHERE k % 3 <> 1), use AS (SELECT * FROM req WHERE status <> 'allowed' OR manual)"""
+FROM dom), use AS (SELECT * FROM req WHERE status <> 'allowed' OR manual)"""
 
 
 @query(f"""{DECIDED} SELECT d.name, CASE u.action WHEN 'block' THEN 'blocked' WHEN 'ignore'
@@ -140,12 +140,11 @@ def add_domains(spark, sf):
 
 
 @query(f"""WITH {DOM} SELECT status, is_manual, origin, count(*) AS n FROM (
-SELECT CASE WHEN k % 2 = 0 THEN 'blocked' ELSE status END AS status, is_manual OR k % 2 = 0 AS is_manual,
-'discovered' AS origin FROM dom UNION ALL SELECT 'blocked', true, 'imported' FROM part
+SELECT 'blocked' AS status, true AS is_manual, 'discovered' AS origin FROM dom UNION ALL SELECT 'blocked', true, 'imported' FROM part
 WHERE p_partkey % 2 = 0) GROUP BY 1, 2, 3""")
 def import_hosts(spark, sf):
     d = A.domains(spark, sf).select(*COLUMNS)
-    names = d.where(F.col("k") % 2 == 0).select(F.col("name").alias("domain")).unionByName(
+    names = d.select(F.col("name").alias("domain")).unionByName(
         A.table(spark, sf, "part").select(F.concat(
             F.lit("p"), F.col("p_partkey").cast("string"),
             F.when(F.col("p_partkey") % 2 == 0, ".new.example").otherwise(".gstatic.com"))
@@ -239,16 +238,14 @@ def last_snapshots(spark, sf):
     return publish.last_snapshots(A.snapshots(spark, sf)).select("list_key", "id")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45),
-b AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 45)
-SELECT 'p' || l_partkey AS domain, 'added' AS change FROM b WHERE l_partkey NOT IN (FROM a)
-UNION ALL SELECT 'p' || l_partkey, 'removed' FROM a WHERE l_partkey NOT IN (FROM b)""")
+@query("""WITH a AS (SELECT DISTINCT 'p' || l_partkey || '.s' || l_suppkey AS domain FROM lineitem
+WHERE l_returnflag = 'A'),
+b AS (SELECT DISTINCT 'p' || l_partkey || '.s' || l_suppkey AS domain FROM lineitem
+WHERE l_returnflag = 'N')
+SELECT domain, 'added' AS change FROM b WHERE domain NOT IN (FROM a)
+UNION ALL SELECT domain, 'removed' FROM a WHERE domain NOT IN (FROM b)""")
 def snapshot_diff(spark, sf):
-    flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2)
-    entries = A.table(spark, sf, "lineitem").where(F.col("l_quantity") > 45).select(
-        flag.alias("snapshot_id"),
-        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("domain"))
-    return publish.diff_snapshots(entries, 1, 2)
+    return publish.diff_snapshots(A.snapshot_entries(spark, sf), 1, 2)
 
 
 @query("""SELECT max(o_orderkey) OVER () + 1 AS id, o_orderpriority AS list_key,

@@ -425,12 +425,8 @@ def co_occurrence_edges(spark, sf):
 
 # Streams -----------------------------------------------------------------------------------------
 
-RAW_EVENTS = ("event_id long, ts timestamp, user_id long, event_type string, value double, "
-              "props string")
-
-
 def _stream(spark, sf):
-    raw = log.stream_events(spark, sf, RAW_EVENTS, glob="events.parquet")
+    raw = log.stream_events(spark, sf, A.DRIVER_TABLES["events"], glob="events.parquet")
     return A.from_raw_events(raw)
 
 

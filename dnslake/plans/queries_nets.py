@@ -11,6 +11,7 @@ from dnslake.plans.queries_log import CV
 from dnslake.plans.registry import ANS, DOM, EV, RANGE, query, sec
 from dnslake.session import work_path
 from dnslake.sources import lists, packets, tables
+from dnslake.sources.events import stream_events
 from dnslake.streaming import streams
 
 LENGTHS = {"v4_lengths": [16, 24], "v6_lengths": []}
@@ -307,9 +308,7 @@ def cidr_list(spark, sf):
 FROM ips""")
 def stream_resolutions(spark, sf):
     """The answer stream as its own query, drained and read back through the merge."""
-    from dnslake.plans.queries_log import RAW_EVENTS
-    from dnslake.sources.events import stream_events
-    raw = stream_events(spark, sf, RAW_EVENTS, glob="events.parquet")
+    raw = stream_events(spark, sf, A.DRIVER_TABLES["events"], glob="events.parquet")
     out = work_path(spark, "answers")
     answers = A.answers_of(A.from_raw_events(raw))
     streams.start_answer_stream(answers, f"{out}/t", f"{out}/c").awaitTermination()

@@ -12,18 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dnslake.session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def in_utc(fn: Query) -> Query:
-    """All times are UTC, whatever the session was started with."""
+def tuned(fn: Query) -> Query:
+    """Run with the job settings (UTC times among them), whatever the session started with."""
     @functools.wraps(fn)
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return fn(spark, sf)
+        return fn(tune(spark), sf)
     return run
 
 
@@ -32,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or fn.__name__
         if key in QUERIES:
             raise KeyError(f"query {key} registered twice")
-        QUERIES[key] = in_utc(fn)
+        QUERIES[key] = tuned(fn)
         if sql is not None:
             ORACLE[key] = " ".join(sql.split("\n")).strip()
         return fn
@@ -72,7 +73,7 @@ DOM = EV + """, dom AS (
   FROM dns_events GROUP BY name, etld1, k, event_type)"""
 BOTH = HOURLY + ", dom AS" + DOM.split(", dom AS", 1)[1]
 CATEGORIES = """cat(key, enabled, threshold, publish_path) AS (VALUES
-  ('ads', true, 5.5, 'ads.txt'), ('tracking', true, 5.5, 'tracking.txt'),
+  ('ads', true, 5.5::DOUBLE, 'ads.txt'), ('tracking', true, 5.5, 'tracking.txt'),
   ('telemetry', true, 5.5, 'telemetry.txt'), ('malware', true, 3.0, 'malware.txt'),
   ('cryptomining', true, 3.0, 'cryptomining.txt'), ('adult', false, 5.5, 'adult.txt'),
   ('cdn', false, 99.0, 'cdn.txt'), ('content', false, 99.0, 'content.txt'))"""
@@ -85,7 +86,7 @@ ANS = DOM + """, ans AS (
            '10.' || (k % 25) || '.' || (client_id % 3) || '.' || (k % 7),
            '10.' || (k % 25) || '.' || (client_id % 3 + 3) || '.' || (k % 7)]) AS ip,
          client_id % 5 * 60 + 60 AS ttl, occurred_at
-  FROM dns_events WHERE k % 2 = 0),
+  FROM dns_events),
 ips AS (SELECT *, CAST(split_part(ip, '.', 2) AS INT) AS octet FROM (
   SELECT name, ip, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen,
          count(*) AS hits, min(ttl) AS ttl FROM ans GROUP BY 1, 2)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslake import refdata
@@ -61,6 +61,9 @@ def _weights(weights: Mapping[str, float] | None) -> dict[str, float]:
     return {**refdata.WEIGHTS, **(weights or {})}
 
 
+_SCRATCH = ["_hop", "_san", "_cdn", "_kw", "_label", "_entropy", "_goto", "_org", "_asn_category"]
+
+
 def _first_hit(hosts: Column, known: list[str]) -> Column:
     """First host of an array under a known suffix, as ``struct(host, suffix)``."""
     hits = F.transform(hosts, lambda h: F.struct(h.alias("host"), suffix_hit(h, known)
@@ -207,6 +210,13 @@ def with_signals(df: DataFrame, rules: Rules | None = None,
 def score(df: DataFrame, rules: Rules | None = None,
           weights: Mapping[str, float] | None = None) -> DataFrame:
     """Score, confidence, category and signals of candidate rows."""
+    return with_score(df, rules, weights).select("name", "score", "confidence", "category",
+                                                 "signals")
+
+
+def with_score(df: DataFrame, rules: Rules | None = None,
+               weights: Mapping[str, float] | None = None) -> DataFrame:
+    """Candidate rows with score, confidence, category and signals added (or replaced)."""
     rules = rules or Rules()
     df = with_signals(df, rules, weights)
     kinds = F.transform("signals", lambda s: s["kind"])
@@ -239,8 +249,8 @@ def score(df: DataFrame, rules: Rules | None = None,
         .when(infra > 0, "ads")
         .otherwise("content"))
     value = round2(F.aggregate("signals", F.lit(0.0), lambda acc, s: acc + s["weight"]))
-    return df.select("name", value.alias("score"), confidence.alias("confidence"),
-                     category.alias("category"), "signals")
+    added = {"score": value, "confidence": confidence, "category": category}
+    return df.withColumns(added).drop(*_SCRATCH)
 
 
 def simulate(rows: DataFrame, categories: DataFrame, current: tuple, proposed: tuple,
@@ -252,12 +262,14 @@ def simulate(rows: DataFrame, categories: DataFrame, current: tuple, proposed: t
     """
     limits = categories.select(F.col("key").alias("category"), "threshold", "enabled")
 
-    def blocked(setting: tuple, out: str) -> DataFrame:
-        scored = score(rows, *setting).select("name", "score", "category")
-        return scored.join(limits, "category", "left").select("name", F.coalesce(
-            F.col("enabled") & (F.col("score") >= F.col("threshold")), F.lit(False)).alias(out))
+    def judged(df: DataFrame, setting: tuple, out: str) -> DataFrame:
+        blocks = F.col("enabled") & (F.col("score") >= F.col("threshold"))
+        return (with_score(df, *setting).join(limits, "category", "left")
+                .withColumn(out, F.coalesce(blocks, F.lit(False)))
+                .drop("threshold", "enabled", "category", "score", "confidence", "signals"))
 
-    both = blocked(current, "now").join(blocked(proposed, "then"), "name")
+    # Both settings judge the same row: no join of two results.
+    both = judged(judged(rows, current, "now"), proposed, "then").select("name", "now", "then")
     change = (F.when(~F.col("now") & F.col("then"), "would_block")
               .when(F.col("now") & ~F.col("then"), "would_unblock"))
     counts = both.agg(
@@ -275,10 +287,13 @@ def eval_sample(scored: DataFrame, per_band: Mapping[str, int] | None = None) ->
     sizes = per_band or {"under": 50, "near": 100, "over": 100, "far": 50}
     band = (F.when(F.col("score") < 3, "under").when(F.col("score") < 5.5, "near")
             .when(F.col("score") < 8, "over").otherwise("far"))
+    order = [F.col("_h"), F.col("name")]
     rows = scored.withColumn("band", band).withColumn("_h", F.xxhash64("name"))
+    few = first_n(rows, ["band"], order, max(sizes.values()))
     wanted = F.coalesce(*[F.when(F.col("band") == b, F.lit(n)) for b, n in sizes.items()],
                         F.lit(0))
-    return first_n(rows, ["band"], [F.col("_h"), F.col("name")], wanted).drop("_h")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy(*order))
+    return few.withColumn("_rank", rank).where(F.col("_rank") <= wanted).drop("_h", "_rank")
 
 
 def precision_recall(predicted: DataFrame, labels: DataFrame, key: str = "name") -> DataFrame:

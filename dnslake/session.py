@@ -14,6 +14,10 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join even where that costs one more shuffle behind it.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Cut "first n per key" on the map side for any n used here.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -27,18 +31,25 @@ def build_session(app: str = "dnslake", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Put the settings on a session somebody else started (all can change at run time)."""
+    for key, value in JOB_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
     Only a local session (tests) may fall back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="dnslake-")
-    spark.conf.set("spark.checkpoint.dir", path)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if path is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="dnslake-"))
+        path = context.getCheckpointDir()
     return path
 
 
