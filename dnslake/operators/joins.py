@@ -14,13 +14,13 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, sta
 
     Intervals are filed under every time cell they touch, so a row meets only the intervals alive
     in its cell and a hot key spreads over its cells.  Choose cells of about the usual length of an
-    interval.
+    interval.  Size estimates do not see the explosion into cells, hence no broadcast.
     """
     def cell(c: str) -> Column:
         return F.floor(F.unix_seconds(c) / cell_seconds)
 
     spans = right.where(F.col(start) <= F.col(end)).withColumn(
-        "_cell", F.explode(F.sequence(cell(start), cell(end))))
+        "_cell", F.explode(F.sequence(cell(start), cell(end)))).hint("merge")
     return (left.withColumn("_cell", cell(ts)).join(spans, [*on, "_cell"])
             .where(F.col(ts).between(F.col(start), F.col(end))).drop("_cell"))
 
@@ -111,7 +111,8 @@ def range_join(ips: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFra
         F.when(nets.is_v4(key), probes(_LEVELS_V4, True)).otherwise(probes(_LEVELS_V6, False))))
     tried = tried.select("ip_key", F.col("_p.level").alias("_level"),
                          F.col("_p.bucket").alias("_bucket"))
-    found = (tried.join(_bucketed(ranges), ["_level", "_bucket"])
+    # Size estimates do not see the explosion into buckets: keep it from being broadcast.
+    found = (tried.join(_bucketed(ranges).hint("merge"), ["_level", "_bucket"])
              .where(key.between(F.col("start_key"), F.col("end_key")))
              .drop("_level", "_bucket", "start_key", "end_key"))
     return ips.join(found, "ip_key", how)

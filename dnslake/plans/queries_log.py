@@ -268,14 +268,15 @@ def metrics_upsert(spark, sf):
     return merged.select(sec("at").alias("moment"), six("value"))
 
 
-@query("""SELECT count(*) AS requests, CAST(sum(turn + 1) AS BIGINT) AS domains,
-CAST(sum(turn) AS BIGINT) AS verdicts, count(*) FILTER (conv_id % 7 = 0) AS failed,
-CAST(sum(length(text)) AS BIGINT) AS prompt_chars, CAST(sum(turn * 10) AS BIGINT) AS reply_chars,
+@query("""SELECT count(*) AS requests, CAST(coalesce(sum(turn + 1), 0) AS BIGINT) AS domains,
+CAST(coalesce(sum(turn), 0) AS BIGINT) AS verdicts, count(*) FILTER (conv_id % 7 = 0) AS failed,
+CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS prompt_chars,
+CAST(coalesce(sum(turn * 10), 0) AS BIGINT) AS reply_chars,
 CAST(epoch(TIMESTAMP '2024-01-01') AS BIGINT) + max(conv_id) * 3600 AS last_at
 FROM conversations
-WHERE TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * conv_id >= TIMESTAMP '2024-01-03'""")
+WHERE TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * conv_id >= TIMESTAMP '2024-01-01 12:00:00'""")
 def model_usage(spark, sf):
-    return stats.call_usage(A.model_calls(spark, sf), "2024-02-02 00:00:00", 30).withColumn(
+    return stats.call_usage(A.model_calls(spark, sf), "2024-01-31 12:00:00", 30).withColumn(
         "last_at", sec("last_at"))
 
 
