@@ -25,35 +25,39 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, sta
             .where(F.col(ts).between(F.col(start), F.col(end))).drop("_cell"))
 
 
-def _shares(cells: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
-    """Cells too large for one task, with the number of shares to cut them into."""
-    return (cells.groupBy(*keys).agg(F.count("*").alias("_rows"))
-            .where(F.col("_rows") > rows_per_task)
-            .select(*keys, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_shares")))
+def hot_cells(rows: DataFrame, on: list[str], ts: str, gap: int,
+              rows_per_task: int) -> DataFrame:
+    """Cells of :func:`band_join` too large for one task, with the number of shares to cut them
+    into."""
+    return (rows.groupBy(*on, F.floor(F.col(ts) / gap).alias("_cell"))
+            .agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_task)
+            .select(*on, "_cell", F.ceil(F.col("_rows") / rows_per_task).cast("int")
+                    .alias("_shares")))
 
 
 def band_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, gap: int,
-              residual: Column | None = None, rows_per_task: int = 100_000) -> DataFrame:
+              residual: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Pairs with equal ``on`` and ``0 < right.ts - left.ts <= gap`` (whole seconds, columns).
 
     Both sides carry an integer second column ``ts``; other columns must differ in name.  Time is
-    cut into cells of ``gap`` seconds: a left row looks into its own cell and the next.  Cells with
-    more than ``rows_per_task`` left rows are split into shares, their right rows being copied to
-    each share: exact, and no task holds a whole hot cell.
+    cut into cells of ``gap`` seconds: a left row looks into its own cell and the next.  The cells
+    of ``hot`` (see :func:`hot_cells`) are split into shares of left rows, their right rows being
+    copied to each share: exact, and no task holds a whole hot cell.
     """
     keys = [*on, "_cell"]
     cell = F.floor(F.col(ts) / gap)
     a = left.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumnRenamed(ts, "_ta")
     b = right.withColumn("_cell", cell).withColumnRenamed(ts, "_tb")
-    hot = _shares(a, keys, rows_per_task)
-    a = (a.join(hot, keys, "left")
-         .withColumn("_share", F.pmod(F.xxhash64(*[c for c in left.columns if c != ts], "_ta"),
-                                      F.coalesce("_shares", F.lit(1))).cast("int"))
-         .drop("_shares"))
-    b = (b.join(hot, keys, "left")
-         .withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))
-         .drop("_shares"))
-    pairs = a.join(b, [*keys, "_share"]).where(
+    if hot is not None:
+        shares = F.coalesce("_shares", F.lit(1))
+        row = F.xxhash64(*[c for c in left.columns if c != ts], "_ta")
+        a = a.join(hot, keys, "left").withColumn("_share", F.pmod(row, shares)).drop("_shares")
+        b = (b.join(hot, keys, "left")
+             .withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                        (shares - 1).cast("long"))))
+             .drop("_shares"))
+        keys = [*keys, "_share"]
+    pairs = a.join(b, keys).where(
         (F.col("_tb") > F.col("_ta")) & (F.col("_tb") <= F.col("_ta") + gap))
     if residual is not None:
         pairs = pairs.where(residual)

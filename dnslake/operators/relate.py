@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from dnslake import refdata
 from dnslake.functions.names import normalize_host
-from dnslake.operators.joins import band_join
+from dnslake.operators.joins import band_join, hot_cells
+from dnslake.session import cut_lineage
 from dnslake.sources.tables import merge_latest
 
 #: Spellings accepted for a relation kind.
@@ -32,14 +33,18 @@ def co_occurrence_counts(events: DataFrame, key: str = "name", gap: int = 3, min
     ``ordered`` counts a pair only when the lesser key comes first; otherwise both orders count.
     Rare keys go first (a pair cannot be more frequent than its keys), then events collapse to one
     row per (client, key, second) with a count, so a pair of rows stands for many pairs of events.
+    That table is written once; the log is not read again for the two sides of the join.
     """
     recent = events.join(busy_keys(events, key, max(busy, 1)), key, "left_semi")
     cells = (recent.groupBy(client, key, F.unix_seconds("occurred_at").alias("_t"))
              .agg(F.count("*").alias("_n")))
+    cells = cut_lineage(cells)
+    hot = hot_cells(cells, [client], "_t", gap, rows_per_task)
     left = cells.select(client, F.col(key).alias("a"), F.col("_n").alias("_na"), "_t")
     right = cells.select(client, F.col(key).alias("b"), F.col("_n").alias("_nb"), "_t")
     residual = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
-    pairs = band_join(left, right, [client], "_t", gap, residual, rows_per_task)
+    pairs = band_join(left, right, [client], "_t", gap, residual,
+                      None if hot.isEmpty() else hot)
     return (pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .agg(F.sum(F.col("_na") * F.col("_nb")).alias("n")).where(F.col("n") >= min_count))
 

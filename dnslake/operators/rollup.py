@@ -33,19 +33,34 @@ def client_ids(clients: DataFrame, known: DataFrame | None = None, client: str =
     return known.select(client, "client_id").unionByName(fresh)
 
 
-def hourly_cells(events: DataFrame, client: str = "client_id", unit: str = "hour") -> DataFrame:
-    """Stored roll-up: per (name, hour, client bucket) the query count and the client bitmap.
+def client_hours(events: DataFrame, client: str = "client_id", unit: str = "hour") -> DataFrame:
+    """Stored roll-up with the client set as rows: queries per (name, hour, client).
 
-    Clients are first made distinct per cell (a plain hash aggregation with map-side combine that
-    spreads a hot name over its clients), so bitmaps are built from few rows.
+    A plain hash aggregation with map-side combine that spreads a hot name over its clients.  For
+    sparse cells far smaller than bitmaps, which take 4 KiB each while they are built.
     """
-    per_client = (events.groupBy("name", F.date_trunc(unit, "occurred_at").alias("hour"),
-                                 F.col(client).alias("_c"))
-                  .agg(F.count("*").alias("_n")))
-    return (per_client
-            .groupBy("name", "hour", F.bitmap_bucket_number("_c").alias("bucket"))
-            .agg(F.sum("_n").alias("query_count"),
-                 F.bitmap_construct_agg(F.bitmap_bit_position("_c")).alias("clients")))
+    return events.groupBy("name", F.date_trunc(unit, "occurred_at").alias("hour"),
+                          F.col(client).alias("client_id")).agg(F.count("*").alias("query_count"))
+
+
+def merge_client_hours(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("name", "hour", "client_id").agg(
+        F.sum("query_count").alias("query_count"))
+
+
+def hourly_from_clients(rows: DataFrame) -> DataFrame:
+    """Queries and exact distinct clients per (name, hour) of merged client rows."""
+    return rows.groupBy("name", "hour").agg(F.sum("query_count").alias("query_count"),
+                                            F.count("client_id").alias("client_count"))
+
+
+def hourly_cells(events: DataFrame, client: str = "client_id", unit: str = "hour") -> DataFrame:
+    """Stored roll-up for dense cells: per (name, hour, client bucket) the query count and the
+    client bitmap.  Bitmaps are built from distinct clients."""
+    return (client_hours(events, client, unit)
+            .groupBy("name", "hour", F.bitmap_bucket_number("client_id").alias("bucket"))
+            .agg(F.sum("query_count").alias("query_count"),
+                 F.bitmap_construct_agg(F.bitmap_bit_position("client_id")).alias("clients")))
 
 
 def merge_rollups(*cells: DataFrame) -> DataFrame:
@@ -65,14 +80,8 @@ def hourly_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def hourly_rollup(events: DataFrame, client: str = "client_id", unit: str = "hour") -> DataFrame:
-    """The same result straight from events, without bitmaps.
-
-    Two combinable steps: count per (name, hour, client), then add up per (name, hour).
-    """
-    per_client = (events.groupBy("name", F.date_trunc(unit, "occurred_at").alias("hour"), client)
-                  .agg(F.count("*").alias("_n")))
-    return per_client.groupBy("name", "hour").agg(
-        F.sum("_n").alias("query_count"), F.count(client).alias("client_count"))
+    """The same result straight from events, in two combinable steps."""
+    return hourly_from_clients(client_hours(events, client, unit))
 
 
 def peak_clients(hourly: DataFrame) -> DataFrame:

@@ -438,9 +438,8 @@ def stream_hourly_rollup(spark, sf):
     """The event stream, drained into the shared folder, read back through the merge."""
     out = work_path(spark, "events")
     streams.start_event_stream(_stream(spark, sf), f"{out}/t", f"{out}/c").awaitTermination()
-    cells = streams.read_hourly_cells(spark, f"{out}/t")
-    return rollup.hourly_from_cells(cells).select("name", sec("hour"), "query_count",
-                                                  "client_count")
+    return streams.read_hourly(spark, f"{out}/t").select("name", sec("hour"), "query_count",
+                                                         "client_count")
 
 
 @query(f"""WITH {EV} SELECT name, etld1, count(*) AS query_count,

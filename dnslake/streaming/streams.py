@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from dnslake.operators.investigate import merge_resolutions, resolution_rollup
-from dnslake.operators.rollup import (domain_totals, hourly_cells, merge_domain_totals,
-                                      merge_rollups)
+from dnslake.operators.rollup import (client_hours, domain_totals, hourly_from_clients,
+                                      merge_client_hours, merge_domain_totals)
 from dnslake.sources.events import wanted_types
-from dnslake.sources.tables import path_exists, read_version, versions
+from dnslake.sources.tables import path_exists, read_version, versions, write_version
 
 
 def _write_part(df: DataFrame, root: str, batch_id: int) -> None:
@@ -25,11 +25,11 @@ def _write_part(df: DataFrame, root: str, batch_id: int) -> None:
 
 
 def merge_batch(batch: DataFrame, batch_id: int, out: str) -> None:
-    """Events of one micro-batch: the log, the hourly cells and the per-name totals."""
+    """Events of one micro-batch: the log, the hourly client rows and the per-name totals."""
     batch = batch.persist()
     try:
         _write_part(batch, f"{out}/events", batch_id)
-        _write_part(hourly_cells(batch), f"{out}/hourly_parts", batch_id)
+        _write_part(client_hours(batch), f"{out}/hourly_parts", batch_id)
         _write_part(domain_totals(batch), f"{out}/domain_parts", batch_id)
     finally:
         batch.unpersist()
@@ -82,8 +82,13 @@ def _read(spark: SparkSession, out: str, name: str, merge) -> DataFrame:
     return merge(parts if base is None else base.unionByName(parts))
 
 
-def read_hourly_cells(spark: SparkSession, out: str) -> DataFrame:
-    return _read(spark, out, "hourly", merge_rollups)
+def read_client_hours(spark: SparkSession, out: str) -> DataFrame:
+    return _read(spark, out, "hourly", merge_client_hours)
+
+
+def read_hourly(spark: SparkSession, out: str) -> DataFrame:
+    """Queries and exact distinct clients per (name, hour) over all batches so far."""
+    return hourly_from_clients(read_client_hours(spark, out))
 
 
 def read_domains(spark: SparkSession, out: str) -> DataFrame:
@@ -101,9 +106,8 @@ def compact(spark: SparkSession, out: str, name: str) -> int:
 
     Run it between batches: parts above that number stay and are merged on reading.
     """
-    from dnslake.sources.tables import write_version
     last = spark.read.parquet(f"{out}/{name}_parts").agg(F.max("batch_id")).first()[0]
-    reader = {"hourly": read_hourly_cells, "domain": read_domains,
+    reader = {"hourly": read_client_hours, "domain": read_domains,
               "resolution": read_resolutions}[name]
     write_version(reader(spark, out).withColumn("_upto", F.lit(last)), f"{out}/{name}_base")
     return last
@@ -112,7 +116,7 @@ def compact(spark: SparkSession, out: str, name: str) -> int:
 def hourly_stream(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Bounded-state variant: one-hour windows with a watermark; later events are lost.
 
-    Distinct clients are approximate here; the exact ones come from the bitmaps of the batch form.
+    Distinct clients are approximate here; the exact ones come from the client rows of the batch form.
     """
     return (events.withWatermark("occurred_at", lateness)
             .groupBy(F.window("occurred_at", "1 hour"), "name")

@@ -55,6 +55,12 @@ def test_distinct_clients_over_three_batches(spark):
         assert [(r.query_count, r.client_count) for r in hourly.collect()] == [(7, 4)]
         assert rollup.peak_clients(hourly).first().client_count == 4
         assert rollup.distinct_clients(merged).first().clients == 4
+    rows = [rollup.client_hours(spark.createDataFrame(
+        [("a.b", "a.b", c, 1, T0 + timedelta(minutes=i)) for c in clients], SCHEMA))
+        for i, clients in enumerate(batches)]
+    union = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    again = rollup.hourly_from_clients(rollup.merge_client_hours(union)).first()
+    assert (again.query_count, again.client_count) == (7, 4)
 
 
 def test_bitmaps_beyond_one_bucket(spark):

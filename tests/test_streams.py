@@ -50,8 +50,8 @@ def expected(spark):
 
 
 def result(spark, folders):
-    cells = streams.read_hourly_cells(spark, folders["out"])
-    return rows(rollup.hourly_from_cells(cells).select("name", "hour", "query_count", "client_count"))
+    return rows(streams.read_hourly(spark, folders["out"]).select(
+        "name", "hour", "query_count", "client_count"))
 
 
 def test_three_batches_one_of_them_late(spark, folders):
