@@ -25,11 +25,16 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, sta
             .where(F.col(ts).between(F.col(start), F.col(end))).drop("_cell"))
 
 
+def _cell_seconds(gap: int) -> int:
+    """Longer cells copy fewer rows into the next cell but compare more rows inside one."""
+    return 4 * gap
+
+
 def hot_cells(rows: DataFrame, on: list[str], ts: str, gap: int,
               rows_per_task: int) -> DataFrame:
     """Cells of :func:`band_join` too large for one task, with the number of shares to cut them
     into."""
-    return (rows.groupBy(*on, F.floor(F.col(ts) / gap).alias("_cell"))
+    return (rows.groupBy(*on, F.floor(F.col(ts) / _cell_seconds(gap)).alias("_cell"))
             .agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_task)
             .select(*on, "_cell", F.ceil(F.col("_rows") / rows_per_task).cast("int")
                     .alias("_shares")))
@@ -40,13 +45,16 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, gap: in
     """Pairs with equal ``on`` and ``0 < right.ts - left.ts <= gap`` (whole seconds, columns).
 
     Both sides carry an integer second column ``ts``; other columns must differ in name.  Time is
-    cut into cells of ``gap`` seconds: a left row looks into its own cell and the next.  The cells
-    of ``hot`` (see :func:`hot_cells`) are split into shares of left rows, their right rows being
+    cut into cells: a left row looks into its own and, from the last ``gap`` seconds of a cell, also
+    into the next.  The cells of ``hot`` (see :func:`hot_cells`) are split into shares of left rows, their right rows being
     copied to each share: exact, and no task holds a whole hot cell.
     """
     keys = [*on, "_cell"]
-    cell = F.floor(F.col(ts) / gap)
-    a = left.withColumn("_cell", F.explode(F.array(cell, cell + 1))).withColumnRenamed(ts, "_ta")
+    width = _cell_seconds(gap)
+    cell = F.floor(F.col(ts) / width)
+    late = F.pmod(F.col(ts), F.lit(width)) >= width - gap
+    a = left.withColumn("_cell", F.explode(F.when(late, F.array(cell, cell + 1)).otherwise(
+        F.array(cell)))).withColumnRenamed(ts, "_ta")
     b = right.withColumn("_cell", cell).withColumnRenamed(ts, "_tb")
     if hot is not None:
         shares = F.coalesce("_shares", F.lit(1))
