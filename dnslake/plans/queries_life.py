@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dnslake.operators import relate, stats
 from dnslake.plans import adapters as A
 from dnslake.plans import lifecycle, publish, score
-from dnslake.plans.queries_names import SCORED, score_rows
+from dnslake.plans.queries_names import SCORED, score_rows, stored_domains
 from dnslake.plans.registry import CATEGORIES, DOM, REL, query, sec
 from dnslake.sources import tables
 
@@ -49,15 +49,16 @@ ELSE d.status END AS status, CASE WHEN a.name IS NULL THEN d.score ELSE a.score
 CASE WHEN a.name IS NULL THEN d.category ELSE a.category END AS category
 FROM dom d LEFT JOIN act a USING (name)""")
 def save_scores(spark, sf):
-    d = A.domains(spark, sf)
-    out, _ = lifecycle.save_scores(d, score.score(score_rows(spark, sf)), publish.category_table(
-        spark), A.AS_OF)
+    d = stored_domains(spark, sf)
+    out, _ = lifecycle.save_scores(d, score.score(score_rows(spark, sf, names=d)),
+                                   publish.category_table(spark), A.AS_OF)
     return out.select("name", "status", "score", "category")
 
 
 @query(f"""{SAVED} SELECT name, action, 'system' AS actor FROM act WHERE action IS NOT NULL""")
 def rescore_decisions(spark, sf):
-    _, decisions = lifecycle.rescore(A.domains(spark, sf), score_rows(spark, sf),
+    d = stored_domains(spark, sf)
+    _, decisions = lifecycle.rescore(d, score_rows(spark, sf, names=d),
                                      publish.category_table(spark), A.AS_OF)
     return decisions.select("name", "action", "actor")
 

@@ -593,12 +593,14 @@ def merged_rules(spark, sf):
     return rules.merge_rules(usable).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def score_rows(spark, sf, only_open=True):
-    """Candidate rows of the event names with all their evidence.
+def stored_domains(spark, sf):
+    """The name table, which jobs normally keep, written once for all branches that read it."""
+    return cut_lineage(A.domains(spark, sf))
 
-    The name table, which jobs normally keep, is read by five branches: it is written once.
-    """
-    names = cut_lineage(A.domains(spark, sf))
+
+def score_rows(spark, sf, only_open=True, names=None):
+    """Candidate rows of the event names with all their evidence."""
+    names = stored_domains(spark, sf) if names is None else names
     d = names.select("name", "etld1", "k", "query_count", "client_count", "status", "is_manual")
     return score.assemble_candidates(
         d, facts_plan.facts_wide(A.facts(spark, sf, names), A.AS_OF),

@@ -22,11 +22,16 @@ JOB_SETTINGS = {
 }
 
 
+#: Settings that only count when the session starts.  Recording the call site of every column costs
+#: more than building the column, which shows in jobs with hundreds of expressions.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app: str = "dnslake", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**JOB_SETTINGS, **extra}.items():
+    for key, value in {**JOB_SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
