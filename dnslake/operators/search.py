@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dnslake.sources.events import between  # noqa: F401  (time filter, same public place)
-
 SORT_FIELDS = ("score", "last_seen", "query_count", "name", "confidence")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dnslake import refdata
 from dnslake.operators.windows import first_n, latest_per
-from dnslake.sources.tables import write_version  # noqa: F401  (how snapshots are stored)
 
 
 def category_table(spark: SparkSession) -> DataFrame:

@@ -122,12 +122,10 @@ def parse_rank(lines: DataFrame, cutoff: int = refdata.RANK_CUTOFF) -> DataFrame
 
 
 def check_rank(ranks: DataFrame) -> DataFrame:
-    sentinels = ranks.where(F.col("domain").isin(list(refdata.RANK_SENTINELS)))
-    return _require_rows(ranks, "rank list") if not sentinels.isEmpty() else _fail_rank()
-
-
-def _fail_rank() -> DataFrame:
-    raise EmptyTable("rank list holds none of the well-known names")
+    """The ranks, if any of the well-known names is among them."""
+    if ranks.where(F.col("domain").isin(list(refdata.RANK_SENTINELS))).isEmpty():
+        raise EmptyTable("rank list holds none of the well-known names")
+    return ranks
 
 
 def read_rank(spark: SparkSession, path: str, cutoff: int = refdata.RANK_CUTOFF) -> DataFrame:
