@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.llm import decontaminate, quality, substrings
+from dnslake.llm import decontaminate, minhash, quality, secrets, substrings
 from dnslake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -32,6 +32,12 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query("op2_probminhash")
+def op2(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "class_id", "group_id", "kept")
+
+
 @query("op3_decontamination", _OP3)
 def op3(spark, sf):
     docs, benchmark = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
@@ -47,6 +53,14 @@ def op5(spark, sf):
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query("op6_secret_randomness")
+def op6(spark, sf):
+    base = ("assign", "access", "hex")
+    found = secrets.find_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[secrets.count_of(k).alias(f"n_{k}") for k in base],
+                        F.sha2(secrets.joined(kinds=base), 256).alias("base_sha256"), secrets.joined().alias("spans"))
+
+
 _OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k
