@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.llm import decontaminate, minhash, quality, secrets, substrings
+from dnslake.llm import decontaminate, minhash, pieces, quality, secrets, substrings
 from dnslake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -61,6 +61,13 @@ def op6(spark, sf):
                         F.sha2(secrets.joined(kinds=base), 256).alias("base_sha256"), secrets.joined().alias("spans"))
 
 
+@query("op7_merge_dropout")
+def op7(spark, sf):
+    done = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"))
+    return pieces.decode(done).select("doc_id", "n_pieces", "pieces",
+                                      F.coalesce(F.col("decoded") == F.col("text"), F.size("pieces") == 0).alias("lossless"))
+
+
 _OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k
