@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -46,3 +47,28 @@ def parts_for(df: DataFrame, text: str, bytes_per_part: int) -> int:
     """Number of parts so that each holds about ``bytes_per_part`` of text: grows with the input."""
     total = df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
     return max(1, math.ceil(total / bytes_per_part))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches of rows sorted by ``key`` as (rows, group borders): no group is cut between two of them."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if pending and keys[0] != pending[0].column(key)[0].as_py():
+            yield _with_borders(pending, key)
+            pending = []
+        if last:
+            yield _with_borders([*pending, batch.slice(0, last)], key)
+            pending = []
+        pending.append(batch.slice(last))
+    if pending:
+        yield _with_borders(pending, key)
+
+
+def _with_borders(parts: list[pa.RecordBatch], key: str):
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    keys = rows.column(key).to_numpy()
+    return rows, np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])

@@ -90,12 +90,10 @@ def band_hashes(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def content_hash(words: textops.Words) -> np.ndarray:
     """64-bit hash of the whole word sequence of each row; 0 without words."""
-    n, counts = len(words), words.counts
-    base = 0xA24BAED4963EE407
-    total = np.zeros(n + 1, _U)
-    np.cumsum(words.hash * textops.powers(base, n)[:n], out=total[1:])
-    back = textops.powers(textops.inverse(base), n)
-    code = textops.mix((total[words.first[1:]] - total[words.first[:-1]]) * back[words.first[:-1]] + counts.astype(_U))
+    counts, base = words.counts, 0xA24BAED4963EE407
+    total = textops.sums_at(words.hash, base, words.first)
+    code = textops.mix((total[1:] - total[:-1]) * textops.powers_at(textops.inverse(base), words.first[:-1])
+                       + counts.astype(_U))
     return np.where(counts > 0, code | _U(1), _U(0)).view(np.int64)
 
 

@@ -142,10 +142,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int =
     return centre, scale, w
 
 
+def _sliced(texts: list[str]) -> Iterator[pa.Array]:
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    return (part.column("text") for part in textops.slices(batch, "text"))
+
+
 def _pieces(texts: list[str]) -> list[list[bytes]]:
-    data, offs = textops.flat(pa.array(texts, pa.large_string()))
-    return [[body[s: min(s + PIECE, at[i + 1])].tobytes() for i in range(len(at) - 1)
-             for s in range(at[i], at[i + 1], PIECE)] for body, at in views(data, offs)]
+    """Per view, the pieces of all texts."""
+    out: list[list[bytes]] = [[] for _ in VIEWS]
+    for part in _sliced(texts):
+        for v, (body, at) in enumerate(views(*textops.flat(part))):
+            out[v] += [body[s: min(s + PIECE, at[i + 1])].tobytes() for i in range(len(at) - 1)
+                       for s in range(at[i], at[i + 1], PIECE)]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, dict_rows: int = 1500, fit_rows: int = 5000,
@@ -180,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, dict_rows: int = 1500, fit_rows: i
         return Model(constant=float(np.mean(every)) if every else 0.5)
     good, bad = _pieces(groups[1]), _pieces(groups[0])
     model = Model([[_train(good[v], DICT_BYTES[k]), _train(bad[v], DICT_BYTES[k])] for v, k in enumerate(VIEWS)])
-    x = model.evidence(pa.array([r.text for r in curve], pa.large_string()))
+    x = np.concatenate([model.evidence(part) for part in _sliced([r.text for r in curve])])
     model.centre, model.scale, model.weights = _logistic(x, y)
     return model
 

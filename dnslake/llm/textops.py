@@ -18,6 +18,8 @@ SLICE_BYTES = 2 << 20
 _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _POWERS: dict[int, np.ndarray] = {}
+#: Running sums go over blocks of 2**_BITS elements.
+_BITS = 16
 
 
 def lut_alnum_lower() -> np.ndarray:
@@ -53,13 +55,38 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64; kept between calls."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
-        size = max(n + 1, 1024)
-        step = np.full(size, base, _U)
+        step = np.full(max(n + 1, 1024), base, _U)
         step[0] = 1
         have = _POWERS[base] = np.cumprod(step, dtype=_U)
     return have[: n + 1]
 
 
+def powers_at(base: int, exponent: np.ndarray) -> np.ndarray:
+    """base**exponent modulo 2**64, from two short tables."""
+    top = int(exponent.max(initial=0)) >> _BITS
+    high = powers(pow(base, 1 << _BITS, 1 << 64), top)
+    return powers(base, 1 << _BITS)[exponent & ((1 << _BITS) - 1)] * high[exponent >> _BITS]
+
+
+def sums_at(code: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
+    """sum of code[j] * base**j over j < i modulo 2**64, for the ascending positions i of ``at``.
+
+    Runs over blocks, so that its memory does not grow with the text."""
+    block, out = 1 << _BITS, np.zeros(len(at), _U)
+    power, carry, scale = powers(base, block), 0, 1
+    edges = np.searchsorted(at, np.arange(0, len(code) + block, block))
+    for k, start in enumerate(range(0, len(code), block)):
+        part = code[start: start + block].astype(_U) * power[: min(block, len(code) - start)]
+        total = np.zeros(len(part) + 1, _U)
+        np.cumsum(part, out=total[1:])
+        last = start + block >= len(code)
+        mine = slice(edges[k], len(at) if last else edges[k + 1])
+        out[mine] = _U(carry) + _U(scale) * total[at[mine] - start]
+        carry = carry + scale * int(total[-1]) & (1 << 64) - 1
+        scale = scale * int(power[block]) & (1 << 64) - 1
+    return out
+
+
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
@@ -129,18 +156,14 @@ class Words:
             return np.zeros(0, np.int64), np.zeros(0, _U)
         at = np.flatnonzero(self.row[: n - size + 1] == self.row[size - 1:])
         base = _WORD_BASE + 2 * lane * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1 | 1
-        total = np.zeros(n + 1, _U)
-        np.cumsum(self.hash * powers(base, n)[:n], out=total[1:])
-        back = powers(inverse(base), n)
-        return at, mix((total[at + size] - total[at]) * back[at] + _U(size))
+        total = sums_at(self.hash, base, np.arange(n + 1))
+        return at, mix((total[at + size] - total[at]) * powers_at(inverse(base), at) + _U(size))
 
 
 def range_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    n = len(code)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(code.astype(_U) * powers(base, n)[:n], out=total[1:])
-    back = powers(inverse(base), n)
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(_U))
+    """Hash of every range of ``code``; starts and ends ascend."""
+    total = sums_at(code, base, ends) - sums_at(code, base, starts)
+    return mix(total * powers_at(inverse(base), starts) + (ends - starts).astype(_U))
 
 
 def cover(first: np.ndarray, size: int | np.ndarray, n: int) -> np.ndarray:
