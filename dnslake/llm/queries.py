@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.llm import decontaminate, minhash, pieces, quality, secrets, substrings
+from dnslake.llm import decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules
 from dnslake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -32,6 +32,27 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+_OP1 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings
+          UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op1_nn_descent", _OP1)
+def op1(spark, sf):
+    return nndescent.near_vectors(table(spark, sf, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 @query("op2_probminhash")
 def op2(spark, sf):
     return minhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select(
@@ -68,6 +89,31 @@ def op7(spark, sf):
                                       F.coalesce(F.col("decoded") == F.col("text"), F.size("pieces") == 0).alias("lossless"))
 
 
+@query("op8_recurrent_blocks")
+def op8(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, extract.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
+_OP9 = r"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                            ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule,
+       coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id, host, path
+"""
+
+
+@query("op9_url_sweep", _OP9)
+def op9(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return urlrules.judge(pages, urlrules.production_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 _OP10 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS k
