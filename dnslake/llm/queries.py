@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.llm import decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules
+from dnslake.llm import decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules, warc
 from dnslake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -66,6 +66,15 @@ def op3(spark, sf):
         "doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest().alias("items_sha256"), "contaminated")
 
 
+@query("op4_warc_derivatives")
+def op4(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    made = warc.derive(warc.responses(pages, date="2024-01-01T00:00:00Z"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "concurrent_to", "target_uri", "warc_date",
+                       "content_type", "block_digest", "payload_digest", F.octet_length("block").alias("n_bytes"),
+                       F.decode("block", "UTF-8").alias("block"))
+
+
 @query("op5_compression_quality")
 def op5(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
