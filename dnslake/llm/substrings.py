@@ -7,8 +7,8 @@ around it are candidates; the windows of full ``size`` that hold such an anchor
 that occur twice join up to the maximal repeats.
 
 How it runs: documents are dealt into buckets by a hash of their id (one shuffle of the text, which Spark
-reuses for all three passes).  A bucket sends its distinct probe hashes, packed five bytes each, to the
-part that owns the hash; the part answers with those that met a block.  The same exchange, with 96-bit
+reuses for all three passes).  A bucket sends its distinct probe hashes, packed four bytes each, to the
+part that owns the hash; the part answers with those that met a block.  The same exchange, with 95-bit
 hashes, is done for the candidate windows of full size.  Hashes are made distinct before they are sent,
 so a passage that stands in a third of all documents is one entry per sender, and no list of places is
 ever built.
@@ -51,6 +51,18 @@ def _unpack(raw: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending values as steps of four bytes; as values of five where a step is too large."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return b"4" + _pack(steps, 4) if steps.max(initial=0) < 1 << 32 else b"5" + _pack(values, 5)
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"5":
+        return _unpack(raw[1:], 5)
+    return np.cumsum(np.frombuffer(raw, "<u4", -1, 1), dtype=np.uint64)
+
+
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
@@ -84,23 +96,43 @@ def _probes(text: pa.Array, bucket: int, block: int, parts: int) -> dict:
     blocks = np.logical_or.reduceat(is_block, first) if len(first) else np.zeros(0, bool)
     key = key[first]
     value = ((key & _LOW) << np.uint64(2)) | blocks.astype(np.uint64) | ((times > 1).astype(np.uint64) << np.uint64(1))
-    return _messages(bucket, (key >> _LOW_BITS).astype(np.int64), lambda r: _pack(value[r], 5))
+    return _messages(bucket, (key >> _LOW_BITS).astype(np.int64), lambda r: _pack_sorted(value[r]))
+
+
+def _full(words: textops.Words, size: int, only: np.ndarray) -> np.ndarray:
+    """95-bit hashes of the windows of full size at ``only``; the lowest bit of b is free."""
+    pair = np.empty(len(only), _PAIR)
+    pair["a"] = words.windows(size, at=only)[1]
+    pair["b"] = (words.windows(size, lane=1, at=only)[1] >> np.uint64(33)).astype(np.uint32) << np.uint32(1)
+    return pair
 
 
-def _full(words: textops.Words, size: int, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First words and 96-bit hashes of windows of full size."""
-    at, one = words.windows(size)
-    _, two = words.windows(size, lane=1)
-    if only is not None:
-        chosen = only[at]
-        at, one, two = at[chosen], one[chosen], two[chosen]
-    pair = np.empty(len(at), _PAIR)
-    pair["a"], pair["b"] = one, (two >> np.uint64(32)).astype(np.uint32)
-    return at, pair
+def _runs(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the pairs, and where in it each distinct pair begins."""
+    order = np.lexsort((pair["b"], pair["a"]))
+    a, b = pair["a"][order], pair["b"][order]
+    return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
+
+
+class _Known:
+    """Looks windows up among the repeated ones of a bucket."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.table = np.zeros(1 << 22, bool)
+        self.table[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def places(self, words: textops.Words, size: int) -> np.ndarray:
+        """First words of the windows that are known."""
+        at, code = words.windows(size)
+        maybe = self.table[(code >> np.uint64(42)).astype(np.int64)]
+        at, code = at[maybe], code[maybe]
+        place = np.minimum(np.searchsorted(self.hashes, code), len(self.hashes) - 1)
+        return at[self.hashes[place] == code]
 
 
 def _candidates(text: pa.Array, bucket: int, known: np.ndarray, block: int, size: int, parts: int) -> dict:
-    """Distinct full windows that hold an anchor; one byte behind each says: occurs twice here."""
+    """Distinct full windows that hold an anchor; the lowest bit says: occurs twice here."""
     data, offs = textops.flat(text)
     words = textops.Words(data, offs, WORDS)
     at, code = words.windows(block)
@@ -110,14 +142,16 @@ def _candidates(text: pa.Array, bucket: int, known: np.ndarray, block: int, size
     near = np.zeros(len(words) + 1, np.int64)
     np.add.at(near, np.maximum(anchors - (size - block), words.first[words.row[anchors]]), 1)
     np.add.at(near, anchors + 1, -1)
-    _, pair = _full(words, size, np.cumsum(near)[:-1] > 0)
-    order = np.argsort(pair["a"], kind="stable")
-    pair = pair[order]
-    values, times = np.unique(pair, return_counts=True)
+    near = np.cumsum(near)[:-1] > 0
+    near &= np.arange(len(words)) + size <= words.first[words.row + 1]
+    pair = _full(words, size, np.flatnonzero(near))
+    order, first = _runs(pair)
+    values, times = pair[order[first]], np.diff(np.append(first, len(pair)))
     owner = (values["a"] % np.uint64(parts)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     values, times, owner = values[order], times[order], owner[order]
-    return _messages(bucket, owner, lambda r: values[r].tobytes() + (times[r] > 1).astype(np.uint8).tobytes())
+    values["b"] |= (times > 1).astype(np.uint32)
+    return _messages(bucket, owner, lambda r: values[r].tobytes())
 
 
 def _answer(table: pa.Table, keep) -> pa.Table:
@@ -133,7 +167,7 @@ def _answer(table: pa.Table, keep) -> pa.Table:
 
 
 def _met_blocks(bodies: list[bytes]) -> list[bytes]:
-    values = [_unpack(b, 5) for b in bodies]
+    values = [_unpack_sorted(b) for b in bodies]
     flat = np.concatenate(values)
     order = np.argsort(flat, kind="stable")
     key = flat[order] >> np.uint64(2)
@@ -144,18 +178,19 @@ def _met_blocks(bodies: list[bytes]) -> list[bytes]:
     return [_pack(mine[np.isin(mine, good, assume_unique=True)], 5) for mine in (v >> np.uint64(2) for v in values)]
 
 
-def _split_pairs(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(body) // 13
-    return np.frombuffer(body, _PAIR, n), np.frombuffer(body, np.uint8, n, n * 12)
-
-
 def _met_windows(bodies: list[bytes]) -> list[bytes]:
-    got = [_split_pairs(b) for b in bodies]
-    values, place = np.unique(np.concatenate([v for v, _ in got]), return_inverse=True)
-    times = np.bincount(place) + np.bincount(place, weights=np.concatenate([t for _, t in got]))
-    good, at, out = times > 1, 0, []
-    for mine, _ in got:
-        out.append(mine[good[place[at: at + len(mine)]]].tobytes())
+    got = [np.frombuffer(b, _PAIR) for b in bodies]
+    flat = np.concatenate(got)
+    twice = flat["b"] & np.uint32(1)
+    flat["b"] &= np.uint32(0xFFFFFFFE)
+    order, first = _runs(flat)
+    times = np.add.reduceat(1 + twice[order].astype(np.int64), first)
+    good = np.empty(len(flat), bool)
+    good[order] = np.repeat(times > 1, np.diff(np.append(first, len(flat))))
+    at, out = 0, []
+    for mine in got:
+        # 64 bits tell the windows of one bucket apart, which is all the answer is for.
+        out.append(np.ascontiguousarray(mine["a"][good[at: at + len(mine)]]).tobytes())
         at += len(mine)
     return out
 
@@ -217,18 +252,14 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, bytes_per_part: int = BYTE
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         bodies = right.column("body").to_pylist()
-        known = np.unique(np.concatenate([np.frombuffer(b, _PAIR) for b in bodies])) if bodies else np.zeros(0, _PAIR)
+        known = _Known(np.concatenate([np.frombuffer(b, np.uint64) for b in bodies])) if bodies else None
         total, gone, text = [], [], []
         for batch in left.to_batches():
             for part in textops.slices(batch, "text"):
                 words = textops.Words(*textops.flat(part.column("text")), WORDS)
                 removed = np.zeros(len(words), bool)
-                if len(known):
-                    at, pair = _full(words, size)
-                    maybe = np.flatnonzero(np.isin(pair["a"], known["a"]))
-                    maybe = maybe[np.isin(pair[maybe], known)]
-                    if len(maybe):
-                        removed = textops.cover(at[maybe], size, len(words))
+                if known:
+                    removed = textops.cover(known.places(words, size), size, len(words))
                 total.append(words.counts)
                 gone.append(np.bincount(words.row[removed], minlength=len(words.counts)))
                 text.extend(_kept(words, removed))

@@ -149,12 +149,13 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def windows(self, size: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """First word of every window of ``size`` words inside one row, and its hash."""
+    def windows(self, size: int, lane: int = 0, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First word of every window of ``size`` words inside one row (or of those at ``at``), and its hash."""
         n = len(self.hash)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, _U)
-        at = np.flatnonzero(self.row[: n - size + 1] == self.row[size - 1:])
+        if at is None:
+            at = np.flatnonzero(self.row[: n - size + 1] == self.row[size - 1:])
         base = _WORD_BASE + 2 * lane * 0x8CB92BA72F3D8DD7 & (1 << 64) - 1 | 1
         total = sums_at(self.hash, base, np.arange(n + 1))
         return at, mix((total[at + size] - total[at]) * powers_at(inverse(base), at) + _U(size))
