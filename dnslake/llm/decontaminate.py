@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dnslake.llm import textops
-from dnslake.llm.frames import add_columns
+from dnslake.llm.frames import add_columns, pack, unpack
 from dnslake.session import cut_lineage
 
 SIZE = 13
@@ -119,7 +119,7 @@ def _scan_block(docs: DataFrame, sent, size: int, first: bool) -> DataFrame:
                 data, offs = textops.flat(part.column("text"))
                 words = textops.Words(data, offs, WORDS)
                 hit, items = find(windows, words)
-                before = None if first else (part.column("hit_words").to_pylist(), part.column("items").to_pylist())
+                before = None if first else (part.column("__hit_words").to_pylist(), part.column("__items").to_pylist())
                 if before:
                     for row, ranges in enumerate(before[0]):
                         items[row].update(before[1][row])
@@ -140,13 +140,16 @@ def _scan_block(docs: DataFrame, sent, size: int, first: bool) -> DataFrame:
                     "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     "hit_words": pa.array(ranges, pa.list_(pa.list_(pa.int64())))}
 
+    if not first:
+        docs = docs.withColumnsRenamed({"hit_words": "__hit_words", "items": "__items"})
     return add_columns(docs, step,
-                       "n_words long, n_hit long, items array<string>, hit_words array<array<bigint>>")
+                       "n_words long, n_hit long, items array<string>, hit_words array<array<bigint>>").drop(
+        "__hit_words", "__items")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that are not contaminated, with the columns they came with."""
-    return scan(docs, benchmark, **how).where(~F.col("contaminated")).select(*docs.columns)
+    return unpack(scan(pack(docs, "text"), benchmark, **how).where(~F.col("contaminated")), docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -163,8 +166,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
                 texts = [data[a:b][keep[a:b]].tobytes().decode() for a, b in zip(offs[:-1], offs[1:])]
                 yield part, {"text": pa.array(texts, pa.string())}
 
-    found = scan(docs, benchmark, **how)
-    return add_columns(found, step, "text string").select(*docs.columns)
+    found = scan(pack(docs, "text"), benchmark, **how)
+    return unpack(add_columns(found, step, "text string"), docs.columns)
 
 
 def items_digest(items: str = "items"):

@@ -43,6 +43,18 @@ def add_columns(df: DataFrame, step: Callable, new: str, text: str = "text") ->
     return source.mapInArrow(run, schema)
 
 
+def pack(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns a step works on, and one column with the whole row but its text: no name can clash."""
+    return docs.select(*[F.col(f"`{c}`") for c in used], F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"))
+
+
+def unpack(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that were packed, in their order; ``changed`` gives new values."""
+    return rows.select(*[(changed[n] if n in changed else F.col("text") if n == "text" else F.col("__row").getField(n)).alias(n)
+                         for n in names])
+
+
 def parts_for(df: DataFrame, text: str, bytes_per_part: int) -> int:
     """Number of parts so that each holds about ``bytes_per_part`` of text: grows with the input."""
     total = df.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0

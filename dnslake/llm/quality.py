@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dnslake.llm import textops
-from dnslake.llm.frames import add_columns, bound_text
+from dnslake.llm.frames import add_columns, bound_text, pack, unpack
 
 THRESHOLD = 0.3
 PIECE = 2048
@@ -208,5 +208,5 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 def keep_good(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The documents that the classifier accepts, with the columns they came with."""
-    scored = score_documents(docs, train(docs, labels, **bounds))
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = score_documents(pack(docs, "text"), train(docs, labels, **bounds))
+    return unpack(scored.where("predicted = 1"), docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dnslake.llm import textops
-from dnslake.llm.frames import add_columns
+from dnslake.llm.frames import add_columns, pack, unpack
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -266,9 +266,9 @@ def redact(docs: DataFrame, mark: str = "<secret>", alpha: float = ALPHA) -> Dat
                 texts[i] = "".join(pieces) + text[done:]
             yield batch, {"text": pa.array(texts, pa.string())}
 
-    found = find_secrets(docs, alpha)
-    done = add_columns(found, step, "text string")
+    done = add_columns(find_secrets(pack(docs, "text"), alpha), step, "text string")
+    changed = {}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-                               .otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        before = F.col("__row").getField("n_chars")
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(before)
+    return unpack(done, docs.columns, **changed)
