@@ -109,8 +109,9 @@ def suffix_match(hosts: DataFrame, table: DataFrame, host: str = "host",
     wins.  Output: the distinct hosts that match, with the columns of the matching table row.
     """
     rest = [c for c in table.columns if c != suffix]
-    rows = table.groupBy(suffix).agg(*[F.min(c).alias(c) for c in rest]) if rest \
-        else table.select(suffix).distinct()
+    # Of several rows on one suffix a whole row counts, the least by its columns in order.
+    rows = table.groupBy(suffix).agg(F.min(F.struct(*rest)).alias("_row")).select(
+        suffix, "_row.*") if rest else table.select(suffix).distinct()
     tried = hosts.select(host).distinct().withColumn(
         suffix, F.explode(suffixes(normalize_host(host))))
     best = F.max_by(F.struct(suffix, *rest), F.length(suffix))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnslake.operators.windows import first_n
+from dnslake.operators.windows import gaps
 
 
 def preceded_within(df: DataFrame, key: str, other: str, ts: str, gap: int,
@@ -53,33 +53,25 @@ def third_party_ratio(events: DataFrame, gap: int = 3, min_total: int = 5,
         .withColumn("third_party_ratio", F.col("third_party") / F.col("sample_size")))
 
 
-def interval_cv(events: DataFrame, first: int = 2000, keys: tuple[str, ...] = ("name",)
-                ) -> DataFrame:
-    """Population deviation over mean of the positive gaps among a name's earliest events.
+def interval_cv(events: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Population deviation over mean of the positive gaps between a name's events.
 
     0 with fewer than three events or two gaps.  With the client among the keys, regularity is
     judged per client.
     """
     rows = events.select(*keys, F.date_trunc("second", "occurred_at").alias("occurred_at"),
                          F.lit(1).alias("_n"))
-    return _regularity(rows, list(keys), first)
+    return _regularity(rows, list(keys))
 
 
-def _regularity(rows: DataFrame, keys: list[str], first: int) -> DataFrame:
-    """Events of one second are equal in time, so they stay one row with a count.  Only the
-    earliest seconds of a key reach the window, see :func:`first_n`."""
-    seconds = rows.groupBy(*keys, F.unix_seconds("occurred_at").alias("_s")).agg(
+def _regularity(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of one second are equal in time, so they stay one row with a count; gaps run inside
+    time cells of a key, and their sums combine before the shuffle."""
+    seconds = rows.groupBy(*keys, F.date_trunc("second", "occurred_at").alias("_at")).agg(
         F.sum("_n").alias("_n"))
-    by_time = Window.partitionBy(*keys).orderBy("_s")
-    seen = F.sum("_n").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    ordered = (first_n(seconds, keys, [F.col("_s")], first)
-               .withColumn("_seen", F.coalesce(seen, F.lit(0)))
-               .where(F.col("_seen") < first)
-               .withColumn("_taken", F.least(F.col("_n"), F.lit(first) - F.col("_seen")))
-               .withColumn("_gap", F.col("_s") - F.lag("_s").over(by_time)))
-    stats = ordered.groupBy(*keys).agg(
-        F.sum("_taken").alias("_events"), F.count("_gap").alias("_gaps"),
-        F.avg("_gap").alias("_mean"), F.stddev_pop("_gap").alias("_std"))
+    stats = gaps(seconds, keys, "_at").groupBy(*keys).agg(
+        F.sum("_n").alias("_events"), F.count("gap").alias("_gaps"),
+        F.avg("gap").alias("_mean"), F.stddev_pop("gap").alias("_std"))
     enough = (F.col("_events") >= 3) & (F.col("_gaps") >= 2)
     return stats.select(*keys, F.when(enough, F.col("_std") / F.col("_mean"))
                         .otherwise(F.lit(0.0)).alias("interval_cv"))
@@ -91,7 +83,7 @@ def behavior(events: DataFrame, gap: int = 3, min_total: int = 5,
 
     Both measures read the counted log, whose shuffle Spark reuses: the log is scanned once.
     """
-    regular = _regularity(per_second(events, client), ["name"], 2000)
+    regular = _regularity(per_second(events, client), ["name"])
     return (third_party_ratio(events, gap, min_total, client).join(regular, "name", "left")
             .select("name", "third_party_ratio",
                     F.coalesce("interval_cv", F.lit(0.0)).alias("interval_cv"), "sample_size"))

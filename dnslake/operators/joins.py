@@ -152,8 +152,9 @@ def longest_prefix_join(ips: DataFrame, cidrs: DataFrame, v4_lengths: list[int]
     v4_lengths = list(range(8, 33)) if v4_lengths is None else v4_lengths
     v6_lengths = list(range(19, 129)) if v6_lengths is None else v6_lengths
     rest = [c for c in cidrs.columns if c not in ("net_key", "bits")]
-    nets_once = cidrs.groupBy("net_key", "bits").agg(*[F.min(c).alias(c) for c in rest]) \
-        if rest else cidrs.select("net_key", "bits").distinct()
+    # Of several rows on one network a whole row counts, the least by its columns in order.
+    nets_once = cidrs.groupBy("net_key", "bits").agg(F.min(F.struct(*rest)).alias("_row")).select(
+        "net_key", "bits", "_row.*") if rest else cidrs.select("net_key", "bits").distinct()
     hit = F.max_by(F.struct("net_key", "bits", *rest), "bits").alias("_m")
     best = (_probed(ips, v4_lengths, v6_lengths).join(nets_once, ["net_key", "bits"])
             .groupBy("ip_key").agg(hit).select("ip_key", "_m.*"))

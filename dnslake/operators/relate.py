@@ -26,16 +26,16 @@ def busy_keys(events: DataFrame, key: str = "name", at_least: int = 5) -> DataFr
 
 
 def co_occurrence_counts(events: DataFrame, key: str = "name", gap: int = 3, min_count: int = 3,
-                         client: str = "client_id", busy: int = 5, ordered: bool = True,
+                         client: str = "client_id", busy: int = 1, ordered: bool = True,
                          rows_per_task: int = 100_000) -> DataFrame:
     """How often two keys meet: one client, the second key 1..``gap`` seconds after the first.
 
     ``ordered`` counts a pair only when the lesser key comes first; otherwise both orders count.
-    Rare keys go first (a pair cannot be more frequent than its keys), then events collapse to one
-    row per (client, key, second) with a count, so a pair of rows stands for many pairs of events.
+    Events collapse to one row per (client, key, second) with a count, so a pair of rows stands for
+    many pairs of events.  ``busy`` above 1 leaves out keys with fewer events; by default all count.
     That table is written once; the log is not read again for the two sides of the join.
     """
-    recent = events.join(busy_keys(events, key, max(busy, 1)), key, "left_semi")
+    recent = events.join(busy_keys(events, key, busy), key, "left_semi") if busy > 1 else events
     cells = (recent.groupBy(client, key, F.unix_seconds("occurred_at").alias("_t"))
              .agg(F.count("*").alias("_n")))
     cells = cut_lineage(cells)
@@ -78,11 +78,11 @@ def co_occurrence_edges(events: DataFrame, gap: int = 3, min_count: int = 3, key
 
 def mirrored(edges: DataFrame) -> DataFrame:
     """Edges with both directions for the undirected kinds; no self loops."""
-    edges = edges.where(F.col("from_id") != F.col("to_id"))
-    back = edges.where(F.col("kind") != "cname_to").select(
-        F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"),
-        "kind", "strength", "detail")
-    return edges.unionByName(back)
+    there = F.struct("from_id", "to_id")
+    back = F.struct(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    ways = F.when(F.col("kind") == "cname_to", F.array(there)).otherwise(F.array(there, back))
+    return (edges.where(F.col("from_id") != F.col("to_id")).withColumn("_way", F.explode(ways))
+            .select("_way.from_id", "_way.to_id", "kind", "strength", "detail"))
 
 
 def upsert_edges(base: DataFrame, new: DataFrame) -> DataFrame:
@@ -161,9 +161,10 @@ def chosen(relations: DataFrame, kinds: list[str] | None, min_strength: float) -
 
 def both_directions(relations: DataFrame) -> DataFrame:
     """Distinct (id, other, kind) over both directions."""
-    out = relations.select(F.col("from_id").alias("id"), F.col("to_id").alias("other"), "kind")
-    back = relations.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"), "kind")
-    return out.union(back).distinct()
+    ways = F.array(F.struct(F.col("from_id").alias("id"), F.col("to_id").alias("other")),
+                   F.struct(F.col("to_id").alias("id"), F.col("from_id").alias("other")))
+    return (relations.select("kind", F.explode(ways).alias("_way"))
+            .select("_way.id", "_way.other", "kind").distinct())
 
 
 def degree(relations: DataFrame, kinds: list[str] | None = None,

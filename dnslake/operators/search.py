@@ -13,12 +13,14 @@ def search(df: DataFrame, q: str, name: str = "name") -> DataFrame:
 
     With a ``name_rev`` column the suffix form is a prefix test, which file statistics can prune.
     """
-    q = q.strip().lower()
+    q = q.strip()
     col = F.col(name)
     if not q:
         return df
     if len(q) > 2 and q.startswith("/") and q.endswith("/"):
+        # Names are lower case; the pattern keeps its case, since "not a digit" and "a digit" differ by it.
         return df.where(col.rlike(q[1:-1]))
+    q = q.lower()
     if q.startswith("*."):
         suffix = q[2:]
         if "name_rev" in df.columns:

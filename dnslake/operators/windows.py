@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dnslake.session import cut_lineage
+
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
             shares: int = 1024) -> DataFrame:
@@ -22,20 +24,21 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return rows.drop("_share", "_rn")
 
 
-def gaps(df: DataFrame, key: str, ts: str, cell_seconds: int = 3600) -> DataFrame:
+def gaps(df: DataFrame, key: str | list[str], ts: str, cell_seconds: int = 3600) -> DataFrame:
     """Add ``gap``: seconds since the previous row of the same key (null for its first row).
 
     ``lag`` runs inside (key, time cell); the first row of a cell takes the last time of the
     previous non-empty cell from a summary that has one row per cell.
     """
+    keys = [key] if isinstance(key, str) else key
     sec = F.unix_micros(ts) / F.lit(1_000_000)
     cell = F.floor(F.unix_seconds(ts) / cell_seconds)
     rows = df.withColumn("_s", sec).withColumn("_cell", cell)
-    inside = F.lag("_s").over(Window.partitionBy(key, "_cell").orderBy("_s"))
-    before = F.lag("_last").over(Window.partitionBy(key).orderBy("_cell"))
-    summary = (rows.groupBy(key, "_cell").agg(F.max("_s").alias("_last"))
+    inside = F.lag("_s").over(Window.partitionBy(*keys, "_cell").orderBy("_s"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell"))
+    summary = (rows.groupBy(*keys, "_cell").agg(F.max("_s").alias("_last"))
                .withColumn("_before", before).drop("_last"))
-    return (rows.withColumn("_in", inside).join(summary, [key, "_cell"], "left")
+    return (rows.withColumn("_in", inside).join(summary, [*keys, "_cell"], "left")
             .withColumn("gap", F.col("_s") - F.coalesce("_in", "_before"))
             .drop("_s", "_cell", "_in", "_before"))
 
@@ -68,9 +71,23 @@ def prune_snapshots(df: DataFrame, keep: int) -> DataFrame:
 
 
 def number_batches(df: DataFrame, order: list[Column], size: int = 40,
-                   limit: int = 120) -> DataFrame:
-    """Batch numbers for the first ``limit`` rows (the size of one run)."""
-    top = df.orderBy(*order).limit(limit)
-    rank = F.row_number().over(Window.orderBy(*order))
-    return (top.withColumn("position", rank)
-            .withColumn("batch", F.floor((F.col("position") - 1) / size)))
+                   limit: int | None = None) -> DataFrame:
+    """Position of every row in the given order, and its batch; of the first ``limit`` rows if set.
+
+    Rows are sorted by range and written; a partition's first position follows from the sizes of
+    those before it, so only one number per partition meets in one task.
+    """
+    rows = df.orderBy(*order)
+    if limit is not None:
+        rows = rows.limit(limit)
+    # The id's upper bits number the partition in sort order, its lower bits the row in it.
+    rows = cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn(
+        "_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_size")).select(
+        "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return (rows.join(starts, "_part")
+            .withColumn("position", F.col("_before") + F.col("_at") + 1)
+            .withColumn("batch", F.floor((F.col("position") - 1) / size))
+            .drop("_id", "_part", "_at", "_before"))

@@ -323,35 +323,3 @@ def replies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
             .select("reply_id", fenced.alias("reply")))
     asked = p.where(d != 0).select("reply_id", _line_name(key).alias("domain"))
     return rows, asked
-
-
-def packets(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as mirrored datagrams: questions, answers for every third, some damaged."""
-    def byte(n: Column) -> Column:
-        return F.lpad(F.hex(n.cast("long")), 2, "0")
-
-    def word(n: Column) -> Column:
-        return F.lpad(F.hex(n.cast("long")), 4, "0")
-
-    def label(s: Column) -> Column:
-        return F.concat(byte(F.length(s)), F.hex(s.cast("binary")))
-
-    e = events(spark, sf)
-    k, c = F.col("k"), F.col("client_id")
-    answer = k % 3 == 0
-    qname = F.concat(label(F.concat(F.lit("H"), k.cast("string"))), label(F.col("event_type")),
-                     label(F.lit("example")), F.lit("00"))
-    question = F.concat(qname, word(F.col("qtype")), F.lit("0001"))
-    record = F.concat(F.lit("C00C00010001"), F.lit("0000"), word(c % 5 * 60 + 60),
-                      F.lit("00040A"), byte(k % 25), byte(c % 3), byte(k % 7))
-    dns = F.when(answer, F.concat(F.lit("123481800001000100000000"), question, record)).otherwise(
-        F.concat(F.lit("123401000001000000000000"), question))
-    ports = F.when(answer, F.lit("00359C40")).otherwise(F.lit("9C400035"))
-    udp = F.concat(ports, F.lit("00000000"), dns)
-    source = F.concat(F.lit("0A00"), byte(F.floor(c / 256) % 256), byte(c % 256))
-    ip = F.concat(F.lit("45000000000000004011"), F.lit("0000"), source, F.lit("08080808"), udp)
-    vlan = F.when(k % 2 == 0, F.lit("81000001")).otherwise(F.lit(""))
-    frame = F.concat(F.lit("01000001" "0A0101" "00" "01"), F.repeat(F.lit("00"), F.lit(12)), vlan,
-                     F.lit("0800"), ip)
-    damaged = F.when(k % 10 == 9, F.left(frame, F.lit(60))).otherwise(frame)
-    return e.select(F.col("occurred_at").alias("ts"), F.unhex(damaged).alias("payload"))

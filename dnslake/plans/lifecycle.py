@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslake import refdata
-from dnslake.functions.names import protecting_rule, valid_domain
+from dnslake.functions.names import protecting_rule, suffix_rules, valid_domain, with_etld1
 from dnslake.operators.windows import latest_per
 from dnslake.sources.events import cutoff
 
@@ -182,22 +182,25 @@ def add_domains(domains: DataFrame, names: DataFrame, ranks: DataFrame | None =
 
 
 def import_hosts(domains: DataFrame, entries: DataFrame, actor: str, as_of: str,
-                 soft: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 soft: tuple[str, ...] = (), rules: DataFrame | None = None,
+                 category: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Block every name of a parsed hosts file by hand; returns (domains, decisions, counts).
 
-    Unknown names enter first with origin ``imported``.
+    Unknown names enter first with origin ``imported``, with their registrable name by the public
+    suffix ``rules`` (the short default list if none are given).  ``category`` goes to all names.
     """
     names = entries.select(F.col("domain").alias("name")).distinct()
-    fresh = names.join(domains.select("name"), "name", "left_anti")
+    fresh = with_etld1(names.join(domains.select("name"), "name", "left_anti"),
+                       suffix_rules(domains.sparkSession) if rules is None else rules, out="_root")
     blank = fresh.select("name", *[
-        {"etld1": F.col("name"), "status": F.lit("new"), "origin": F.lit("imported"),
+        {"etld1": F.col("_root"), "status": F.lit("new"), "origin": F.lit("imported"),
          "is_manual": F.lit(False), "query_count": F.lit(0).cast("long"),
          "first_seen": _ts(as_of), "last_seen": _ts(as_of)}.get(
              f.name, F.lit(None).cast(f.dataType)).cast(f.dataType).alias(f.name)
         for f in domains.schema if f.name != "name"])
     requests = names.select(
         "name", F.lit("block").alias("action"), F.lit(actor).alias("actor"),
-        F.lit("hosts import").alias("reason"), F.lit(None).cast("string").alias("category"),
+        F.lit("hosts import").alias("reason"), F.lit(category).cast("string").alias("category"),
         F.lit(True).alias("manual"), F.lit(1).alias("seq"))
     allowed = blank.where(protecting_rule("name", soft).isNull())
     out, decisions, skipped = apply_decisions(

@@ -52,21 +52,22 @@ def list_fingerprint(entries: DataFrame, sink: str = refdata.SINK_ADDRESS) -> Da
         F.col("_xor").cast("string")).alias("checksum"))
 
 
-def list_checksum_exact(entries: DataFrame, sink: str = refdata.SINK_ADDRESS,
-                        max_names: int = 1_000_000) -> DataFrame:
-    """SHA-256 over sink and names in order, zero byte after each, for lists up to ``max_names``.
+def list_checksum(entries: DataFrame, sink: str = refdata.SINK_ADDRESS) -> DataFrame:
+    """SHA-256 of every list, by the same rule at any size.
 
-    That hash is serial by nature, so longer lists take the fingerprint instead; they are told
-    apart before any list is gathered.
+    Names are dealt over ``256`` shares by their own hash; a share is hashed in order, then the
+    hashes of the shares.  No list is gathered whole, and another sink is another content.
     """
-    prints = list_fingerprint(entries, sink)
-    small = prints.where(F.col("entry_count") <= max_names).select("list_key")
-    names = F.array_sort(F.collect_list("domain"))
-    body = F.concat(F.lit(sink), F.lit("\0"), F.array_join(names, "\0"), F.lit("\0"))
-    exact = (entries.join(small, "list_key", "left_semi").groupBy("list_key")
-             .agg(F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("_exact")))
-    return (prints.join(exact, "list_key", "left")
-            .select("list_key", "entry_count", F.coalesce("_exact", "checksum").alias("checksum")))
+    share = F.substring(F.sha2("domain", 256), 1, 2)
+    body = F.array_join(F.array_sort(F.collect_list("domain")), "\0")
+    parts = (entries.groupBy("list_key", share.alias("_share"))
+             .agg(F.count("*").alias("_n"), F.sha2(body, 256).alias("_sum")))
+    whole = F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_share", "_sum"))),
+        lambda p: F.concat(p["_share"], F.lit(":"), p["_sum"])), ",")
+    return parts.groupBy("list_key").agg(
+        F.sum("_n").alias("entry_count"),
+        F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(sink), F.lit("\0"), whole), 256)).alias("checksum"))
 
 
 def last_snapshots(snapshots: DataFrame) -> DataFrame:

@@ -191,10 +191,12 @@ def hosts_lines(spark, sf):
     return publish.hosts_lines(_lists(spark, sf))
 
 
-@query(f"""WITH {LISTS} SELECT list_key, count(*) AS entry_count, 'sha256:' || sha256('0.0.0.0' || chr(0)
-|| string_agg(domain, chr(0) ORDER BY domain) || chr(0)) AS checksum FROM lists GROUP BY 1""")
+@query(f"""WITH {LISTS}, shares AS (SELECT list_key, substr(sha256(domain), 1, 2) AS s, count(*) AS n,
+sha256(string_agg(domain, chr(0) ORDER BY domain)) AS h FROM lists GROUP BY 1, 2)
+SELECT list_key, CAST(sum(n) AS BIGINT) AS entry_count, 'sha256:' || sha256('0.0.0.0' || chr(0)
+|| string_agg(s || ':' || h, ',' ORDER BY s)) AS checksum FROM shares GROUP BY 1""")
 def list_checksums(spark, sf):
-    return publish.list_checksum_exact(_lists(spark, sf))
+    return publish.list_checksum(_lists(spark, sf))
 
 
 @query(f"""WITH {DOM}, {CATEGORIES} SELECT name, coalesce(c.publish_path || '|all.txt|', '') ||

@@ -320,10 +320,8 @@ def preceded_within(spark, sf):
                                         F.count_if("preceded").alias("preceded"))
 
 
-CV = f"""WITH {EV}, early AS (
-  SELECT *, row_number() OVER (PARTITION BY name ORDER BY occurred_at) AS rn FROM dns_events),
-g AS (SELECT name, epoch(occurred_at) - lag(epoch(occurred_at)) OVER (
-  PARTITION BY name ORDER BY occurred_at) AS gap FROM early WHERE rn <= 2000)
+CV = f"""WITH {EV}, g AS (SELECT name, epoch(occurred_at) - lag(epoch(occurred_at)) OVER (
+  PARTITION BY name ORDER BY occurred_at) AS gap FROM dns_events)
 SELECT name, CASE WHEN count(*) < 3 OR count(*) FILTER (gap > 0) < 2 THEN 0.0
 ELSE stddev_pop(gap) FILTER (gap > 0) / avg(gap) FILTER (gap > 0) END AS interval_cv
 FROM g GROUP BY 1"""
@@ -336,13 +334,12 @@ def interval_cv(spark, sf):
 
 @query(f"""WITH {EV}, early AS (SELECT etld1, epoch(occurred_at) AS s, row_number() OVER (
   PARTITION BY etld1 ORDER BY occurred_at) AS rn FROM dns_events),
-g AS (SELECT etld1, s - lag(s) OVER (PARTITION BY etld1 ORDER BY rn) AS gap FROM early
-  WHERE rn <= 300)
+g AS (SELECT etld1, s - lag(s) OVER (PARTITION BY etld1 ORDER BY rn) AS gap FROM early)
 SELECT etld1, round(stddev_pop(gap) / avg(gap), 6) AS interval_cv FROM g WHERE gap > 0
 GROUP BY 1""")
 def interval_cv_hot_key(spark, sf):
-    """Few keys with many events each: only the earliest reach the final step."""
-    return behavior.interval_cv(A.events(spark, sf), first=300, keys=("etld1",)).select(
+    """Few keys with many events each: gaps run inside time cells."""
+    return behavior.interval_cv(A.events(spark, sf), keys=("etld1",)).select(
         "etld1", six("interval_cv"))
 
 
@@ -392,7 +389,7 @@ def co_occurrence(spark, sf):
 @query(_pairs("name", 21600, "a.name <> b.name"))
 def co_occurrence_both_orders(spark, sf):
     """Every pair of names, in small shares of the cells."""
-    return relate.co_occurrence_counts(A.events(spark, sf), "name", 21600, min_count=1, busy=1,
+    return relate.co_occurrence_counts(A.events(spark, sf), "name", 21600, min_count=1,
                                        ordered=False, rows_per_task=8)
 
 
@@ -420,7 +417,7 @@ WHERE log2(pab / (pa * pb)) > 0)
 SELECT a AS from_id, b AS to_id, 'co_occurs' AS kind, strength FROM e
 UNION ALL SELECT b, a, 'co_occurs', strength FROM e""")
 def co_occurrence_edges(spark, sf):
-    return relate.co_occurrence_edges(A.events(spark, sf), 21600, 2, busy=2).select(
+    return relate.co_occurrence_edges(A.events(spark, sf), 21600, 2).select(
         "from_id", "to_id", "kind", six("strength"))
 
 

@@ -719,9 +719,13 @@ def precision_recall(spark, sf):
         "true_positive", "predicted", "actual", "labelled", six("precision"), six("recall"))
 
 
-@query()
+@query(f"""{SCORED}, banded AS (SELECT name, coalesce(score, 0.0) AS score, CASE WHEN coalesce(score, 0) < 3
+THEN 'under' WHEN score < 5.5 THEN 'near' WHEN score < 8 THEN 'over' ELSE 'far' END AS band FROM scores),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5(name), name) AS rn FROM banded)
+SELECT name, score, band FROM ranked
+WHERE rn <= CASE band WHEN 'near' THEN 100 WHEN 'over' THEN 100 ELSE 50 END""")
 def evaluation_sample(spark, sf):
-    """Stratified by score band in the order of Spark's own hash, hence without SQL."""
+    """Stratified by score band, in the order of a hash of the name."""
     return score.eval_sample(score.score(score_rows(spark, sf, only_open=False))).select(
         "name", "score", "band")
 
@@ -733,11 +737,11 @@ def evaluation_sample(spark, sf):
 CASE p_partkey % 10 WHEN 1 THEN 'ads' WHEN 4 THEN 'tracking' ELSE 'content' END AS category,
 CAST(CASE p_partkey % 10 WHEN 1 THEN 0.85 WHEN 4 THEN 0.9 WHEN 6 THEN 0.6 WHEN 7 THEN 0.7
 WHEN 8 THEN 0.8 ELSE 0.9 END AS DOUBLE) AS confidence,
-CASE p_partkey % 10 WHEN 1 THEN 'first,  with comma' WHEN 4 THEN 'quoted, text' ELSE 'ok' END AS reason
+CASE p_partkey % 10 WHEN 1 THEN 'first, with comma' WHEN 4 THEN 'quoted, text' ELSE 'ok' END AS reason
 FROM part WHERE p_partkey % 10 IN (1, 4, 6, 7, 8, 9)""")
 def model_verdicts(spark, sf):
     verdicts, _ = replies.parse_replies(*A.replies(spark, sf))
-    return verdicts.withColumn("reason", F.regexp_replace("reason", "first, +with", "first,  with"))
+    return verdicts
 
 
 @query("""SELECT p_partkey // 40 AS reply_id, count(*) FILTER (p_partkey % 10 IN (1, 4, 6, 7, 8, 9))
@@ -749,11 +753,11 @@ def model_reply_counts(spark, sf):
 
 
 @query(f"""WITH {DOM}, t AS (SELECT name, query_count, client_count, row_number() OVER (
-ORDER BY query_count DESC, name) - 1 AS p FROM dom ORDER BY query_count DESC, name LIMIT 120)
-SELECT CAST(p // 40 AS BIGINT) AS batch, count(*) AS n, 'Phân loại ' || count(*) ||
-' domain sau. Trả về đúng ' || count(*) || ' dòng CSV.' || chr(10) || chr(10) ||
-string_agg(name || ' | truy_van=' || query_count || ' | thiet_bi=' || client_count, chr(10)
-ORDER BY p) || chr(10) AS prompt FROM t GROUP BY 1""")
+ORDER BY query_count DESC, name) - 1 AS p FROM dom)
+SELECT CAST(p // 40 AS BIGINT) AS batch, count(*) AS n,
+'One CSV line (domain,category,confidence,reason) for each of these names, ' || count(*) ||
+' in all:' || chr(10) || string_agg('- ' || name || ': ' || query_count || ' queries, ' ||
+client_count || ' clients', chr(10) ORDER BY p) AS prompt FROM t GROUP BY 1""")
 def model_prompts(spark, sf):
     empty = facts_plan.facts_wide(A.facts(spark, sf).where(F.col("source") == ""), A.AS_OF)
     rows = (A.domains(spark, sf).join(empty, "name", "left")
@@ -762,7 +766,7 @@ def model_prompts(spark, sf):
 
 
 @query(f"""WITH {DOM}, t AS (SELECT name, query_count, row_number() OVER (
-ORDER BY query_count DESC, name) AS position FROM dom ORDER BY query_count DESC, name LIMIT 120)
+ORDER BY query_count DESC, name) AS position FROM dom)
 SELECT name, position, CAST((position - 1) // 40 AS BIGINT) AS batch FROM t""")
 def batch_numbers(spark, sf):
     d = A.domains(spark, sf).select("name", "query_count")

@@ -1,4 +1,4 @@
-"""Queries about addresses, networks, threats, packets and exports."""
+"""Queries about addresses, networks, threats and exports."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from dnslake.plans import adapters as A
 from dnslake.plans.queries_log import CV
 from dnslake.plans.registry import ANS, DOM, EV, RANGE, query, sec
 from dnslake.session import work_path
-from dnslake.sources import lists, packets, tables
+from dnslake.sources import lists, tables
 from dnslake.sources.events import stream_events
 from dnslake.streaming import streams
 
@@ -265,28 +265,7 @@ def export_manifest(spark, sf):
         A.FROM, A.TO).select("file", "rows")
 
 
-# Packets and files -------------------------------------------------------------------------------
-
-
-@query(f"""WITH {EV} SELECT '10.0.' || (client_id // 256 % 256) || '.' || (client_id % 256) AS client,
-name, qtype, count(*) AS n FROM dns_events WHERE k % 3 <> 0 AND k % 10 <> 9 GROUP BY 1, 2, 3""")
-def packet_queries(spark, sf):
-    queries, _, _ = packets.decode_packets(A.packets(spark, sf))
-    return queries.groupBy("client", "name", "qtype").agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {EV} SELECT name, '10.' || (k % 25) || '.' || (client_id % 3) || '.' || (k % 7) AS ip,
-client_id % 5 * 60 + 60 AS ttl, CAST(epoch(occurred_at) AS BIGINT) AS occurred_at
-FROM dns_events WHERE k % 3 = 0 AND k % 10 <> 9""")
-def packet_answers(spark, sf):
-    _, answers, _ = packets.decode_packets(A.packets(spark, sf))
-    return answers.select("name", F.explode("ips").alias("ip"), "ttl", sec("occurred_at"))
-
-
-@query(f"WITH {EV} SELECT count(*) AS n FROM dns_events WHERE k % 10 = 9")
-def packet_errors(spark, sf):
-    _, _, errors = packets.decode_packets(A.packets(spark, sf))
-    return errors.agg(F.count("*").alias("n"))
+# Files -------------------------------------------------------------------------------------------
 
 
 @query("""SELECT 10 AS octet, count(*) AS n FROM part WHERE p_partkey % 3 = 0

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dnslake import refdata
-from dnslake.functions.names import clip
 from dnslake.operators.windows import number_batches
 
 
@@ -31,80 +30,88 @@ def confidence_of(raw: Column) -> Column:
 
 
 def evidence_line(df: DataFrame) -> DataFrame:
-    """``(name, line, query_count)``: the name and what is known of it; empty parts are skipped.
+    """``(name, line, query_count)``: a list item with the name and what is known of it.
 
-    Input is a candidate row of the scorer.
+    Input is a candidate row of the scorer; what is unknown is left out.
     """
-    def some(test: Column, *parts: Column | str) -> Column:
-        return F.when(test, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
-
-    def text(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(""))
-
-    def number(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0))
+    def known(value: Column, text: str) -> Column:
+        return F.when(value.isNotNull() & (value.cast("string") != "") & (value.cast("string") != "0"),
+                      F.format_string(text, value.cast("string")))
 
     chain = F.col("dns.cname_chain")
     # slice, not element_at: an empty array must not fail under ANSI rules.
-    last = F.coalesce(F.get(F.slice(chain, -1, 1), F.lit(0)), F.lit(""))
-    heading = F.trim(F.regexp_replace(text("http.title"), r"[\s|]+", " "))
-    blank = F.col("http").isNotNull() & (
-        F.coalesce("http.is_pixel", F.lit(False)) | (number("http.text_len") < 200))
-    parts = [
-        some(last != "", "cname=", last),
-        some(text("asn.org") != "", "asn=", clip("asn.org", 40)),
-        some(number("query_count") > 0, "truy_van=", F.col("query_count").cast("string")),
-        some(number("client_count") > 0, "thiet_bi=", F.col("client_count").cast("string")),
-        F.when(F.col("in_list"), "co_trong_blocklist")
-        .when(F.col("etld1_in_list"), "ten_mien_goc_trong_blocklist"),
-        some(number("rank.tranco") > 0, "hang_tranco=", F.col("rank.tranco").cast("string")),
-        some(number("rdap.age_days").between(1, 179), "tuoi_ngay=",
-             F.col("rdap.age_days").cast("string")),
-        some(text("http.parking") != "", "trang_do=", F.col("http.parking")),
-        F.when(blank, "trang_rong"),
-        some(heading != "", "tieu_de=", clip(heading, 60)),
-        some(F.coalesce("vt.known", F.lit(False)) & (number("vt.malicious") > 0),
-             "virustotal_doc_hai=", F.col("vt.malicious").cast("string")),
+    target = F.get(F.slice(chain, -1, 1), F.lit(0))
+    age = F.when(F.col("rdap.age_days") < 180, F.col("rdap.age_days"))
+    hits = F.when(F.col("vt.known"), F.col("vt.malicious"))
+    empty = F.col("http").isNotNull() & (
+        F.coalesce("http.is_pixel", F.lit(False)) | (F.coalesce("http.text_len", F.lit(0)) < 200))
+    heading = F.trim(F.regexp_replace("http.title", r"[\s,:]+", " "))
+    facts = [
+        known(F.col("query_count"), "%s queries"), known(F.col("client_count"), "%s clients"),
+        F.when(F.col("in_list"), "on a blocklist"),
+        F.when(~F.col("in_list") & F.col("etld1_in_list"), "parent name on a blocklist"),
+        known(hits, "%s malware engines report it"), known(age, "registered %s days ago"),
+        known(F.col("rank.tranco"), "popularity rank %s"), known(target, "alias of %s"),
+        known(F.col("asn.org"), "hosted by %s"), known(F.col("http.parking"), "parking page of %s"),
+        F.when(empty, "page without text"), known(heading, "page title %s"),
     ]
-    return df.select("name", F.concat_ws(" | ", F.col("name"), *parts).alias("line"),
-                     "query_count")
+    text = F.concat_ws(": ", F.concat(F.lit("- "), F.col("name")),
+                       F.nullif(F.concat_ws(", ", *facts), F.lit("")))
+    return df.select("name", text.alias("line"), "query_count")
 
 
-def build_prompts(lines: DataFrame, size: int = 40, limit: int = 120) -> DataFrame:
-    """``(batch, n, prompt)``: the busiest names of a run, 40 to a prompt, in order."""
+def build_prompts(lines: DataFrame, size: int = 40, limit: int | None = None) -> DataFrame:
+    """``(batch, n, prompt)``: names by number of queries, ``size`` to a prompt."""
     numbered = number_batches(lines, [F.desc("query_count"), F.asc("name")], size, limit)
-    packed = F.array_sort(F.collect_list(F.struct("position", "line")))
+    packed = F.array_sort(F.collect_list(F.struct("position", "line")))  # ``size`` rows at most
     body = F.array_join(F.transform(packed, lambda r: r["line"]), "\n")
-    head = F.format_string(
-        "Phân loại %d domain sau. Trả về đúng %d dòng CSV.\n\n", F.col("n"), F.col("n"))
+    head = F.format_string("One CSV line (domain,category,confidence,reason) for each of these names, "
+                           "%d in all:\n", F.col("n"))
     return (numbered.groupBy("batch").agg(F.count("*").alias("n"), body.alias("_body"))
-            .select("batch", "n", F.concat(head, F.col("_body"), F.lit("\n")).alias("prompt")))
+            .select("batch", "n", F.concat(head, F.col("_body")).alias("prompt")))
 
 
 def reply_lines(replies: DataFrame) -> DataFrame:
     """Lines of ``replies (reply_id, reply)``; inside code fences only, where there are any."""
     lines = F.split(F.regexp_replace("reply", r"^\s+|\s+$", ""), r"\r?\n")
     rows = replies.select("reply_id", F.col("reply").contains("```").alias("_fenced"),
-                          lines.alias("_lines"))
-    # Number of fence lines up to each line: odd means inside.
-    def fence(x: Column) -> Column:
-        return F.ltrim(x).startswith("```")
-
-    marked = F.transform("_lines", lambda x, i: F.struct(
-        i.alias("line_no"), x.alias("line"), fence(x).alias("fence"),
-        F.size(F.filter(F.slice("_lines", F.lit(1), i + 1), fence)).alias("fences")))
-    out = rows.select("reply_id", "_fenced", F.explode(marked).alias("_m"))
-    inside = ~F.col("_fenced") | (~F.col("_m.fence") & (F.col("_m.fences") % 2 == 1))
-    return (out.where(inside & (F.trim("_m.line") != ""))
-            .select("reply_id", "_m.line_no", F.ltrim("_m.line").alias("line")))
+                          F.posexplode(lines).alias("line_no", "_line"))
+    fence = F.ltrim("_line").startswith("```")
+    # Fence lines so far, in one pass over a reply: odd means inside.
+    so_far = F.count_if(fence).over(Window.partitionBy("reply_id").orderBy("line_no"))
+    inside = ~F.col("_fenced") | (~fence & (F.col("_fences") % 2 == 1))
+    return (rows.withColumn("_fences", so_far).where(inside & (F.trim("_line") != ""))
+            .select("reply_id", "line_no", F.ltrim("_line").alias("line")))
 
 
 def _fields(line: Column) -> Column:
-    """Comma-separated fields of a line; commas inside a quoted field do not count."""
-    cut = F.split(line, r',\s*(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    """Comma-separated fields of a line.
+
+    A field that begins with a quote runs to a quote before a comma or the end; quotes elsewhere
+    are plain.  If that leaves a field open, the line is cut at every comma.  The line is cut
+    once and its pieces are joined in one walk, so neither quotes nor commas multiply the work.
+    """
+    pieces = F.split(line, ",")
+
+    def quotes_at_end(s: Column) -> Column:
+        return F.length(s) - F.length(F.rtrim(s, F.lit('"')))
+
+    def step(acc: Column, piece: Column) -> Column:
+        text = F.trim(piece)
+        starts = ~acc["open"] & text.startswith('"')
+        tail = F.when(starts, F.substring(text, 2, 1 << 30)).otherwise(text)
+        open_ = (acc["open"] | starts) & (quotes_at_end(tail) % 2 == 0)
+        merged = F.concat(F.slice(acc["fields"], F.lit(1), F.size(acc["fields"]) - 1), F.array(
+            F.concat(F.get(acc["fields"], F.size(acc["fields"]) - 1), F.lit(","), piece)))
+        fields = F.when(acc["open"], merged).otherwise(F.concat(acc["fields"], F.array(F.ltrim(piece))))
+        return F.struct(open_.alias("open"), fields.alias("fields"))
+
+    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("fields"))
+    walked = F.aggregate(pieces, start, step)
+    cut = F.when(walked["open"], F.transform(pieces, lambda p: F.ltrim(p))).otherwise(walked["fields"])
     return F.transform(cut, lambda f: F.when(
-        f.rlike(r'^\s*".*"\s*$'),
-        F.regexp_replace(F.regexp_replace(f, r'^\s*"|"\s*$', ""), '""', '"')).otherwise(f))
+        f.startswith('"') & F.rtrim(f).endswith('"') & (F.length(F.rtrim(f)) > 1),
+        F.replace(F.substring(F.rtrim(f), F.lit(2), F.length(F.rtrim(f)) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
 
 
 def parse_replies(replies: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,8 +127,8 @@ def parse_replies(replies: DataFrame, asked: DataFrame) -> tuple[DataFrame, Data
         F.lower(F.regexp_replace(F.get("_f", F.lit(0)), r"""^[\s"']+|[\s"']+$""", "")).alias("key"),
         category_of(F.get("_f", F.lit(1))).alias("category"),
         confidence_of(F.coalesce(F.get("_f", F.lit(2)), F.lit(""))).alias("confidence"),
-        clip(F.regexp_replace(F.array_join(F.slice("_f", 4, F.greatest(F.size("_f"), F.lit(1))),
-                                           ", "), r"""^["']+|["']+$""", ""), 200).alias("reason"))
+        F.regexp_replace(F.array_join(F.slice("_f", 4, F.greatest(F.size("_f"), F.lit(1))), ", "),
+                         r"""^["']+|["']+$""", "").alias("reason"))
     wanted = asked.select("reply_id", F.lower(F.trim("domain")).alias("key"),
                           F.col("domain").alias("_domain")).dropDuplicates(["reply_id", "key"])
     rows = rows.join(wanted, ["reply_id", "key"], "left")

@@ -288,7 +288,7 @@ def eval_sample(scored: DataFrame, per_band: Mapping[str, int] | None = None) ->
     band = (F.when(F.col("score") < 3, "under").when(F.col("score") < 5.5, "near")
             .when(F.col("score") < 8, "over").otherwise("far"))
     order = [F.col("_h"), F.col("name")]
-    rows = scored.withColumn("band", band).withColumn("_h", F.xxhash64("name"))
+    rows = scored.withColumn("band", band).withColumn("_h", F.md5("name"))
     few = first_n(rows, ["band"], order, max(sizes.values()))
     wanted = F.coalesce(*[F.when(F.col("band") == b, F.lit(n)) for b, n in sizes.items()],
                         F.lit(0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 EVENTS = "name string, etld1 string, client_id long, qtype int, occurred_at timestamp"
 ANSWERS = "name string, ips array<string>, ttl long, occurred_at timestamp"
-PACKETS = "ts timestamp, payload binary"
 
 #: JSON of ``facts.data`` by source.
 FACT_JSON = {

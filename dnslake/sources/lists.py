@@ -1,12 +1,7 @@
-"""Public lists: names, ranks, network ranges, threat lists, zipped files."""
+"""Public lists: names, ranks, network ranges, threat lists."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,35 +174,6 @@ def read_ioc_csv(spark: SparkSession, path: str, source: str, priority: int = 0)
     return _require_rows(parse_ioc_csv(spark.read.text(path), source, priority), source)
 
 
-def read_maybe_zip(spark: SparkSession, path: str, inner: str) -> DataFrame:
-    """Lines of plain or zipped files (told apart by their first bytes) as ``value``.
-
-    A zip member is read as a stream and handed on in batches of lines.
-    """
-
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                raw: io.IOBase = io.BytesIO(content)
-                if content[:4] == b"PK\x03\x04":
-                    archive = zipfile.ZipFile(raw)
-                    member = next((n for n in archive.namelist() if n.lower().endswith(inner)), None)
-                    if member is None:
-                        continue
-                    raw = archive.open(member)
-                batch: list[str] = []
-                for line in io.TextIOWrapper(raw, encoding="utf-8", errors="replace"):
-                    batch.append(line.rstrip("\r\n"))
-                    if len(batch) == 65536:
-                        yield pd.DataFrame({"value": batch})
-                        batch = []
-                if batch:
-                    yield pd.DataFrame({"value": batch})
-
-    return (spark.read.format("binaryFile").load(path).select("content")
-            .mapInPandas(lines, "value string"))
-
-
 def sources_due(sources: DataFrame, as_of: str) -> DataFrame:
     """Enabled sources never synced, or whose last sync is at least one interval old."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("last_sync_at")

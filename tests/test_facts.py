@@ -1,9 +1,7 @@
-"""Stored lookups, pages, model prompts and replies, packets, tables."""
+"""Stored lookups, pages, model prompts and replies, tables."""
 
 import hashlib
-import ipaddress
 import json
-import struct
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,7 +11,7 @@ from dnslake import refdata
 from dnslake.operators import search
 from dnslake.plans import facts as P
 from dnslake.plans import pages, replies
-from dnslake.sources import packets, tables
+from dnslake.sources import tables
 from dnslake.sources.events import read_events, write_events
 
 AS_OF = "2026-03-01 00:00:00"
@@ -191,6 +189,35 @@ def test_strange_short_repeated_and_unknown_lines(spark):
     assert got == ({"a.vn": ("ads", 0.5, "first")}, (1, 4, 1))
 
 
+def test_stray_quotes_fences_and_long_lines(spark):
+    reply = ('a.vn,ads,0.9,5" banner\nb.vn, "tracking" ,0.8,"said ""x"", twice"\nc.vn,ads,0.7,"never closed\n'
+             + "d.vn,ads,0.6," + '"' * 10_000 + "\ne.vn,ads,0.5," + ",".join('"q' for _ in range(3_000)))
+    got, counts = verdicts(spark, reply, ["a.vn", "b.vn", "c.vn", "d.vn", "e.vn"])
+    assert got["a.vn"] == ("ads", 0.9, '5" banner') and got["b.vn"] == ("tracking", 0.8, 'said "x", twice')
+    assert got["c.vn"][:2] == ("ads", 0.7) and got["d.vn"][:2] == ("ads", 0.6) and got["e.vn"][:2] == ("ads", 0.5)
+    assert counts == (5, 0, 0)
+    fenced = "x.vn,ads,1\n```csv\na.vn,ads,1\n```\nb.vn,ads,1\n```\nc.vn,ads,1\n```"
+    assert set(verdicts(spark, fenced, ["x.vn", "a.vn", "b.vn", "c.vn"])[0]) == {"a.vn", "c.vn"}
+
+
+def test_evidence_and_prompts(spark):
+    row = spark.sql("""SELECT 'a.vn' AS name, named_struct('cname_chain', array('x.vn', 'y.net')) AS dns,
+        named_struct('org', 'Net One') AS asn, 9 AS query_count, 0 AS client_count, false AS in_list, true AS etld1_in_list,
+        named_struct('tranco', 70) AS rank, named_struct('age_days', 20) AS rdap,
+        named_struct('parking', '', 'is_pixel', false, 'text_len', 10, 'title', ' A,  b: c ') AS http,
+        named_struct('known', true, 'malicious', 3) AS vt
+        UNION ALL SELECT 'b.vn', NULL, NULL, 0, NULL, false, false, NULL, NULL, NULL, NULL""")
+    lines = {r.name: r.line for r in replies.evidence_line(row).collect()}
+    assert lines == {"b.vn": "- b.vn", "a.vn": "- a.vn: 9 queries, parent name on a blocklist, 3 malware engines report it, "
+                     "registered 20 days ago, popularity rank 70, alias of y.net, hosted by Net One, page without text, "
+                     "page title A b c"}
+    many = spark.range(205).selectExpr("concat('n', id) AS name", "concat('- n', id) AS line", "id % 7 AS query_count")
+    prompts = replies.build_prompts(many, size=40).orderBy("batch").collect()
+    assert [(r.batch, r.n) for r in prompts] == [(0, 40), (1, 40), (2, 40), (3, 40), (4, 40), (5, 5)]
+    order = [r.name for r in many.orderBy(F.desc("query_count"), "name").collect()]
+    assert [x[2:] for r in prompts for x in r.prompt.split("\n")[1:]] == order
+
+
 def test_words_and_numbers(spark):
     words = ["high", "TrungBinh", "thấp", "85", "0.85", "85 %", "-1", "x", "150%", '"0.5"']
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
@@ -201,70 +228,6 @@ def test_words_and_numbers(spark):
         refdata.CATEGORY_SYNONYMS.values())
 
 
-# Packets -----------------------------------------------------------------------------------------
-
-
-def dns_message(name="ads.Example.com", qtype=1, answer=False, records=(), qd=1):
-    flags = 0x8180 if answer else 0x0100
-    body = struct.pack("!6H", 1, flags, qd, len(records), 0, 0)
-    for label in name.split("."):
-        body += bytes([len(label)]) + label.encode()
-    body += b"\0" + struct.pack("!HH", qtype, 1)
-    for rtype, ttl, data in records:
-        body += b"\xc0\x0c" + struct.pack("!HHIH", rtype, 1, ttl, len(data)) + data
-    return body
-
-
-def datagram(message, source="192.168.88.20", ports=(40000, 53), vlan=0, protocol=17, fragment=0):
-    ip = ipaddress.ip_address(source)
-    udp = struct.pack("!HHHH", *ports, 8 + len(message), 0) + message
-    if ip.version == 4:
-        packet = b"\x45" + b"\0" * 5 + struct.pack("!H", fragment) + bytes([64, protocol, 0, 0]) \
-            + ip.packed + b"\x08\x08\x08\x08" + udp
-        kind = b"\x08\0"
-    else:
-        packet = b"\x60" + b"\0" * 5 + bytes([protocol, 64]) + ip.packed + b"\0" * 16 + udp
-        kind = b"\x86\xdd"
-    return b"\x01\0\0\x01\x0a\x01\x05\0\x01" + b"\0" * 12 + b"\x81\0\0\x01" * vlan + kind + packet
-
-
-A4, A6 = ipaddress.ip_address("104.21.5.6").packed, ipaddress.ip_address("2606:4700::1111").packed
-
-
-@pytest.mark.parametrize("payload,want", [
-    (datagram(dns_message()), ("query", "192.168.88.20", "ads.example.com", 1, None, None)),
-    (datagram(dns_message(qtype=28), "fd00::5", vlan=1), ("query", "fd00::5", "ads.example.com", 28, None, None)),
-    (datagram(dns_message(), "::ffff:10.0.0.9", vlan=2), ("query", "10.0.0.9", "ads.example.com", 1, None, None)),
-    (datagram(dns_message(answer=True, records=[(5, 10, b"\0"), (1, 300, A4), (28, 60, A6)]),
-              ports=(53, 40000)),
-     ("answer", None, "ads.example.com", None, ["104.21.5.6", "2606:4700::1111"], 60)),
-    (datagram(dns_message(answer=True, records=[(5, 10, b"\0")]), ports=(53, 4)), "no address"),
-    (datagram(dns_message(answer=True)), "direction"), (datagram(dns_message(), ports=(1, 443)), "port 53"),
-    (datagram(dns_message(qd=0)), "no question"), (datagram(dns_message(), protocol=6), "not UDP"),
-    (datagram(dns_message(), fragment=5), "fragment"), (datagram(dns_message())[:40], "short"),
-    (b"", "short"), (b"\x02\0\0\x01\x01", "version"), (b"\x01\0\0\x12\x01", "version"),
-    (b"\x01\0\0\x01" + b"\0" * 600, "endless"), (b"\x01\0\0\x01\0\0", "end tag"),
-    (datagram(dns_message()[:12] + b"\xc0\x0c\0\x01\0\x01"), "compressed")])
-def test_decode(payload, want):
-    got = packets.decode_one(payload)
-    if isinstance(want, str):
-        assert got["kind"] == "error" and want in got["error"]
-    else:
-        assert (got["kind"], got["client"], got["name"], got["qtype"], got["ips"], got["ttl"]) == want
-
-
-def test_packets_to_events(spark):
-    from dnslake.functions.names import suffix_rules
-    rows = [(NOW + timedelta(microseconds=5), datagram(dns_message())), (NOW, datagram(dns_message("WPAD"))),
-            (NOW, datagram(dns_message(qtype=15))), (NOW, b"junk")]
-    queries, answers, errors = packets.decode_packets(
-        spark.createDataFrame(rows, "ts timestamp, payload binary"))
-    assert queries.count() == 3 and answers.count() == 0 and errors.count() == 1
-    clients = spark.createDataFrame([("192.168.88.20", 7)], "client string, client_id long")
-    got = packets.events_from_queries(queries, suffix_rules(spark), clients).collect()
-    assert [tuple(r) for r in got] == [("ads.example.com", "example.com", 7, 1, NOW)]
-
-
 # Tables ------------------------------------------------------------------------------------------
 
 

@@ -209,14 +209,17 @@ def test_publish_guard_unchanged_and_growth(spark, categories):
             if r.status == "published"} == {"ads", "all", "blocked"}
 
 
-def test_checksum_bytes_and_large_lists(spark, categories):
+def test_checksum_of_shares(spark, categories):
     entries = P.lists(blocked(spark, 5), categories)
-    names = [f"d{i:04}.vn" for i in range(5)]
-    want = "sha256:" + hashlib.sha256(
-        b"0.0.0.0\0" + b"".join(n.encode() + b"\0" for n in names)).hexdigest()
-    assert {r.checksum for r in P.list_checksum_exact(entries).collect()} == {want}
-    assert all(r.checksum.startswith("fp:") for r in
-               P.list_checksum_exact(entries, max_names=4).collect())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    shares = {}
+    for name in (f"d{i:04}.vn" for i in range(5)):
+        shares.setdefault(sha(name)[:2], []).append(name)
+    whole = ",".join(f"{k}:{sha(chr(0).join(sorted(v)))}" for k, v in sorted(shares.items()))
+    want = "sha256:" + sha("0.0.0.0\0" + whole)
+    assert {r.checksum for r in P.list_checksum(entries).collect()} == {want}
+    other = {r.checksum for r in P.list_checksum(entries, sink="127.0.0.1").collect()}
+    assert want not in other and len(other) == 1
 
 
 def test_snapshots_diff_rollback_prune(spark):

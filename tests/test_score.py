@@ -32,47 +32,47 @@ def row(name, **kw):
 
 
 CASES = [
-    (row("metrics.trangweb.vn", dns=dict(cname_chain=["cdn.eulerian.net", "x.eulerian.net"]),
+    (row("metrics.webshop.vn", dns=dict(cname_chain=["cdn.eulerian.net", "x.eulerian.net"]),
          asn=dict(asn=62597)), 13.0, "tracking", ["cname_adtech", "asn_adtech", "keyword"], 0.95),
     (row("google.com", rank=dict(tranco=1), asn=dict(asn=15169)), -8.0, "cdn", ["high_rank"], 0.40),
     (row("analytics.congty.vn", asn=dict(asn=45899)), 3.0, "content", ["keyword"], 0.40),
-    (row("static.trangweb.vn", asn=dict(asn=15169)), 0.0, "content", [], 0.40),
+    (row("static.webshop.vn", asn=dict(asn=15169)), 0.0, "content", [], 0.40),
     (row("check.thietbi.vn", query_count=2880, interval_cv=0.04, client_count=1),
      2.0, "telemetry", ["beacon"], 0.40),
-    (row("c12.quangcao.vn", subdomain_count=120, client_count=9, third_party_ratio=0.94,
+    (row("c12.adnet.vn", subdomain_count=120, client_count=9, third_party_ratio=0.94,
          etld1_in_list=True), 10.5, "content",
      ["third_party", "fan_out", "spread_high", "etld1_blocked"], 0.60),
-    (row("ads-assets.trangweb.vn", dns=dict(cname_chain=["d1234.cloudfront.net"])),
+    (row("ads-assets.webshop.vn", dns=dict(cname_chain=["d1234.cloudfront.net"])),
      -6.0, "cdn", ["shared_cdn"], 0.40),
-    (row("a7f3k9x2m1qz.tracker.io"), 5.0, "content", ["keyword", "random_sub"], 0.40),
-    (row("x7q.trangweb.vn"), 0.0, "content", [], 0.40),
+    (row("b4k8w2p9z6tx.tracker.io"), 5.0, "content", ["keyword", "random_sub"], 0.40),
+    (row("x7q.webshop.vn"), 0.0, "content", [], 0.40),
     (row("verify.example.tk", in_list=True, list_categories=["malware"]), 0.0, "malware", [], 0.40),
     (row("www.baocu.vn", rdap=dict(age_days=7000)), -2.0, "content", ["long_lived_content"], 0.40),
     # Pages.
     (row("c1.thietbi.vn", http=dict(status=204)), 4.0, "telemetry", ["http_beacon"], 0.70),
-    (row("px.dothi.vn", http=dict(status=200, content_type="image/gif", body_len=43, is_pixel=True)),
+    (row("px.citynet.vn", http=dict(status=200, content_type="image/gif", body_len=43, is_pixel=True)),
      4.0, "telemetry", ["http_beacon"], 0.70),
-    (row("e.dothi.vn", http=dict(status=200, content_type="text/plain", is_html=False)),
+    (row("e.citynet.vn", http=dict(status=200, content_type="text/plain", is_html=False)),
      4.0, "telemetry", ["http_beacon"], 0.70),
     (row("tenmiencu.vn", http=dict(status=200, is_html=True, parking="Sedo", title="t", text_len=400)),
      3.0, "ads", ["http_parking"], 0.40),
-    (row("go.trangweb.vn", http=dict(status=302, redirect_to="https://x.doubleclick.net/abc")),
+    (row("go.webshop.vn", http=dict(status=302, redirect_to="https://x.doubleclick.net/abc")),
      4.0, "ads", ["http_redirect_adtech"], 0.70),
-    (row("id.dothi.vn", http=dict(status=200, is_html=True, p3p='CP="NOI DSP"', tracking_cookie="uid",
+    (row("id.citynet.vn", http=dict(status=200, is_html=True, p3p='CP="NOI DSP"', tracking_cookie="uid",
                                   cookie_max_days=730, title="", text_len=50)),
      5.5, "content", ["http_p3p", "http_tracking_cookie", "http_empty_page"], 0.40),
     (row("baomoi.vn", http=dict(status=200, is_html=True, title="Tin", text_len=9000)),
      -2.0, "content", ["http_real_site"], 0.40),
-    (row("api.dothi.vn", http=dict(status=200, is_html=False, body_len=9, cors="*")),
+    (row("api.citynet.vn", http=dict(status=200, is_html=False, body_len=9, cors="*")),
      1.0, "content", ["http_cors_wildcard"], 0.40),
     # Scanner.
     (row("verify.example.tk", vt=dict(known=True, malicious=5, harmless=60)),
      4.0, "malware", ["vt_malicious"], 0.40),
-    (row("trangweb.vn", vt=dict(known=True, malicious=1, harmless=30, undetected=20)),
+    (row("webshop.vn", vt=dict(known=True, malicious=1, harmless=30, undetected=20)),
      0.0, "content", [], 0.40),
-    (row("trangweb.vn", vt=dict(known=True, malicious=0, harmless=70, undetected=20)),
+    (row("webshop.vn", vt=dict(known=True, malicious=0, harmless=70, undetected=20)),
      -1.0, "content", ["vt_clean"], 0.40),
-    (row("trangweb.vn", vt=dict(known=False, malicious=9)), 0.0, "content", [], 0.40),
+    (row("webshop.vn", vt=dict(known=False, malicious=9)), 0.0, "content", [], 0.40),
     # Model: under the floor nothing, cdn is neutral.
     (row("m.vn", ai=dict(category="ads", confidence=0.59)), 0.0, "content", [], 0.40),
     (row("m.vn", ai=dict(category="ads", confidence=0.6)), 2.5, "content", ["ai_adtech"], 0.40),
@@ -116,7 +116,7 @@ def test_same_input_same_output(spark):
 
 
 def test_weights_fall_back_to_defaults(spark):
-    rows = [row("metrics.trangweb.vn", dns=dict(cname_chain=["x.eulerian.net"]))]
+    rows = [row("metrics.webshop.vn", dns=dict(cname_chain=["x.eulerian.net"]))]
     base, tuned = result(spark, rows)[0], result(spark, rows, None, {"cname_adtech": 9.0})[0]
     assert tuned.score - base.score == 3.0
     assert [s.kind for s in tuned.signals] == ["cname_adtech", "keyword"]
@@ -128,7 +128,7 @@ def test_no_page_signal_blocks_alone():
 
 
 CUSTOM = [
-    ("adtech_domains", "*.QuangCao.vn.", "ads", None), ("adtech_domains", "", "ads", None),
+    ("adtech_domains", "*.AdNet.VN.", "ads", None), ("adtech_domains", "", "ads", None),
     ("adtech_domains", "nodot", "ads", None), ("adtech_domains", "api.vnpay.vn", "ads", None),
     ("adtech_domains", "x.edgekey.net", "ads", None), ("adtech_domains", "ok.vn", "content", None),
     ("adtech_asns", "15169", "ads", "G"), ("adtech_asns", "0", "ads", "Z"),
@@ -159,11 +159,11 @@ def test_custom_rules_add_and_override(spark):
         [CUSTOM[0], CUSTOM[8], CUSTOM[14], CUSTOM[16], CUSTOM[17],
          ("adtech_domains", "criteo.com", "tracking", None)], R.CUSTOM)
     rules = R.load_rules(R.merge_rules(custom))
-    assert rules.adtech["quangcao.vn"] == "ads" and rules.adtech["criteo.com"] == "tracking"
+    assert rules.adtech["adnet.vn"] == "ads" and rules.adtech["criteo.com"] == "tracking"
     assert rules.asns[64500] == ("Own", "tracking") and rules.keywords["tracking"][-1] == "quang"
     assert rules.thresholds["fanout_min_clients"] == 7 and rules.thresholds["spread_mid_min"] == 15
     assert len(rules.cdn) == len(refdata.SHARED_CDN)
-    rows = [row("quang.x.vn", dns=dict(cname_chain=["t.quangcao.vn"]), asn=dict(asn=64500))]
+    rows = [row("quang.x.vn", dns=dict(cname_chain=["t.adnet.vn"]), asn=dict(asn=64500))]
     got = result(spark, rows, rules)[0]
     assert (got.score, got.category) == (13.0, "ads")
 

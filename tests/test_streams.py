@@ -86,8 +86,8 @@ def test_compaction_between_batches(spark, folders):
 
 
 def test_answers_are_their_own_stream(spark, folders):
-    answer = [("ads.example.com", ["104.21.5.6", "2606:4700::1111"], 300, T0),
-              ("ads.example.com", ["104.21.5.6"], 60, T0 + timedelta(minutes=9)),
+    answer = [("ads.example.com", ["198.19.5.6", "2606:4700::1111"], 300, T0),
+              ("ads.example.com", ["198.19.5.6"], 60, T0 + timedelta(minutes=9)),
               ("unknown.example.com", ["1.1.1.1"], 60, T0)]
     for a in answer:
         feed(spark, folders, [a], ANSWERS)
@@ -97,7 +97,7 @@ def test_answers_are_their_own_stream(spark, folders):
     known = spark.createDataFrame([("ads.example.com",)], "name string")
     got = rows(streams.read_resolutions(spark, folders["out"], known))
     assert got == rows(resolution_rollup(spark.createDataFrame(answer, ANSWERS), known))
-    assert ("ads.example.com", "104.21.5.6", T0, T0 + timedelta(minutes=9), 2, 60) in got
+    assert ("ads.example.com", "198.19.5.6", T0, T0 + timedelta(minutes=9), 2, 60) in got
 
 
 def test_progress_counts_rows(spark, folders):
