@@ -338,8 +338,12 @@ def built_page(prose: list[str], rng: random.Random) -> str:
 
 def train(pages: DataFrame, sample: int = SAMPLE, built: int = BUILT, seed: int = 0) -> dict[str, np.ndarray]:
     """Weights from at most ``sample`` pages (by a hash of their id) and ``built`` layouts of their blocks."""
-    rows = (pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html")
-            .orderBy(F.xxhash64("html", F.lit(seed)), "html").limit(sample).collect())
+    fit_for = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select(
+        "html", F.xxhash64("html", F.lit(seed)).alias("deal"))
+    # Only hashes meet on the driver first; then the chosen pages come, one of equal ones.
+    last = [r.deal for r in fit_for.select("deal").distinct().orderBy("deal").limit(sample).collect()][-1:]
+    rows = sorted(fit_for.where(F.col("deal") <= (last[0] if last else 0)).groupBy("deal").agg(
+        F.first("html").alias("html")).collect(), key=lambda r: r.deal) if last else []
     plain = [p for p in (labelled(r.html) for r in rows) if p]
     prose = [b.text for p in plain for b in p if 1 <= len(b.text) <= 3000] or [
         " ".join(STOCK[i % 7: i % 7 + n]) + "." for i, n in enumerate(range(2, 22))]
