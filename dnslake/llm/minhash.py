@@ -10,9 +10,9 @@ them after one arrival.  Two documents agree on a register with the probability
 which is the plain Jaccard of the shingle sets where weights are equal.  Registers are banded; documents
 that share a band are candidates; every candidate link is verified with the exact J of the whole texts.
 
-Work is done on classes of equal word sequences, so copies are one row.  In a bucket of a band each class is
-first compared with the bucket's most central one.  Only classes which that leaves in different groups are
-compared with each other; where a bucket still holds many such classes, its pairs are dealt over blocks.
+Work is done on classes of equal word sequences, so copies are one row.  In a band's bucket of up to SMALL
+classes the possible pairs are listed and verified by their texts.  The classes of a larger bucket bring their
+shingles, are compared share by share where they are, and a task gives out no more links than connect them.
 Groups are connected components, found by star contractions in Spark.
 
 Defined cases: words are those of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a text with
@@ -32,14 +32,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from dnslake.llm import textops
 from dnslake.llm.components import connected_components
-from dnslake.llm.frames import add_columns
+from dnslake.llm.frames import add_columns, grouped, pack, unpack
 from dnslake.session import cut_lineage
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 20, 4
+BANDS, ROWS = 30, 6
 #: Members of a leader, or of a bucket, that one task compares.
 SHARE = 500
+#: Members of a bucket whose pairs may leave a task before they are verified.
+SMALL = 16
+#: Standard deviations below the threshold down to which an estimate from registers is still verified.
+MARGIN = 4.5
 WORDS = textops.lut_alnum_lower()
 _SLICE_ROWS = 4096
 _U = np.uint64
@@ -109,18 +113,24 @@ def _words(text: pa.Array) -> textops.Words:
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_words, node (content hash; 0 without words) and bands (array of band hashes)."""
+    """doc_id, n_words, node (content hash; 0 without words), size (distinct shingles; negative where a
+    shingle is repeated), registers (a byte of each) and bands (array of band hashes)."""
     def step(batches):
         for part in _bounded(batches, "text"):
             words = _words(part.column("text"))
-            registers = signatures(*shingles(words), len(words.counts), bands * rows)
+            row, ident, weight = shingles(words)
+            size = np.bincount(row, minlength=len(words.counts))
+            size[row[weight > 1]] *= -1
+            registers = signatures(row, ident, weight, len(words.counts), bands * rows)
             hashes = pa.array(band_hashes(registers, bands, rows).ravel())
+            short = textops.mix(registers).astype(np.uint8)
             offsets = pa.array(np.arange(0, (len(registers) + 1) * bands, bands, dtype=np.int32))
             yield part, {"n_words": pa.array(words.counts.astype(np.int64)), "node": pa.array(content_hash(words)),
-                         "bands": pa.ListArray.from_arrays(offsets, hashes)}
+                         "size": pa.array(size.astype(np.int64)),
+                         "registers": pa.array([r.tobytes() for r in short], pa.binary()), "bands": pa.ListArray.from_arrays(offsets, hashes)}
 
-    return (add_columns(docs.select("doc_id", "text"), step, "n_words long, node long, bands array<bigint>")
-            .select("doc_id", "n_words", "node", "bands"))
+    return (add_columns(docs.select("doc_id", "text"), step, "n_words long, node long, size long, registers binary, bands array<bigint>")
+            .select("doc_id", "n_words", "node", "size", "registers", "bands"))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -182,45 +192,142 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return left.join(right, ["a", "share"]).select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket that lie in different groups.  A bucket of several shares is compared share
-    by share, so that no task holds it whole."""
-    sizes = members.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    open_ = (members.join(sizes.where("lo <> hi"), ["band", "hash"])
-             .withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
-             .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")))
-    left = open_.select("band", "hash", "mine", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("other"),
-                        F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = open_.select("band", "hash", F.col("mine").alias("other"), F.explode(
-        F.sequence(F.lit(0), F.col("shares") - 1)).alias("mine"), F.col("node").alias("b"), F.col("root").alias("root_b"))
-    return (left.join(right, ["band", "hash", "mine", "other"]).where("a < b and root_a <> root_b")
-            .select("a", "b").distinct())
+def _shared(rows: DataFrame) -> DataFrame:
+    """Deals the members of buckets over pairs of shares: g, left, same beside the columns of ``rows``."""
+    return (rows.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
+            .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+            .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+            .withColumn("g", F.xxhash64("band", "hash", "i", "j")).withColumn("left", F.col("mine") == F.col("i"))
+            .withColumn("same", F.col("i") == F.col("j")).drop("shares", "mine", "other", "i", "j", "band", "hash", "n")
+            .repartition("g").sortWithinPartitions("g"))
+
+
+def _possible(rows: pa.Table, borders: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per group, the pairs of rows that can be alike: sizes of sets without repeated shingles fit, and the
+    registers agree to within MARGIN standard deviations of the threshold."""
+    node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
+    left, same = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("left", "same"))
+    registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
+    least = (threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / registers.shape[1])) * registers.shape[1]
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+        inside = np.arange(a, b)
+        first, second = (inside, inside) if same[a] else (inside[left[a:b]], inside[~left[a:b]])
+        found: tuple[list, list] = ([], [])
+        for x in first.tolist():
+            small, large = np.minimum(size[x], size[second]), np.maximum(size[x], size[second])
+            can = (small < 0) | (small >= (threshold - 1e-9) * large)
+            if same[a]:
+                can &= node[second] > node[x]
+            y = second[can]
+            y = y[(registers[y] == registers[x]).sum(1) >= least]
+            if len(y):
+                found[0].append(np.full(len(y), x))
+                found[1].append(y)
+        if found[0]:
+            yield np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def _tree(count: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links x-y among ``count`` sets a breadth-first forest needs."""
+    link = np.full((count, count), -1, np.int64)
+    link[x, y] = link[y, x] = np.arange(len(x))
+    seen, used = np.zeros(count, bool), []
+    for root in range(count):
+        if seen[root]:
+            continue
+        seen[root], front = True, np.array([root])
+        while len(front):
+            near = link[front]
+            new = np.flatnonzero((near >= 0).any(0) & ~seen)
+            used.append(near[(near[:, new] >= 0).argmax(0), new])
+            seen[new] = True
+            front = new
+    return np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64)
+
+
+def _small_pairs(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Possible pairs of buckets of at most SMALL members: no more than SMALL / 2 per member."""
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, borders in grouped(batches):
+            node = rows.column("node").to_numpy()
+            for x, y in _possible(rows, borders, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))],
+                                                 ["a", "b"])
+
+    small = members.where(F.col("n") <= SMALL).join(classes.select("node", "size", "registers"), "node")
+    return _shared(small).mapInArrow(step, "a long, b long").distinct()
+
+
+def _large_links(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links inside larger buckets.  Their members bring their shingles and a bucket is compared share by share.
+    Every possible pair is verified; of the links, a forest that connects the same sets leaves the task, so the
+    rows it makes grow with its members and not with their pairs."""
+    def sets(batches: Iterator[pa.RecordBatch]):
+        for part in _bounded(batches, "text"):
+            row, ident, weight = shingles(_words(part.column("text")))
+            edge = np.searchsorted(row, np.arange(part.num_rows + 1))
+            both = [(ident[a:b].tobytes(), weight[a:b].astype(np.uint32).tobytes()) for a, b in zip(edge[:-1], edge[1:])]
+            yield part, {"ids": pa.array([x for x, _ in both], pa.binary()), "weights": pa.array([w for _, w in both], pa.binary())}
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, borders in grouped(batches):
+            node, size = rows.column("node").to_numpy(), rows.column("size").to_numpy()
+            ids, weights = rows.column("ids"), rows.column("weights")
+            for x, y in _possible(rows, borders, threshold):
+                used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                held = [np.frombuffer(ids[i].as_py(), _U) for i in used.tolist()]
+                shared = _intersections(held, place[: len(x)], place[len(x):])
+                heavy = (size[x] < 0) | (size[y] < 0)
+                union = np.abs(size[x]) + np.abs(size[y]) - shared
+                good = ~heavy & (shared >= threshold * union - 1e-9)
+                for k in np.flatnonzero(heavy & (shared > 0)).tolist():
+                    a, b = ((held[place[q]], np.frombuffer(weights[int(used[place[q]])].as_py(), np.uint32)) for q in (k, k + len(x)))
+                    good[k] = similarity(a, b) >= threshold - 1e-9
+                first, second = place[: len(x)][good], place[len(x):][good]
+                tree = _tree(len(used), first, second)
+                yield pa.RecordBatch.from_arrays([pa.array(node[used[first[tree]]]), pa.array(node[used[second[tree]]])], ["a", "b"])
+
+    large = members.where(F.col("n") > SMALL)
+    chosen = texts.join(large.select("node").distinct(), "node", "left_semi")
+    brought = add_columns(chosen, sets, "ids binary, weights binary").select("node", "ids", "weights")
+    full = large.join(classes.select("node", "size", "registers"), "node").join(brought, "node")
+    return _shared(full).mapInArrow(step, "a long, b long").distinct()
+
+
+def _intersections(held: list[np.ndarray], x: np.ndarray, y: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Number of ids that sets x[k] and y[k] share, by products of incidence matrices some columns at a time."""
+    flat = np.concatenate(held)
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # ids of one set alone are in no intersection
+    keep = times[code] > 1
+    owner, code = owner[keep], number[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    total = np.zeros(len(x), np.float32)
+    left, right = np.unique(x), np.unique(y)
+    px, py = np.searchsorted(left, x), np.searchsorted(right, y)
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        mine = slice(*np.searchsorted(code, [start, start + columns]))
+        matrix = np.zeros((len(held), columns), np.float32)
+        matrix[owner[mine], code[mine] - start] = 1
+        total += (matrix[left] @ matrix[right].T)[px, py]
+    return np.rint(total).astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_words, node, class_id (smallest id with the same words), group_id
     (smallest id reachable by links) and kept."""
     every = cut_lineage(sketch(docs, bands, rows))
-    classes = cut_lineage(every.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("class_id"),
-                                                           F.first("bands").alias("bands")))
+    classes = cut_lineage(every.where("node <> 0").groupBy("node").agg(
+        F.min("doc_id").alias("class_id"), *[F.first(c).alias(c) for c in ("size", "registers", "bands")]))
     buckets = classes.select("node", F.posexplode("bands").alias("band", "hash"))
     sizes = buckets.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
     members = cut_lineage(buckets.join(sizes, ["band", "hash"]).select("band", "hash", "node", "n"))
-    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = members.join(central, "node")
-    leaders = ranked.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("top")) \
-        .select("band", "hash", F.col("top.node").alias("a"))
-    pairs = cut_lineage(members.join(leaders, ["band", "hash"]).where("a <> node")
-                        .select("a", F.col("node").alias("b")).distinct())
     texts = cut_lineage(_texts(docs, classes.join(members.select("node").distinct(), "node", "left_semi")))
-    links = cut_lineage(_verified(pairs, texts, threshold))
-    roots = connected_components(links)
-    placed = members.join(roots, "node", "left").select(
-        "band", "hash", "node", F.coalesce("root", "node").alias("root"))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut_lineage(_cross_pairs(placed).join(tried, ["a", "b"], "left_anti"))
-    more = _verified(rest, texts, threshold)
-    roots = connected_components(links.select("a", "b").union(more.select("a", "b")))
+    pairs = cut_lineage(_small_pairs(members, classes, threshold))
+    roots = connected_components(_verified(pairs, texts, threshold).union(_large_links(members, classes, texts, threshold)))
     named = classes.join(roots, "node", "left").select("node", "class_id", F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
     known = named.join(groups, "root").select("node", "class_id", "group_id")
@@ -253,9 +360,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     stay = found.where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("node").alias("__of")).agg(
         F.count("*").alias("__times"))
     repeated = bool(stay.where("__times > 1 and __of <> 0").limit(1).count())
-    marked = with_node(docs)
+    marked = with_node(pack(docs, "doc_id", "text"))
     kept = marked.join(stay, marked["doc_id"].eqNullSafe(stay["__id"]) & (marked["__node"] == stay["__of"]))
     if repeated:
         several = kept.where("__times > 1 and __node <> 0")
         kept = kept.where("__times = 1 or __node = 0").unionByName(several.dropDuplicates(["__id", "__of"]))
-    return kept.select(*[kept[c] for c in docs.columns])
+    return unpack(kept, docs.columns)
