@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -16,6 +18,13 @@ def bound_text(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column].cast("string"), F.lit(""))
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(df: DataFrame, step: Callable, new: str, text: str = "text") -> DataFrame:
     """``df`` with new columns, which replace columns of the same name.
 
@@ -39,6 +48,7 @@ def add_columns(df: DataFrame, step: Callable, new: str, text: str = "text") ->
         for part, arrays in step(seen()):
             columns = [part.column(part.schema.get_field_index(n)) for n in kept_names]
             yield pa.RecordBatch.from_arrays([*columns, *arrays.values()], [*kept_names, *arrays])
+        release()
 
     return source.mapInArrow(run, schema)
 
