@@ -7,7 +7,10 @@ one another, and keeps what improves a list.  A list holds ``k`` neighbours; whe
 to ``k * 2**enlarge``.  Rounds go on until the number of links settles.  Then an audit compares a bounded sample
 of vectors with all rows; while its recall is below ``recall``, more trees and rounds follow.
 
-The edges at the threshold give components.  As a dense component can have more links per vector than any list
+Lists are bounded, links are not: every comparison also gives out a spanning forest of the links it sees, and these
+edges stay however short the lists are.  They give the components, so a weak bridge between two dense groups counts.
+Where a leaf or the surroundings of a hub are dealt over shares, members of different components are compared
+across the shares as well, block against block.  As a dense component can have more links per vector than any list
 should hold, links are counted inside components, block against block; only counts leave a task.
 
 Equal vectors are one class with a weight, so a vector that stands in a third of all rows is one row here.
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dnslake.llm.components import connected_components
 from dnslake.llm.frames import grouped
+from dnslake.llm.minhash import _tree
 from dnslake.session import cut_lineage
 
 THRESHOLD = 0.95
@@ -41,8 +45,8 @@ BLOCK = 512
 AUDIT = 2048
 RECALL = 0.98
 MAX_ROUNDS = 6
-_EDGE = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("sim", pa.float64())])
-_EDGE_SQL = "v long, w long, sim double"
+_EDGE = pa.schema([("v", pa.int64()), ("w", pa.int64()), ("sim", pa.float64()), ("tree", pa.bool_())])
+_EDGE_SQL = "v long, w long, sim double, tree boolean"
 
 
 def _matrix(rows, name: str = "vec") -> np.ndarray:
@@ -103,14 +107,24 @@ def _shares(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     return dealt.withColumn("g", F.xxhash64(*keys, share.cast("long"))).drop("__n")
 
 
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that join all roots (``left`` of rows, ``right`` of columns) that links join."""
+    i, j = np.nonzero(near & (left[:, None] != right[None, :]))
+    if not len(i):
+        return i, j
+    names, at = np.unique(np.concatenate([left[i], right[j]]), return_inverse=True)
+    used = _tree(len(names), at[: len(i)], at[len(i):])
+    return i[used], j[used]
+
+
 def _compare(groups: DataFrame, k: int, threshold: float, with_floor: bool) -> DataFrame:
-    """Edges between the members of each group: the best ``k`` of each member, and all at the threshold that
-    are above what the member's list ends with."""
+    """Edges between the members of each group: the best ``k`` of each member that are above what the member's list
+    ends with, and (``tree``) a spanning forest of all links at the threshold between different roots."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, borders in grouped(batches):
-            node, x = rows.column("node").to_numpy(), _matrix(rows)
+            node, root, x = rows.column("node").to_numpy(), rows.column("root").to_numpy(), _matrix(rows)
             floor = rows.column("floor").to_numpy() if with_floor else None
-            found = [[], [], []]
+            found = [[], [], [], []]
             for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
                 if b - a < 2:
                     continue
@@ -123,53 +137,116 @@ def _compare(groups: DataFrame, k: int, threshold: float, with_floor: bool) -> D
                 if floor is not None:
                     take &= sim > floor[a:b, None]
                 i, j = np.nonzero(take & (node[a:b, None] != node[None, a:b]))
-                found[0].append(node[a:b][i])
-                found[1].append(node[a:b][j])
-                found[2].append(sim[i, j])
+                ti, tj = _forest(np.triu(sim >= threshold), root[a:b], root[a:b])
+                found[0].append(node[a:b][np.concatenate([i, ti])])
+                found[1].append(node[a:b][np.concatenate([j, tj])])
+                found[2].append(np.concatenate([sim[i, j], sim[ti, tj]]))
+                found[3].append(np.repeat([False, True], [len(i), len(ti)]))
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], schema=_EDGE)
 
-    chosen = groups.select("g", "node", "vec", *(["floor"] if with_floor else []))
+    chosen = groups.select("g", "node", "root", "vec", *(["floor"] if with_floor else []))
     return chosen.repartition("g").sortWithinPartitions("g").mapInArrow(step, _EDGE_SQL)
 
 
+def _across(rows: DataFrame, keys: list[str], known: DataFrame, threshold: float, most: int, block: int) -> DataFrame:
+    """A spanning forest (as edges) of the links between different roots, in each key with more than ``most`` rows.
+
+    The members of the most frequent root are not compared with one another, only with the rest, and the rest with itself.
+    """
+    large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys)
+    held = rows.select(*keys, "node").join(large, keys, "left_semi").join(known.select("node", "root"), "node")
+    shape = (held.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys)
+             .agg(F.count("*").alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+             .where("roots > 1")
+             .select(*keys, F.col("top.root").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("majors"),
+                     F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("minors")))
+    hashed, all_blocks = F.xxhash64("node", F.lit(11)), F.col("majors") + F.col("minors") - 1
+    dealt = (held.join(shape, keys)
+             .withColumn("mine", F.when(F.col("root") == F.col("major"), F.pmod(hashed, F.col("majors")))
+                         .otherwise(F.col("majors") + F.pmod(hashed, F.col("minors"))).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.when(F.col("root") == F.col("major"), F.col("majors")).otherwise(F.lit(0)),
+                                                       all_blocks)))
+             .withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+             .select(F.xxhash64(*keys, "i", "j").alias("g"), (F.col("mine") == F.col("i")).alias("left"), "node")
+             .join(known.select("node", "root", "vec"), "node"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, borders in grouped(batches):
+            node, root = rows.column("node").to_numpy(), rows.column("root").to_numpy()
+            left = rows.column("left").to_numpy(zero_copy_only=False).astype(bool)
+            x = _matrix(rows)
+            for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+                first = np.arange(a, b)[left[a:b]]
+                second = first if len(first) == b - a else np.arange(a, b)[~left[a:b]]
+                sim = _cosines(x[first], x[second])
+                i, j = _forest(sim >= threshold, root[first], root[second])
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[first[i]]), pa.array(node[second[j]]), pa.array(sim[i, j]),
+                                                      pa.array(np.ones(len(i), bool))], schema=_EDGE)
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(step, _EDGE_SQL)
+
+
 def _best(edges: DataFrame, k: int, threshold: float, doublings: int) -> DataFrame:
-    """The lists: ``k`` per vector, more while they are links."""
+    """The lists (``listed``): ``k`` per vector, more while they are links; and all edges of forests."""
     order = Window.partitionBy("v").orderBy(F.desc("sim"), "w")
-    ranked = edges.groupBy("v", "w").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") <= k) | ((F.col("sim") >= threshold) & (F.col("rank") <= k << doublings)))
+    ranked = edges.groupBy("v", "w").agg(F.max("sim").alias("sim"), F.max("tree").alias("tree")).withColumn(
+        "rank", F.row_number().over(order))
+    listed = (F.col("rank") <= k) | ((F.col("sim") >= threshold) & (F.col("rank") <= k << doublings))
+    return ranked.select("v", "w", "sim", "tree", listed.alias("listed")).where("listed or tree")
 
 
-def _descend(vectors: DataFrame, lists: DataFrame, k: int, threshold: float, doublings: int) -> DataFrame:
-    """One round: neighbours of neighbours, both directions, join the lists they improve."""
-    around = lists.select(F.col("v").alias("pivot"), F.col("w").alias("node")).union(
+def _roots(lists: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) by all links found."""
+    return cut_lineage(connected_components(
+        lists.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("w").alias("b"))))
+
+
+def _rooted(vectors: DataFrame, roots: DataFrame) -> DataFrame:
+    return vectors.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _around(lists: DataFrame) -> DataFrame:
+    """(pivot, node): the neighbours of each vector and those that have it as neighbour."""
+    lists = lists.where("listed")
+    return lists.select(F.col("v").alias("pivot"), F.col("w").alias("node")).union(
         lists.select(F.col("w").alias("pivot"), F.col("v").alias("node"))).distinct()
-    ends = lists.groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+
+
+def _descend(known: DataFrame, lists: DataFrame, k: int, threshold: float, doublings: int) -> DataFrame:
+    """One round: neighbours of neighbours, both directions, join the lists they improve."""
+    ends = lists.where("listed").groupBy("v").agg(F.count("*").alias("n"), F.min("sim").alias("last"))
     # A list with room takes anything; a saturated one (all links) may grow.
     floor = ends.select(F.col("v").alias("node"), F.when((F.col("n") < k) | (F.col("last") >= threshold), F.lit(-2.0))
                         .otherwise(F.col("last")).alias("floor"))
-    known = vectors.select("node", "vec").join(floor, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    groups = _shares(around, ["pivot"], HUB).join(known, "node")
+    known = known.select("node", "vec", "root").join(floor, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    groups = _shares(_around(lists), ["pivot"], HUB).join(known, "node")
     new = _compare(groups, k, threshold, with_floor=True)
-    return _best(lists.select("v", "w", "sim").union(new), k, threshold, doublings)
+    return _best(lists.select("v", "w", "sim", "tree").union(new), k, threshold, doublings)
 
 
 def neighbour_lists(vectors: DataFrame, count: int, dim: int, threshold: float, k: int, seed: int,
                     start: DataFrame | None = None) -> DataFrame:
-    """Lists after descent from a forest drawn with ``seed`` (and from ``start``)."""
-    edges = _compare(_leaves(vectors, count, dim, TREES, seed), k, threshold, with_floor=False)
+    """Lists and forests of links after descent from a forest drawn with ``seed`` (and from ``start``)."""
+    leaves = _leaves(vectors, count, dim, TREES, seed)
+    edges = _compare(leaves.withColumn("root", F.col("node")), k, threshold, with_floor=False)
     if start is not None:
-        edges = edges.union(start.select("v", "w", "sim"))
+        edges = edges.union(start.select("v", "w", "sim", "tree"))
     lists = cut_lineage(_best(edges, k, threshold, 0))
+    known = _rooted(vectors, _roots(lists, threshold))
+    found = lists.select("v", "w", "sim", "tree").union(_across(leaves, ["tree", "code"], known, threshold, LEAF * 2, BLOCK))
+    lists = cut_lineage(_best(found, k, threshold, 0))
     before = -1
     for turn in range(1, MAX_ROUNDS + 1):
-        lists = cut_lineage(_descend(vectors, lists, k, threshold, min(turn, ENLARGE)))
+        lists = cut_lineage(_descend(known, lists, k, threshold, min(turn, ENLARGE)))
         links = lists.where(F.col("sim") >= threshold).select(
             F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct().count()
         if before >= 0 and links - before <= 0.002 * links:
             break
         before = links
-    return lists
+    hubs = _across(_around(lists), ["pivot"], _rooted(vectors, _roots(lists, threshold)), threshold, HUB, BLOCK)
+    return cut_lineage(lists.union(hubs.withColumn("listed", F.lit(False))))
 
 
 def _block_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -238,13 +315,12 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, reca
     counted = spark.createDataFrame([], "node long, links long")
     for attempt in range(attempts if shape[0] > 1 else 0):
         lists = neighbour_lists(vectors, shape[0], shape[1], threshold, k, 1000 + attempt, lists)
-        roots = cut_lineage(connected_components(
-            lists.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("w").alias("b"))))
+        roots = _roots(lists, threshold)
         counted = cut_lineage(_block_links(vectors.join(roots, "node"), threshold))
         found, true = audit(vectors, counted, threshold)
         if found >= recall * true:
             break
-    named = vectors.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = _rooted(vectors, roots)
     least = named.groupBy("root").agg(F.min("id").alias("component"))
     per_class = (named.join(least, "root").join(counted, "node", "left")
                  .select("vec", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))

@@ -140,6 +140,35 @@ def vectors(seed, dim=24):
     return rows
 
 
+def plain_near(rows):
+    """{vec_id: (n_links, component_id)} of usable vectors."""
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    unit = np.sqrt((x * x).sum(1))
+    near = (x @ x.T) / unit[:, None] / unit[None, :] >= 0.95
+    np.fill_diagonal(near, False)
+    ids = [i for i, _ in rows]
+    groups = groups_of(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))])
+    return {i: (int(n), groups[i]) for i, n in zip(ids, near.sum(1))}
+
+
+def bridged(members, dim=24):
+    """Two dense groups, more links inside than a list holds; cosines between them are about 0.952."""
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    rows = []
+    for centre in (a, 0.952 * a + np.sqrt(1 - 0.952 ** 2) * b):
+        rows += [(centre + rng.standard_normal(dim) * 0.03 / np.sqrt(dim)).tolist() for _ in range(members)]
+    return list(enumerate(rows, 1))
+
+
+def test_weak_bridges_between_dense_groups(spark):
+    rows = bridged(250)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nndescent.near_vectors(frame, attempts=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_near(rows)
+    assert {r.component_id for r in got} == {1}
+
+
 def test_near_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "BLOCK", 32)
     rows = [(int(i), v) for i, v in vectors(2)]
