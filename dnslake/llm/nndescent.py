@@ -4,8 +4,12 @@ A neighbour list of every vector starts from small groups of a forest of random
 descent gathers, around each vector, its neighbours and those that have it as neighbour, compares them with
 one another, and keeps what improves a list.  A list holds ``k`` neighbours; where all of them are links
 (cosine at the threshold or more) it is saturated and may hold twice as many links in the next round, up
-to ``k * 2**enlarge``.  Rounds go on until the number of links settles.  Then an audit compares a bounded sample
-of vectors with all rows; while its recall is below ``recall``, more trees and rounds follow.
+to ``k * 2**enlarge``.  Rounds go on until the number of links settles.  The number of trees grows with the rows, so
+that a pair at the threshold shares a leaf as often in a large table as in a small one.  Then an audit compares a
+bounded sample of vectors with all rows: half of it from small components and single vectors, half from large ones.
+Recall is the mean share of its own links that a vector has, the lower one of the two halves, so dense groups do not
+hide pairs that are missed elsewhere.  While it is below ``recall``, more trees and rounds follow; if that does
+not help, all components are compared block against block, which is exact and takes work with the square of the rows.
 
 Lists are bounded, links are not: every comparison also gives out a spanning forest of the links it sees, and these
 edges stay however short the lists are.  They give the components, so a weak bridge between two dense groups counts.
@@ -42,6 +46,9 @@ TREES = 12
 ENLARGE = 3
 HUB = 128
 BLOCK = 512
+EXACT_BLOCK = 2048
+#: How often a pair at the threshold may be in no leaf together.
+MISS = 0.01
 AUDIT = 2048
 RECALL = 0.98
 MAX_ROUNDS = 6
@@ -78,9 +85,19 @@ def _classes(rows: DataFrame) -> DataFrame:
             .select(F.xxhash64("vec", "id").alias("node"), "id", "n", "vec"))
 
 
+def _bits(count: int) -> int:
+    return max(1, min(60, math.ceil(math.log2(max(2, count / LEAF)))))
+
+
+def _trees(count: int, threshold: float) -> int:
+    """So many trees that a pair at the threshold shares a leaf with a chance of 1 - MISS; TREES at least."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** _bits(count)
+    return TREES if together >= 1 else max(TREES, math.ceil(math.log(MISS) / math.log1p(-max(together, 1e-4))))
+
+
 def _leaves(vectors: DataFrame, count: int, dim: int, trees: int, seed: int) -> DataFrame:
     """g (leaf share), node, vec: every vector once per tree."""
-    bits = max(1, min(60, math.ceil(math.log2(max(2, count / LEAF)))))
+    bits = _bits(count)
     planes = np.random.default_rng(seed).standard_normal((dim, trees * bits))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +174,10 @@ def _across(rows: DataFrame, keys: list[str], known: DataFrame, threshold: float
     large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys)
     held = rows.select(*keys, "node").join(large, keys, "left_semi").join(known.select("node", "root"), "node")
     shape = (held.groupBy(*keys, "root").agg(F.count("*").alias("n")).groupBy(*keys)
-             .agg(F.count("*").alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+             .agg(F.count("*").alias("roots"), F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top"))
              .where("roots > 1")
              .select(*keys, F.col("top.root").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("majors"),
-                     F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("minors")))
+                     F.ceil((F.col("members") - F.col("top.n")) / block).cast("int").alias("minors")))
     hashed, all_blocks = F.xxhash64("node", F.lit(11)), F.col("majors") + F.col("minors") - 1
     dealt = (held.join(shape, keys)
              .withColumn("mine", F.when(F.col("root") == F.col("major"), F.pmod(hashed, F.col("majors")))
@@ -229,7 +246,7 @@ def _descend(known: DataFrame, lists: DataFrame, k: int, threshold: float, doubl
 def neighbour_lists(vectors: DataFrame, count: int, dim: int, threshold: float, k: int, seed: int,
                     start: DataFrame | None = None) -> DataFrame:
     """Lists and forests of links after descent from a forest drawn with ``seed`` (and from ``start``)."""
-    leaves = _leaves(vectors, count, dim, TREES, seed)
+    leaves = _leaves(vectors, count, dim, _trees(count, threshold), seed)
     edges = _compare(leaves.withColumn("root", F.col("node")), k, threshold, with_floor=False)
     if start is not None:
         edges = edges.union(start.select("v", "w", "sim", "tree"))
@@ -279,14 +296,19 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(vectors: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
-    """(links found, true links) of a sample of at most ``sample`` vectors, each compared with all rows."""
-    chosen = vectors.orderBy(F.xxhash64("node", F.lit("audit"))).limit(sample).select("node", "vec").collect()
+def audit(vectors: DataFrame, roots: DataFrame, counted: DataFrame, threshold: float, k: int = K, sample: int = AUDIT) -> float:
+    """Mean share of their links that vectors have, of a sample of at most ``sample`` vectors, each compared with all
+    rows; half of them from components of up to ``k`` vectors, half from larger ones, and the lower share of the two."""
+    large = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > k).select("root")
+    in_large = roots.join(large, "root", "left_semi").select("node")
+    chosen = [(kind, r) for kind, how in (("small", "left_anti"), ("large", "left_semi"))
+              for r in vectors.select("node", "vec").join(in_large, "node", how)
+              .orderBy(F.xxhash64("node", F.lit("audit"))).limit(sample // 2).collect()]
     if not chosen:
-        return 0, 0
-    ids = np.array([r.node for r in chosen], np.int64)
+        return 1.0
+    ids = np.array([r.node for _, r in chosen], np.int64)
     sent = vectors.sparkSession.sparkContext.broadcast(
-        (ids, np.array([r.vec for r in chosen], np.float64)))  # at most ``sample`` vectors
+        (ids, np.array([r.vec for _, r in chosen], np.float64)))  # at most ``sample`` vectors
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, x = sent.value
@@ -300,26 +322,36 @@ def audit(vectors: DataFrame, counted: DataFrame, threshold: float, sample: int
         yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(links)], ["node", "true"])
 
     true = vectors.select("node", "vec", "n").mapInArrow(step, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(counted, "node", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), F.col("true"))), F.sum("true")).first()
-    return row[0] or 0, row[1] or 0
+    rows = true.where(F.col("true") > 0).join(counted, "node", "left").select(
+        "node", (F.least(F.coalesce("links", F.lit(0)), F.col("true")) / F.col("true")).alias("share")).collect()  # the sample
+    kinds, shares = {r.node: kind for kind, r in chosen}, {"small": [], "large": []}
+    for r in rows:
+        shares[kinds[r.node]].append(r.share)
+    return min((sum(x) / len(x) for x in shares.values() if x), default=1.0)
 
 
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, recall: float = RECALL,
                  attempts: int = 4) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept, and recall (of the audit)."""
+    """One row per vector: vec_id, n_links, component_id, kept, and recall (of the audit, never below ``recall``)."""
     rows = rows.select("vec_id", "embedding")
     vectors = cut_lineage(_classes(rows))
     shape = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
-    spark, lists, found, true = rows.sparkSession, None, 0, 0
+    spark, lists, reached = rows.sparkSession, None, 1.0
     roots = spark.createDataFrame([], "node long, root long")
     counted = spark.createDataFrame([], "node long, links long")
-    for attempt in range(attempts if shape[0] > 1 else 0):
-        lists = neighbour_lists(vectors, shape[0], shape[1], threshold, k, 1000 + attempt, lists)
-        roots = _roots(lists, threshold)
+    for attempt in range(attempts + 1 if shape[0] > 1 else 0):
+        if attempt < attempts:
+            lists = neighbour_lists(vectors, shape[0], shape[1], threshold, k, 1000 + attempt, lists)
+            roots = _roots(lists, threshold)
+        else:  # exact: whatever is in different components is compared
+            missing = _across(vectors.withColumn("all", F.lit(0)), ["all"], _rooted(vectors, roots), threshold, 1, EXACT_BLOCK)
+            roots = cut_lineage(connected_components(roots.toDF("a", "b").union(missing.select("v", "w"))))
         counted = cut_lineage(_block_links(vectors.join(roots, "node"), threshold))
-        found, true = audit(vectors, counted, threshold)
-        if found >= recall * true:
+        reached = audit(vectors, roots, counted, threshold, k)
+        if reached >= recall:
             break
+    if reached < recall:
+        raise RuntimeError(f"recall {reached:.4f} is below {recall}")
     named = _rooted(vectors, roots)
     least = named.groupBy("root").agg(F.min("id").alias("component"))
     per_class = (named.join(least, "root").join(counted, "node", "left")
@@ -330,4 +362,4 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = K, reca
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component", F.col("vec_id").cast("long")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-            .withColumn("recall", F.lit(found / true if true else 1.0)))
+            .withColumn("recall", F.lit(reached)))

@@ -169,6 +169,37 @@ def test_weak_bridges_between_dense_groups(spark):
     assert {r.component_id for r in got} == {1}
 
 
+def pairs_beside_a_group(members=120, pairs=12, dim=24):
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(dim)
+    rows = [(centre + rng.standard_normal(dim) * 0.01).tolist() for _ in range(members)]
+    for _ in range(pairs):
+        one = rng.standard_normal(dim)
+        rows += [one.tolist(), (one + rng.standard_normal(dim) * 0.01).tolist()]
+    return list(enumerate(rows, 1))
+
+
+def test_missed_pairs_beside_a_dense_group_are_found(spark, monkeypatch):
+    rows = pairs_beside_a_group()
+
+    def group_only(vectors, *_):
+        first = vectors.where("id = 1").select(nndescent.F.col("node").alias("v"))
+        return first.crossJoin(vectors.where("id between 2 and 120").select(nndescent.F.col("node").alias("w"))).selectExpr(
+            "v", "w", "1.0d as sim", "true as tree", "true as listed")
+    monkeypatch.setattr(nndescent, "neighbour_lists", group_only)  # recall over all links is 0.998
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nndescent.near_vectors(frame, attempts=1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_near(rows)
+    assert nndescent.near_vectors(frame, attempts=0).where("n_links > 0").count() == len(rows)
+    monkeypatch.setattr(nndescent, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError):
+        nndescent.near_vectors(frame, attempts=1)
+
+
+def test_trees_follow_the_rows():
+    assert nndescent._trees(1000, 0.95) == nndescent.TREES < nndescent._trees(10 ** 6, 0.95) < nndescent._trees(10 ** 9, 0.95)
+
+
 def test_near_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nndescent, "BLOCK", 32)
     rows = [(int(i), v) for i, v in vectors(2)]
