@@ -7,7 +7,7 @@ alphabet, the number of runs above and below the median, and serial correlation
 joins them to one p.
 
 Ordinary words fail such tests, but short runs give the tests little power.  So the cut is set per encoding and length
-class from the whole input: a first pass counts p in bins, Storey's estimate says how many of them are truly
+class from the whole input: a first pass counts p of the distinct runs in bins (a run that is copied is one test), Storey's estimate says how many of them are truly
 random, and the smallest cut is taken at which at most ``alpha`` of the runs kept are expected to be ordinary.
 Only those counts (a few hundred numbers, whatever the input) reach the driver.
 
@@ -18,6 +18,7 @@ both spans stay; other columns pass through.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -164,21 +165,26 @@ def _tested(data: np.ndarray, offs: np.ndarray):
 
 
 def count_p(docs: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """How many runs of each encoding and length class have p in each bin, over all documents."""
+    """How many distinct runs of each encoding and length class have p in each bin, over all documents."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int, int], int] = {}
         for batch in batches:
             for part in textops.slices(batch, "text"):
-                for _, _, _, key, p in _tested(*textops.flat(part.column("text"))):
-                    place = (*key, min(BINS - 1, int(p * BINS)))
-                    seen[place] = seen.get(place, 0) + 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_pydict(
-            {"encoding": pa.array([k[0] for k in keys], pa.int32()), "size": pa.array([k[1] for k in keys], pa.int32()),
-             "bin": pa.array([k[2] for k in keys], pa.int32()), "n": pa.array([seen[k] for k in keys], pa.int64())})
-
-    rows = (docs.select("text").mapInArrow(step, "encoding int, size int, bin int, n long")
-            .groupBy("encoding", "size", "bin").agg(F.sum("n").alias("n")).collect())  # encodings x lengths x bins
+                data, offs = textops.flat(part.column("text"))
+                start, end = token_runs(data, offs, _IN_RUN, MIN_RUN)
+                if len(start):
+                    runs = {data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())}
+                    marks = [hashlib.blake2b(r, digest_size=16).digest() for r in runs]
+                    places = []
+                    for r in runs:
+                        run = np.frombuffer(r, np.uint8)
+                        encoding = infer(run)
+                        places.append((encoding, length_class(len(run)), min(BINS - 1, int(p_random(run, encoding) * BINS))))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(marks, pa.binary()), *(pa.array(x, pa.int32()) for x in zip(*places))], ["run", "encoding", "size", "bin"])
+
+    # Repeats of a run are dropped before the shuffle and after it: the groups are the distinct runs.
+    rows = (docs.select("text").mapInArrow(step, "run binary, encoding int, size int, bin int").distinct()
+            .groupBy("encoding", "size", "bin").agg(F.count("*").alias("n")).collect())  # encodings x lengths x bins
     out: dict[tuple[int, int], np.ndarray] = {}
     for r in rows:
         out.setdefault((r.encoding, r["size"]), np.zeros(BINS, np.int64))[r["bin"]] += r.n
@@ -212,7 +218,9 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 def find_secrets(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """All columns of ``docs`` and spans: array of (kind, start, end), by start and then kind."""
-    least = cuts(count_p(docs), alpha)
+    counts = count_p(docs)
+    # A p that not even one of all distinct runs would have by chance is no random run, however few such runs there are.
+    least = {key: max(cut, alpha / int(counts[key].sum())) for key, cut in cuts(counts, alpha).items()}
 
     def step(batches: Iterator[pa.RecordBatch]):
         for batch in batches:

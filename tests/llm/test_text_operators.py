@@ -196,6 +196,21 @@ def test_cuts_follow_the_share_of_random_runs():
     assert secrets.cuts({(1, 1): words_only})[1, 1] == 2.0
 
 
+def test_a_copied_run_is_one_test(spark):
+    rng = np.random.default_rng(31)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(300)]
+    words = [("ab" * 40)[k: k + 36 + k % 2] for k in (0, 1)] + ["abcdefab" + "ba" * k for k in range(12, 17)]
+    by_p = {r: secrets.p_random(np.frombuffer(r.encode(), np.uint8), 1) for r in hexes}
+    hot = min(hexes, key=lambda r: abs(by_p[r] - 0.7))
+    rows = list(enumerate([*hexes, *words]))
+    docs = docs_of(spark, rows + [(1000 + k, "see " + hot) for k in range(len(rows) // 2)]).select("doc_id", "text")
+    once, all_ = secrets.count_p(docs.where("doc_id < 1000")), secrets.count_p(docs.repartition(5))
+    assert once.keys() == all_.keys() and all((once[k] == all_[k]).all() for k in once)
+    assert sum(int(v.sum()) for v in once.values()) == len({*hexes, *words})
+    spans = {r.doc_id: [s for s in r.spans if s.kind == "random"] for r in secrets.find_secrets(docs).collect()}
+    assert all(spans[i] for i, r in rows if by_p.get(r, 0) > 0.1) and all(spans[1000 + k] for k in range(len(rows) // 2))
+
+
 def test_redact(spark):
     docs = docs_of(spark, secret_rows())
     done = secrets.redact(docs)
