@@ -1,8 +1,9 @@
 """HTML as a sequence of leaf blocks: text, path of open elements, share of link text.
 
-A small tolerant reader: comments, declarations and raw-text elements are skipped, an opening block closes an
-open paragraph, an end tag closes up to its element and is ignored without one.  Inline elements and ``br``
-do not end a block.
+A small tolerant reader: comments, declarations and elements whose content is no text are skipped, an opening block
+closes an open paragraph, an end tag closes up to its element and is ignored without one.  Inline elements and ``br``
+do not end a block.  A skipped element without its end tag ends with its parent; only script, style, title and
+textarea then go to the end of the page.  A self-closed svg is empty, in XHTML any self-closed element.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from dataclasses import dataclass
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role|data-keep)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_UNQUOTED_END = re.compile(r"""=\s*[^\s"']+/\Z""")
 
 #: Elements whose content is no text of the page.
-RAW = frozenset(["script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "math", "object",
+RAW = frozenset(["script", "style", "title", "textarea", "template", "noscript", "iframe", "svg", "object",
                  "audio", "video", "canvas", "select", "datalist"])
+#: Those of them in which tags are plain characters.
+PLAIN = frozenset(["script", "style", "title", "textarea"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
                   "track", "wbr"])
 BLOCK = frozenset(["address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details",
@@ -52,12 +56,63 @@ def _element(name: str, attributes: str) -> tuple[str, str, bool]:
     return name, " ".join([name, *words]), keep
 
 
-def blocks(page: str) -> list[Block]:
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I)
+
+
+def _self_closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not _UNQUOTED_END.search(attributes)
+
+
+def _skip(page: str, at: int, name: str, stack: list[tuple[str, str, bool]], xml: bool, last: dict[str, int]) -> int:
+    """Where the element ``name`` that opens before ``at`` ends: behind its end tag, or with its parent."""
+    if name in PLAIN:
+        end = _end_tag(name).search(page, at)
+        return end.end() if end else len(page)
+    if name not in last:
+        last[name] = max((m.start() for m in _end_tag(name).finditer(page)), default=-1)
+    for implied in (False, True):
+        if not implied and last[name] < at:
+            continue
+        place, inner = at, [(name, name, False)]
+        outer = {e[0] for e in stack}
+        while (m := _TOKEN.search(page, place)) is not None:
+            place = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                k = next((k for k in range(len(inner) - 1, -1, -1) if inner[k][0] == tag), -1)
+                if k == 0:
+                    return place
+                if k > 0:
+                    del inner[k:]
+                elif tag in outer:  # the parent ends
+                    if implied:
+                        return m.start()
+                    break
+                continue
+            if implied and tag in BLOCK:
+                open_ = [*stack, *inner]
+                _make_room(open_, tag)
+                if len(open_) <= len(stack):
+                    return m.start()
+                inner = open_[len(stack):]
+            if tag in PLAIN and not (xml and _self_closed(m[3])):
+                end = _end_tag(tag).search(page, place)
+                place = end.end() if end else len(page)
+            elif tag not in VOID and not m[3].endswith("/"):
+                inner.append((tag, tag, False))
+    return len(page)
+
+
+def blocks(page: str, xml: bool = False) -> list[Block]:
     """Leaf blocks of a page in order; white space is one blank, empty blocks are left out."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool]] = []
     pieces: list[str] = []
     linked = 0
+    last: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -99,8 +154,8 @@ def blocks(page: str) -> list[Block]:
         if name in RAW:
             if name not in ("title",):
                 pieces.append(" ")
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            if not ((xml or name == "svg") and _self_closed(m[3])):
+                at = _skip(page, at, name, stack, xml, last)
             continue
         if name == "br" or name == "img":
             pieces.append(" ")

@@ -170,7 +170,7 @@ def derivatives(record: dict) -> list[dict]:
                 page = body.decode(charset, "replace")
             except LookupError:
                 page = body.decode("utf-8", "replace")
-            text = "\n".join(b.text for b in blocks(page))
+            text = "\n".join(b.text for b in blocks(page, xml=media == "application/xhtml+xml"))
             title = _TITLE.search(page)
             lines += [("charset", charset), ("title", " ".join(title[1].split()) if title else None), ("links", len(_LINK.findall(body)))]
     fields_block = "".join(f"{n}: {' '.join(str(v).split())}\r\n" for n, v in lines if v is not None).encode()

@@ -29,6 +29,24 @@ def test_blocks_and_paths():
     assert [b.text for b in blocks("a<br>b &am &amp &#x41;")] == ["a b &am & A"]
 
 
+def test_skipped_elements_end_where_they_end():
+    texts = lambda page, **how: [b.text for b in blocks(page, **how)]
+    assert texts('<body><svg class="icon"/><article><p>One<p>Two <svg><g>no</g></svg>three</article><svg>no</svg>') == ["One", "Two three"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold<p>a <math/> b") == ["Let x=2 hold", "a b"]
+    for name in ("select", "video", "object", "noscript", "iframe", "template", "canvas"):
+        assert texts(f"<div><p>a <{name}><i>no</i></div><p>b") == ["a", "b"]
+        assert texts(f"<div><p>a <{name}>no<p>b</div>c") == ["a", "b", "c"]
+        assert texts(f"<div>a<{name}>no</div><p>b <{name}>no</{name}>c") == ["a", "b c"]
+        assert texts(f"<p>a <{name}><div><p>no<{name}>no</{name}></p></div></{name}> b</p>") == ["a b"]
+    assert texts("<ul><li>a<object>no<li>b</ul>c") == ["a", "b", "c"]
+    assert texts('<p>a<script src="x"/><p>b') == ["a"] and texts('<p>a<script src="x"/><p>b', xml=True) == ["a", "b"]
+    assert texts("<svg x=1/>no</svg>a") == ["a"] and texts("<svg>no") == texts("<style>no<p>no") == []
+    head = "HTTP/1.1 200 OK\r\nContent-Type: application/xhtml+xml\r\n\r\n"
+    record = dict.fromkeys(warc.RECORD.names) | {"record_id": "<urn:x>", "warc_type": "response",
+                                                 "block": (head + '<html><script src="x"/><p>b</p></html>').encode()}
+    assert [r["block"] for r in warc.derivatives(record) if r["warc_type"] == "conversion"] == [b"b"]
+
+
 @pytest.fixture(scope="module")
 def weights(spark):
     return extract.train(spark.read.parquet(f"{SF}/pages.parquet"), sample=120, built=400)
