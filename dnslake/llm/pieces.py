@@ -3,13 +3,13 @@
 The model file gives pieces and scores of a merge-type model (byte fallback, a blank before the text).  A text
 is cut before each stretch of blanks; as no piece runs from a letter into a blank, such chunks are encoded
 on their own.  In a chunk the agenda holds the neighbouring symbols that join to a piece; the best score is
-taken first, the leftmost of equals.  A candidate is skipped for good if a keyed hash of (seed, chunk, variant,
-its two ends and its middle) falls below the dropout, so the same key always gives the same pieces and other
-keys give others.  Without dropout the pieces are those of the model itself.
+taken first, the leftmost of equals.  A candidate is skipped for good if a keyed hash of (seed, row's key,
+chunk's number, chunk, its ends and its piece) falls below the dropout, so every occurrence of a chunk draws anew, and
+the same seed and row always give the same pieces.  Without dropout the pieces are those of the model itself.
 
-A chunk has ``variants`` segmentations per seed; which one is used where is a hash of the row's key and the
-chunk's number.  A batch encodes each (chunk, variant) once: agendas of all short chunks advance together as
-numpy matrices, one merge a round; a long chunk has a heap of its own.
+Agendas of all short chunks advance together as numpy matrices, one merge a round; a long chunk has a heap of its
+own.  Without dropout each chunk is encoded once and remembered.  With ``variants`` a chunk has only so many
+segmentations per seed, chosen by the row's key and the chunk's number, and these are remembered in the same way.
 
 Symbols that the model does not know, U+2581 in the text among them, become byte pieces; every text is decoded
 and compared before it is returned, so ids always decode to the exact text.  Defined cases: null and empty
@@ -31,7 +31,6 @@ from dnslake.llm.frames import add_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 8
 SEED = 1
 #: Longest chunk that is encoded in a matrix.
 MATRIX = 48
@@ -201,8 +200,8 @@ class Model:
 
     # -- texts -------------------------------------------------------------------------------------
 
-    def encode(self, text: pa.Array, keys: np.ndarray, dropout: float, variants: int, seed: int):
-        """(ids, offsets per row) of a slice of texts."""
+    def encode(self, text: pa.Array, keys: np.ndarray, dropout: float, variants: int | None, seed: int):
+        """(ids, offsets per row) of a slice of texts; without ``variants`` each occurrence of a chunk draws anew."""
         texts = textops.as_strings(text).to_pylist()
         whole = "".join(" " + t if t else "" for t in texts)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -218,10 +217,17 @@ class Model:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         row = np.searchsorted(offs, start, side="right") - 1
         number = np.arange(len(start)) - np.searchsorted(start, offs[:-1])[row]
-        which = textops.mix(keys[row].astype(_U) + number.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(seed & _MASK)) % _U(variants)
+        which = textops.mix(keys[row].astype(_U) + number.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(seed & _MASK))
+        if variants:
+            which %= _U(variants)
+        elif dropout <= 0:
+            which[:] = 0
         code = textops.range_hashes(points, start, end, 0xA0761D6478BD642F)
         key = textops.mix(code ^ (which + _U(1)) * _U(0xE7037ED1A0B428DB) ^ _U(seed * 0x8EBC6AF09C88C6E3 & _MASK))
-        out, count = self._remembered(points, start, end, key, dropout)
+        if variants or dropout <= 0:
+            out, count = self._remembered(points, start, end, key, dropout)
+        else:
+            out, count = self._chunks(points, start, end, key, dropout)
         wanted = np.frombuffer(whole.encode(), np.uint8)
         if not np.array_equal(self.decoded(out), wanted):  # two chunks with one hash: tell them apart by their text
             names: dict[tuple[str, int], int] = {}
@@ -340,10 +346,10 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, variants: int = VARIANTS,
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, variants: int | None = None,
            seed: int = SEED) -> DataFrame:
     """All columns of ``docs``, pieces (array of int) and n_pieces (long)."""
-    if not 0 <= dropout <= 1 or variants < 1:
+    if not 0 <= dropout <= 1 or variants is not None and variants < 1:
         raise ValueError("dropout must be from 0 to 1 and variants 1 or more")
     sent = docs.sparkSession.sparkContext.broadcast(_read(model))  # the model file, under a megabyte
 

@@ -252,6 +252,30 @@ def test_heap_and_matrix_agree(monkeypatch):
     assert np.array_equal(one[0], two[0]) and np.array_equal(one[1], two[1])
 
 
+def test_every_occurrence_draws_anew(spark):
+    words_ = ["internationalisation", "of", "the", "reading"]
+    docs = docs_of(spark, [(k, " ".join(words_ * 10)) for k in range(100)])
+    rows = pieces.encode(docs).collect()
+    with open(pieces.MODEL, "rb") as f:
+        model = pieces.Model(f.read())
+    whole = {w: tuple(model.encode(pa.array([w]), np.arange(1), 0.0, None, 1)[0].tolist()) for w in words_}
+    starts = {w: model.bytes[model.start[whole[w][0]]] for w in words_}
+    assert set(starts.values()) == {0x20}
+    seen = {w: [] for w in words_}
+    for r in rows:
+        at, now = 0, []
+        for piece in [*r.pieces, None]:
+            if now and (piece is None or model.bytes[model.start[piece]] == 0x20):
+                seen[words_[at % 4]].append(tuple(now))
+                at, now = at + 1, []
+            now.append(piece)
+        assert at == 40
+    assert len(set(seen["internationalisation"])) > 40  # 8 before
+    for w in ("of", "the"):  # one or two merges or more, each dropped at a tenth of the occurrences
+        share = sum(x != whole[w] for x in seen[w]) / len(seen[w])
+        assert 0.07 < share < 0.35 and len(set(seen[w])) > 1
+
+
 def test_dropout_varies_and_decodes(spark):
     docs = docs_of(spark, list(enumerate(odd_texts())))
     made = pieces.decode(pieces.encode(docs, dropout=0.3))
