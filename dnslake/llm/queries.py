@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.llm import decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules, warc
+from dnslake.llm import bpe, decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules, warc
 from dnslake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -147,3 +147,11 @@ def op10(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_bpe_ranks")
+def op11(spark, sf):
+    done = bpe.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_tokens")
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return bpe.decode(done).select("doc_id", "n_tokens", F.sha2(digits, 256).alias("ids_sha256"),
+                                   F.sha2("decoded", 256).alias("decoded_sha256"))
