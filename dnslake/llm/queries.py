@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.llm import bpe, decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules, warc
+from dnslake.llm import bpe, decontaminate, extract, minhash, nndescent, pieces, quality, secrets, substrings, urlrules, variants, warc, whiten
 from dnslake.llm.registry import ORACLE, QUERIES, query, table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -155,3 +155,50 @@ def op11(spark, sf):
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
     return bpe.decode(done).select("doc_id", "n_tokens", F.sha2(digits, 256).alias("ids_sha256"),
                                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_refined_whitening")
+def op12(spark, sf):
+    return whiten.by_component(table(spark, sf, "embeddings").select("vec_id", "embedding")).select(
+        "vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+_OP13 = r"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                              lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) AS g(i))),
+runs AS (SELECT id, run, count(*) AS n FROM (
+             SELECT CAST(doc_id AS VARCHAR) AS id,
+                    translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+         GROUP BY id, run),
+spelt AS (SELECT run, n, flatten(list_transform(string_split(coalesce(id, '') || ':' || run, ''), lambda c:
+              CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)]
+                   ELSE [CAST(192 + (ord(c) >> 6) AS BIGINT), CAST(128 + (ord(c) & 63) AS BIGINT)] END)) AS bytes FROM runs),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+                  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM spelt, crc_table),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+          SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+                         ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+         FROM v, unnest(generate_series(1, length(word))) AS g(i)),
+near AS (SELECT DISTINCT a.word AS word, b.word AS other, b.n AS m FROM gone a JOIN v b ON a.rest = b.word
+         UNION SELECT DISTINCT b.word, a.word, a.n FROM gone a JOIN v b ON a.rest = b.word
+         UNION SELECT a.word, b.word, b.n FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS top FROM near GROUP BY word),
+formed AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN top END AS form_n,
+                  CASE WHEN top >= 10 * n THEN (SELECT min(other) FROM near x WHERE x.word = v.word AND x.m = top) END AS form
+           FROM v LEFT JOIN best USING (word)),
+climb AS (SELECT word, word AS here, 0 AS step FROM formed
+          UNION ALL SELECT c.word, f.form, step + 1 FROM climb c JOIN formed f ON f.word = c.here WHERE f.form IS NOT NULL)
+SELECT formed.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n
+FROM formed JOIN (SELECT word, arg_max(here, step) AS root FROM climb GROUP BY word) USING (word)
+"""
+
+
+@query("op13_reduced_alphabet", _OP13)
+def op13(spark, sf):
+    return variants.spelling_variants(table(spark, sf, "documents").select("doc_id", "text"))
