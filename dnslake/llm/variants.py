@@ -2,8 +2,8 @@
 
 Words and their counts come from one aggregation over the texts.  Letters are hashed to a few symbols, which turns
 a word into a reduced word; one edit of a word is one edit, or none, of its reduced word.  The one-edit
-neighbourhood of every reduced word is written out and joined with the reduced vocabulary, and the pairs are verified
-on the original words by their edit distance.  An edit and its inverse join the same two words, so each is written
+neighbourhood of every reduced word is written out and joined with the reduced vocabulary; the words of two reduced words
+that meet so are verified on their letters by edit distance.  An edit and its inverse join the same two words, so each is written
 from one end only: deletions stand for insertions too, replacements go to higher symbols, and equal reduced words are
 compared in one order.  Both directions follow from the verified pairs, so the neighbourhoods are covered in full.
 
@@ -82,29 +82,35 @@ def neighbourhood(word: Column, alphabet: list[str], later: bool) -> Column:
 
 
 def near_pairs(vocab: DataFrame, symbols: int = SYMBOLS, bucket: int = BUCKET) -> DataFrame:
-    """(word, n, near, near_n) of every two words that differ by one edit, in both directions."""
-    reduced = F.translate("word", "".join(LETTERS), "".join(symbol(c, symbols) for c in LETTERS))
-    vocab = vocab.select("word", "n", reduced.alias("key"))
+    """(word, n, near, near_n) of every two words that differ by one edit, in both directions.
+
+    Neighbourhoods are written per reduced word, not per word, and travel as pairs of 64-bit hashes.  Two reduced words of one hash
+    only bring more candidates, since pairs are verified on the words and counted once.
+    """
+    letters = F.translate("word", "".join(LETTERS), "".join(symbol(c, symbols) for c in LETTERS))
+    vocab = vocab.select("word", "n", letters.alias("reduced"), F.xxhash64(letters).alias("key"))
     alphabet = sorted({symbol(c, symbols) for c in LETTERS})
-    full = cut_lineage(vocab.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > bucket).select("key"))
-    ends = vocab.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("key").alias("own"))
-    reach = ends.select("a", "a_n", "own", F.explode(F.concat(F.array("own"), neighbourhood(F.col("own"), alphabet, True))).alias("key"))
+    reduced = cut_lineage(vocab.groupBy("reduced", "key").agg(F.count("*").alias("size")))
+    around = F.concat(F.array("reduced"), neighbourhood(F.col("reduced"), alphabet, True))
+    reach = reduced.select(F.col("key").alias("own"), F.explode(F.transform(around, lambda r: F.xxhash64(r))).alias("key"))
+    links = reach.join(reduced.groupBy("key").agg(F.sum("size").alias("size")), "key")
+    firsts = vocab.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("key").alias("own"))
     # Equal reduced words meet from both ends, all others from one.
     once = (F.col("own") != F.col("key")) | (F.col("a") < F.col("word"))
-    some_full = not full.isEmpty()
-    met = reach.join(vocab.join(full, "key", "left_anti") if some_full else vocab, "key").where(
-        once & (F.levenshtein("a", "word", 1) == 1))
-    if some_full:
-        # Over the letters themselves every key is one word; the pair's end is the same as above.
-        near_full = reach.join(full, "key", "left_semi").select("a", "a_n", "own").distinct()
+    met = (links.where(F.col("size") <= bucket).select("own", "key").join(firsts, "own")
+           .join(vocab.select("word", "n", "key"), "key").where(once & (F.levenshtein("a", "word", 1) == 1)).select("a", "a_n", "word", "n"))
+    if not reduced.where(F.col("size") > bucket).isEmpty():
+        # Over the letters themselves every key is one word, so the words that reach a full bucket find theirs directly.
+        full = links.where(F.col("size") > bucket).select("own", "key")
+        near_full = firsts.join(full.select("own").distinct(), "own", "left_semi")
         fine = near_full.select("a", "a_n", "own", F.explode(neighbourhood(F.col("a"), LETTERS, False)).alias("word"))
-        same_end = (F.char_length("a") > F.char_length("word")) | (F.col("own") < F.col("key")) | (
-            (F.col("own") == F.col("key")) & (F.col("a") < F.col("word")))
-        met = met.select("a", "a_n", "word", "n").unionByName(
-            fine.join(vocab.join(full, "key", "left_semi"), "word").where(same_end).select("a", "a_n", "word", "n"))
-    pairs = met.select("a", "a_n", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    return pairs.select(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionAll(
-        pairs.select("b", "b_n", "a", "a_n"))
+        found = fine.join(vocab.join(full.select("key").distinct(), "key", "left_semi").select("word", "n", "key"), "word")
+        met = met.unionByName(found.join(full, ["own", "key"], "left_semi").where(once).select("a", "a_n", "word", "n"))
+    pairs = met.distinct()
+    there = F.struct("a", "a_n", "word", "n")
+    back = F.struct(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("a").alias("word"), F.col("a_n").alias("n"))
+    return pairs.select(F.explode(F.array(there, back)).alias("p")).select(
+        F.col("p.a").alias("word"), F.col("p.a_n").alias("n"), F.col("p.word").alias("near"), F.col("p.n").alias("near_n"))
 
 
 def forms(vocab: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
