@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from dnslake import refdata
 from dnslake.functions.names import normalize_host
 from dnslake.operators.joins import band_join, hot_cells
+from dnslake.operators.networks import group_pairs, memberships, shared_degree
 from dnslake.session import cut_lineage
 from dnslake.sources.tables import merge_latest
 
 #: Spellings accepted for a relation kind.
 KIND_ALIASES = {"cname": "cname_to", **{k: k for k in refdata.RELATION_KINDS}}
-MAX_ASN_GROUP = 50
 
 
 def kinds_of(kinds: list[str] | None) -> list[str]:
@@ -116,23 +116,21 @@ def cname_edges(dns: DataFrame) -> DataFrame:
             .dropDuplicates(["from_id", "to_id", "kind"]))
 
 
-def same_asn_edges(asn: DataFrame) -> DataFrame:
-    """Names that share a small network: groups of 2..50 names, neutral networks left out.
+def same_asn_edges(asn: DataFrame, largest: int | None = None) -> DataFrame:
+    """Names that share a network, both directions; neutral networks are left out.
 
-    Group sizes are counted with map-side combine; large groups vanish before any pairing, so a
-    group never yields more than 1225 pairs.
+    Groups of any size are enumerated block by block (see :mod:`dnslake.operators.networks`); ``largest`` leaves out
+    networks with more names.  Degrees and neighbours need no edges: they come from the memberships.
     """
-    usable = asn.select("name", "asn").where(
-        (F.col("asn") != 0) & ~F.col("asn").isin(list(refdata.NEUTRAL_ASNS))).distinct()
-    small = (usable.groupBy("asn").agg(F.count("*").alias("_n"))
-             .where(F.col("_n").between(2, MAX_ASN_GROUP)).select("asn"))
-    members = usable.join(small, "asn", "left_semi")
-    pairs = (members.withColumnRenamed("name", "from_id")
-             .join(members.withColumnRenamed("name", "to_id"), "asn")
-             .where(F.col("from_id") != F.col("to_id")))
-    return (pairs.groupBy("from_id", "to_id").agg(F.max("asn").alias("asn"))
-            .select("from_id", "to_id", F.lit("same_asn").alias("kind"),
-                    F.lit(1.0).alias("strength"), F.to_json(F.struct("asn")).alias("detail")))
+    members = memberships(asn)
+    pairs = group_pairs(members, "asn", "name", largest=largest)
+    if not members.groupBy("name").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        pairs = pairs.groupBy("a", "b").agg(F.max("asn").alias("asn"))  # two names may share several networks
+    ways = F.array(F.struct(F.col("a").alias("f"), F.col("b").alias("t")),
+                   F.struct(F.col("b").alias("f"), F.col("a").alias("t")))
+    return pairs.withColumn("detail", F.to_json(F.struct("asn"))).withColumn("_w", F.explode(ways)).select(
+        F.col("_w.f").alias("from_id"), F.col("_w.t").alias("to_id"), F.lit("same_asn").alias("kind"),
+        F.lit(1.0).alias("strength"), "detail")
 
 
 def same_cert_edges(cert: DataFrame) -> DataFrame:
@@ -167,10 +165,18 @@ def both_directions(relations: DataFrame) -> DataFrame:
             .select("_way.id", "_way.other", "kind").distinct())
 
 
-def degree(relations: DataFrame, kinds: list[str] | None = None,
-           min_strength: float = 0.0) -> DataFrame:
-    return (both_directions(chosen(relations, kinds, min_strength))
-            .groupBy("id").agg(F.count("*").alias("degree")))
+def degree(relations: DataFrame, kinds: list[str] | None = None, min_strength: float = 0.0,
+           members: DataFrame | None = None) -> DataFrame:
+    """Neighbours of each name, counted once per kind.
+
+    With ``members`` (name, asn) shared networks count from their memberships, and ``relations`` needs no edge of them.
+    """
+    counted = (both_directions(chosen(relations, kinds, min_strength))
+               .groupBy("id").agg(F.count("*").alias("degree")))
+    if members is None or "same_asn" not in kinds_of(kinds) or min_strength > 1.0:
+        return counted
+    shared = shared_degree(members).select(F.col("name").alias("id"), "degree")
+    return counted.unionByName(shared).groupBy("id").agg(F.sum("degree").alias("degree"))
 
 
 def network_totals(relations: DataFrame, kinds: list[str] | None = None,
@@ -199,8 +205,11 @@ def neighbours(relations: DataFrame, domains: DataFrame, name: str,
 
 def network(relations: DataFrame, domains: DataFrame, kinds: list[str] | None = None,
             statuses: list[str] | None = None, min_strength: float = 0.0, min_degree: int = 1,
-            k: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Best connected names and the edges among them (at most ``8 * k``)."""
+            k: int = 300, most_edges: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``k`` best connected names and all edges among them.
+
+    ``most_edges`` keeps the strongest so many and one more, which tells that edges were left out.
+    """
     nodes = domains.join(degree(relations, kinds, min_strength),
                          F.col("name") == F.col("id")).drop("id")
     nodes = nodes.where(F.col("degree") >= max(min_degree, 1))
@@ -213,5 +222,5 @@ def network(relations: DataFrame, domains: DataFrame, kinds: list[str] | None =
              .join(names.withColumnRenamed("name", "from_id"), "from_id", "left_semi")
              .join(names.withColumnRenamed("name", "to_id"), "to_id", "left_semi")
              .select("from_id", "to_id", "kind", "strength")
-             .orderBy(F.desc("strength"), "from_id", "to_id", "kind").limit(8 * k))
-    return top, edges
+             .orderBy(F.desc("strength"), "from_id", "to_id", "kind"))
+    return top, edges if most_edges is None else edges.limit(most_edges + 1)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from dnslake import refdata, schemas
 from dnslake.functions.names import protecting_rule
+from dnslake.operators.chains import walks
 from dnslake.operators.joins import needs_fact
-from dnslake.session import cut_lineage
 from dnslake.sources.tables import merge_latest
 
 
@@ -80,8 +80,11 @@ def facts_wide(facts: DataFrame, as_of: str | None = None, fresh_only: bool = Tr
     return picked.select("name", *[decode(s, s).alias(s) for s in refdata.FACT_SOURCES])
 
 
-def parse_cert_log(df: DataFrame, body: str = "body") -> DataFrame:
-    """Certificate log reply: issuer and end of the first entry, first 100 distinct names."""
+def parse_cert_log(df: DataFrame, body: str = "body", most_names: int | None = None) -> DataFrame:
+    """Certificate log reply: issuer and end of the first entry, all distinct names.
+
+    ``most_names`` keeps the first so many; ``names_seen`` always counts all.
+    """
     entries = F.from_json(body, "array<struct<name_value string, issuer_name string, "
                                 "not_after string>>")
     sans = F.transform(
@@ -90,7 +93,9 @@ def parse_cert_log(df: DataFrame, body: str = "body") -> DataFrame:
     return (df.withColumn("_e", entries).select(
         "name", F.coalesce(F.get("_e", F.lit(0))["issuer_name"], F.lit("")).alias("issuer"),
         F.coalesce(F.get("_e", F.lit(0))["not_after"], F.lit("")).alias("not_after"),
-        F.slice(F.array_distinct(F.filter(sans, lambda s: s != "")), 1, 100).alias("sans")))
+        F.array_distinct(F.filter(sans, lambda s: s != "")).alias("_all")).select(
+        "name", "issuer", "not_after", (F.col("_all") if most_names is None else F.slice("_all", 1, most_names)).alias("sans"),
+        F.size("_all").alias("names_seen")))
 
 
 def parse_registration(df: DataFrame, as_of: str, body: str = "body") -> DataFrame:
@@ -116,68 +121,52 @@ def parse_scan(df: DataFrame, body: str = "body", status: str = "status") -> Dat
         for c in ("malicious", "suspicious", "harmless", "undetected")], known.alias("known"))
 
 
-def cname_chain(names: DataFrame, records: DataFrame, max_hops: int = 10,
-                checkpoint_every: int = 3) -> DataFrame:
-    """Follow ``records (name, target)`` from each name: at most ten hops, stop on a loop.
+def cname_chain(names: DataFrame, records: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(name, cname_chain, looped): the hosts that ``records (name, target)`` lead to from each name.
 
-    One equality join per hop over the names still moving; the record side has one row per host, so
-    a host many names lead to only makes the other side skewed, which AQE splits.  Finished names
-    are set aside in every round; lineage is cut every few rounds.
+    A chain ends with a host that has no record, or before the first host seen again (looped).  Chains have any
+    length and are followed by pointer doubling; ``max_hops`` keeps that many hosts and adds the mark truncated.
     """
-    step = (records.select(F.lower("name").alias("_at"), F.lower("target").alias("_to"))
-            .groupBy("_at").agg(F.min("_to").alias("_to")))
-    moving = names.select("name").distinct().select(
-        "name", F.lower("name").alias("_at"), F.array(F.lower("name")).alias("_seen"))
-    done: DataFrame | None = None
-    for hop in range(1, max_hops + 1):
-        tried = moving.join(step, "_at", "left")
-        goes = F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("_to"))
-        tried = tried.withColumn("_goes", F.coalesce(goes, F.lit(False)))
-        if hop % checkpoint_every == 0:
-            tried = cut_lineage(tried)
-        stopped = tried.where(~F.col("_goes")).select("name", "_seen")
-        done = stopped if done is None else done.unionByName(stopped)
-        moving = tried.where("_goes").select(
-            "name", F.col("_to").alias("_at"),
-            F.concat("_seen", F.array("_to")).alias("_seen"))
-        if hop % checkpoint_every == 0 and moving.isEmpty():
-            break
-    done = done.unionByName(moving.select("name", "_seen"))
-    hops = F.slice("_seen", 2, F.greatest(F.size("_seen") - 1, F.lit(0)))
-    return done.select("name", F.transform(
-        hops, lambda h: F.regexp_replace(h, r"\.$", "")).alias("cname_chain"))
+    steps = (records.select(F.lower("name").alias("at"), F.lower("target").alias("to"))
+             .where("at is not null and to is not null").groupBy("at").agg(F.min("to").alias("to")))
+    found = walks(steps).select(F.col("at").alias("_at"), "path", "looped")
+    rows = names.select("name").distinct().withColumn("_at", F.lower("name")).join(found, "_at", "left")
+    path = F.coalesce("path", F.array().cast("array<string>"))
+    tidy = F.transform(path if max_hops is None else F.slice(path, 1, max_hops),
+                       lambda h: F.regexp_replace(h, r"\.$", ""))
+    marks = [] if max_hops is None else [(F.size(path) > max_hops).alias("truncated")]
+    return rows.select("name", tidy.alias("cname_chain"), F.coalesce("looped", F.lit(False)).alias("looped"), *marks)
 
 
 def enrich_candidates(domains: DataFrame, facts: DataFrame, source: str, as_of: str,
-                      limit: int = 100) -> DataFrame:
-    """Busiest names that need a fact of the source."""
+                      limit: int | None = None) -> DataFrame:
+    """Names that need a fact of the source, busiest first; ``limit`` keeps the first so many."""
     usable = domains.where(F.col("status").isin("new", "staging", "blocked"))
-    return (needs_fact(usable, facts, source, as_of)
-            .select("name", "etld1", "query_count")
-            .orderBy(F.desc("query_count"), "name").limit(limit))
+    wanted = (needs_fact(usable, facts, source, as_of)
+              .select("name", "etld1", "query_count").orderBy(F.desc("query_count"), "name"))
+    return wanted if limit is None else wanted.limit(limit)
 
 
-# Fixed values: (least queries, least score, score a name must exceed, names per run) by source.
+# Fixed values: (least queries, least score, score a name must exceed) by source.
 GATES = {
-    "http": (5, None, -4.0, 50),
-    "vt": (5, 3.0, -4.0, 20),
-    "ai": (3, None, -4.0, 120),
+    "http": (5, None, -4.0),
+    "vt": (5, 3.0, -4.0),
+    "ai": (3, None, -4.0),
 }
 
 
 def gated_candidates(domains: DataFrame, facts: DataFrame, source: str, as_of: str,
                      soft: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
-    """Candidates of a costly source: busy, undecided, not clearly harmless, not protected.
+    """Candidates of a costly source: busy, undecided, not clearly harmless, not protected; busiest first.
 
-    The limit applies before protected names are removed.
+    ``limit`` keeps the first so many of the names that are left when protected ones are out.
     """
-    min_queries, min_score, floor, default_limit = GATES[source]
+    min_queries, min_score, floor = GATES[source]
     usable = domains.where(F.col("status").isin("new", "staging")
                            & (F.col("query_count") >= min_queries)
                            & (F.col("score").isNull() | (F.col("score") > floor)))
     if min_score is not None:
         usable = usable.where(F.col("score") >= min_score)
-    top = (needs_fact(usable, facts, source, as_of)
-           .select("name", "etld1", "query_count")
-           .orderBy(F.desc("query_count"), "name").limit(limit or default_limit))
-    return top.where(protecting_rule("name", soft).isNull())
+    wanted = (needs_fact(usable, facts, source, as_of).where(protecting_rule("name", soft).isNull())
+              .select("name", "etld1", "query_count").orderBy(F.desc("query_count"), "name"))
+    return wanted if limit is None else wanted.limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dnslake.operators import relate, stats
+from dnslake.operators import networks, relate, stats
 from dnslake.plans import adapters as A
 from dnslake.plans import lifecycle, publish, score
 from dnslake.plans.queries_names import SCORED, score_rows, stored_domains
@@ -324,7 +324,29 @@ SELECT to_id, from_id, kind FROM relations) GROUP BY 1)"""
 
 @query(f"{DEGREE} SELECT id, degree FROM degree")
 def node_degree(spark, sf):
-    return relate.degree(A.relations(spark, sf))
+    """Shared networks count from their memberships; no pairs are made."""
+    return relate.degree(relate.cname_edges(A.cname_facts(spark, sf)),
+                         members=networks.memberships(A.asn_of_customers(spark, sf)))
+
+
+@query("""WITH m AS (SELECT DISTINCT name, g FROM (
+SELECT 'c' || o_custkey AS name, o_custkey // 15 AS g FROM orders UNION ALL
+SELECT 'c' || o_custkey, 1000000 + o_orderkey % 40 FROM orders WHERE o_orderkey % 64 = 0))
+SELECT a.name, count(DISTINCT b.name) AS degree FROM m a JOIN m b ON a.g = b.g AND a.name <> b.name GROUP BY 1""")
+def network_degrees(spark, sf):
+    """Names in several overlapping networks, some of them large."""
+    o = A.table(spark, sf, "orders")
+    name = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("name")
+    rows = o.select(name, F.floor(F.col("o_custkey") / 15).alias("asn")).unionAll(
+        o.where(F.col("o_orderkey") % 64 == 0).select(name, (F.col("o_orderkey") % 40 + 1000000).alias("asn")))
+    return networks.shared_degree(networks.memberships(rows.withColumn("asn", F.col("asn") + 1), neutral=[]))
+
+
+@query(f"""WITH {REL} SELECT name, max(asn) AS asn FROM asn WHERE name <> 'c100.example'
+AND asn = (SELECT asn FROM asn WHERE name = 'c100.example') GROUP BY 1""")
+def network_sharing(spark, sf):
+    """Names that share the large network of one name, from the memberships."""
+    return networks.sharing(networks.memberships(A.asn_of_customers(spark, sf)), "c100.example")
 
 
 @query(f"""WITH {REL} SELECT from_id AS id, to_id AS other, kind FROM relations UNION
@@ -367,7 +389,7 @@ def network_nodes(spark, sf):
 
 @query(f"""{NET} SELECT from_id, to_id, kind, CAST(strength AS DOUBLE) AS strength FROM relations
 WHERE from_id IN (SELECT name FROM top) AND to_id IN (SELECT name FROM top)
-ORDER BY strength DESC, from_id, to_id, kind LIMIT 800""")
+""")
 def network_edges(spark, sf):
     _, edges = relate.network(A.relations(spark, sf), A.relation_domains(spark, sf),
                               statuses=["new", "blocked"], min_degree=2, k=100)

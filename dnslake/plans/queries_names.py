@@ -411,16 +411,14 @@ FRESH = "(k % 7 <> 0 AND k % 9 <> 0)"
 
 
 @query(f"""WITH {DOM} SELECT name, query_count FROM dom
-WHERE status IN ('new', 'staging', 'blocked') AND NOT ((k % 6 IN (1, 2)) AND k % 7 <> 0)
-ORDER BY query_count DESC, name LIMIT 100""")
+WHERE status IN ('new', 'staging', 'blocked') AND NOT ((k % 6 IN (1, 2)) AND k % 7 <> 0)""")
 def enrich_candidates(spark, sf):
     return facts_plan.enrich_candidates(A.domains(spark, sf), A.facts(spark, sf), "asn",
                                         A.AS_OF).select("name", "query_count")
 
 
 @query(f"""WITH {DOM} SELECT name, query_count FROM dom WHERE status IN ('new', 'staging')
-AND NOT (({_HAS["vt"]}) AND k % 7 <> 0) AND query_count >= 5 AND score >= 3
-ORDER BY query_count DESC, name LIMIT 20""")
+AND NOT (({_HAS["vt"]}) AND k % 7 <> 0) AND query_count >= 5 AND score >= 3""")
 def gated_candidates(spark, sf):
     return facts_plan.gated_candidates(A.domains(spark, sf), A.facts(spark, sf), "vt",
                                        A.AS_OF).select("name", "query_count")
@@ -531,7 +529,7 @@ def scanner_replies(spark, sf):
 
 
 @query("""WITH RECURSIVE w AS (SELECT c_custkey AS start, c_custkey AS now, 0 AS hops FROM customer
-UNION ALL SELECT start, now // 3, hops + 1 FROM w WHERE now // 3 <> now AND hops < 10)
+UNION ALL SELECT start, now // 3, hops + 1 FROM w WHERE now // 3 <> now)
 SELECT 'c' || start || '.example' AS name, CAST(max(hops) AS BIGINT) AS hops,
 coalesce('c' || CAST(arg_max(now, hops) FILTER (hops > 0) AS BIGINT) || '.example', '') AS last
 FROM w GROUP BY start""")
@@ -543,6 +541,26 @@ def cname_chains(spark, sf):
         F.get("cname_chain", n - 1), F.lit("")).alias("last"))
 
 
+@query("""WITH m AS (SELECT max(c_custkey) AS m FROM customer),
+p AS (SELECT c_custkey AS c, c_custkey % 500 AS p, c_custkey // 500 * 500 + 499 AS e, c_custkey // 500 % 2 = 0 AS loops FROM customer),
+w AS (SELECT c, CASE WHEN e > m THEN m + 1 - c WHEN loops AND p >= 250 THEN 249 ELSE e - c END AS hops,
+CASE WHEN e > m THEN m + 1 WHEN loops AND p > 250 THEN c - 1 ELSE e END AS last, loops AND e <= m AS looped FROM p, m)
+SELECT 'c' || c || '.example' AS name, CAST(hops AS BIGINT) AS hops,
+CASE WHEN hops = 0 THEN '' ELSE 'c' || last || '.example' END AS last, looped FROM w""")
+def cname_long_chains(spark, sf):
+    """Chains of up to 499 hosts; every other one runs into a loop of 250."""
+    c = F.col("c_custkey")
+    p, even = c % 500, F.floor(c / 500) % 2 == 0
+    target = F.when(p < 499, c + 1).when(even, c - 249)
+    records = A.table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), c.cast("string"), F.lit(".example")).alias("name"),
+        F.concat(F.lit("C"), target.cast("string"), F.lit(".Example")).alias("target"))
+    chains = facts_plan.cname_chain(records.select("name"), records)
+    n = F.size("cname_chain")
+    return chains.select("name", n.cast("long").alias("hops"), F.coalesce(
+        F.get("cname_chain", n - 1), F.lit("")).alias("last"), "looped")
+
+
 # Rules and scores --------------------------------------------------------------------------------
 
 

@@ -100,8 +100,7 @@ cname AS (SELECT name AS from_id, 'e' || n || '.edge.example' AS to_id FROM cust
 asn AS (SELECT name, CASE WHEN (c // 20) % 7 = 0 THEN 15169 WHEN (c // 20) % 5 = 0 THEN 64496
                ELSE c // 20 + 100000 END AS asn FROM cust),
 same AS (SELECT a.name AS from_id, b.name AS to_id, a.asn FROM asn a JOIN asn b
-  ON a.asn = b.asn AND a.name <> b.name
-  WHERE a.asn <> 15169 AND a.asn IN (SELECT asn FROM asn GROUP BY asn HAVING count(*) <= 50)),
+  ON a.asn = b.asn AND a.name <> b.name WHERE a.asn <> 15169),
 relations AS (SELECT from_id, to_id, 'cname_to' AS kind, 1.0::DOUBLE AS strength FROM cname
   UNION ALL SELECT from_id, to_id, 'same_asn', 1.0::DOUBLE FROM same),
 rdom AS (SELECT name, CASE c % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'staging' ELSE 'blocked' END AS status,

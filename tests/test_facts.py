@@ -68,24 +68,57 @@ def test_candidates_of_a_costly_source(spark):
         "a.vnpay.vn", "stale", "blocked"]
 
 
-def test_chain_stops_on_loops_and_after_ten_hops(spark):
-    records = ([("a.", "b."), ("b.", "c."), ("c.", "b."), ("self", "self")]
-               + [(f"n{i}", f"n{i + 1}") for i in range(15)] + [(f"leaf{i}", "a.") for i in range(200)])
-    names = [("a.",), ("n0",), ("n8",), ("self",), ("alone",)] + [(f"leaf{i}",) for i in range(200)]
-    got = {r.name: r.cname_chain for r in P.cname_chain(
-        spark.createDataFrame(names, "name string"),
-        spark.createDataFrame(records, "name string, target string")).collect()}
-    assert len(got) == 205 and got["a."] == ["b", "c"] and got["self"] == [] and got["alone"] == []
-    assert got["n0"] == [f"n{i}" for i in range(1, 11)] and got["n8"] == [f"n{i}" for i in range(9, 16)]
-    assert all(got[f"leaf{i}"] == ["a", "b", "c"] for i in range(200))
-
-
-def test_certificates_keep_a_hundred_names(spark):
+def plain_chain(records, name):
+    step, seen = {}, [name.lower()]
+    for a, b in sorted(records, reverse=True):
+        step[a.lower()] = b.lower()
+    while step.get(seen[-1]) and step[seen[-1]] not in seen:
+        seen.append(step[seen[-1]])
+    return [h.removesuffix(".") for h in seen[1:]], bool(step.get(seen[-1])) and step[seen[-1]] in seen and len(seen) > 1
+
+
+def chains_of(spark, names, records, **options):
+    return P.cname_chain(spark.createDataFrame([(n,) for n in names], "name string"),
+                         spark.createDataFrame(records, "name string, target string"), **options)
+
+
+def test_chains_of_any_length_and_loops(spark):
+    records = ([("a.", "b."), ("b.", "c."), ("c.", "b."), ("self", "self"), ("X", "Y"), ("y", "x"), ("q", "Y"), ("p", "q")]
+               + [(f"n{i}", f"n{i + 1}") for i in range(1000)] + [(f"leaf{i}", "a.") for i in range(200)]
+               + [(f"r{i}", f"r{(i + 1) % 77}") for i in range(77)] + [("t0", "t1"), ("t1", "r40")])
+    names = {a for a, _ in records} | {"alone", "n1000"}
+    got = {r.name: (r.cname_chain, r.looped) for r in chains_of(spark, sorted(names), records).collect()}
+    want = {n: plain_chain(records, n) for n in names}
+    assert {n: c for n, (c, _) in got.items()} == {n: c for n, (c, _) in want.items()}
+    assert len(got["n0"][0]) == 1000 and len(got["r5"][0]) == 76 and got["alone"] == ([], False)
+    assert {n for n, (_, looped) in got.items() if looped} == {n for n, (_, looped) in want.items() if looped}
+
+
+def test_random_pointers_equal_a_plain_walk(spark):
+    import random
+    rng = random.Random(8)
+    records = [(f"h{i}", f"h{rng.randrange(130)}") for i in range(100)] + [("h3", "h4"), ("h3", "h0")]
+    names = [f"h{i}" for i in range(135)]
+    got = {r.name: r.cname_chain for r in chains_of(spark, names, records).collect()}
+    assert got == {n: plain_chain(records, n)[0] for n in names}
+
+
+def test_hops_can_be_limited_with_a_mark(spark):
+    records = [(f"n{i}", f"n{i + 1}") for i in range(15)]
+    got = {r.name: r for r in chains_of(spark, ["n0", "n5", "n8"], records, max_hops=10).collect()}
+    assert got["n0"].cname_chain == [f"n{i}" for i in range(1, 11)] and got["n0"].truncated
+    assert len(got["n5"].cname_chain) == 10 and not got["n5"].truncated and len(got["n8"].cname_chain) == 7
+    assert chains_of(spark, ["a"], []).first().cname_chain == []
+
+
+def test_certificates_keep_all_names(spark):
     entries = [{"name_value": "*.A.vn\na.vn\n\n", "issuer_name": "CA", "not_after": "z"},
                {"name_value": "\n".join(f"n{i}.vn" for i in range(200)), "issuer_name": "other"}]
     df = spark.createDataFrame([("a", json.dumps(entries)), ("b", "[]")], "name string, body string")
     got = {r.name: r for r in P.parse_cert_log(df).collect()}
-    assert got["a"].issuer == "CA" and len(got["a"].sans) == 100 and got["a"].sans[:3] == [
+    some = {r.name: r for r in P.parse_cert_log(df, most_names=100).collect()}["a"]
+    assert len(some.sans) == 100 and some.names_seen == 202
+    assert got["a"].issuer == "CA" and len(got["a"].sans) == 202 and got["a"].sans[:3] == [
         "*.a.vn", "a.vn", "n0.vn"]
     assert got["b"].issuer == "" and got["b"].sans == []
 

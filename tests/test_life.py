@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from dnslake.operators import relate, search
+from dnslake.operators import networks, relate, search
 from dnslake.plans import lifecycle as L
 from dnslake.plans import publish as P
 from dnslake.sources import tables
@@ -279,9 +279,47 @@ def test_cname_hops(spark):
 
 def test_same_asn_groups(spark):
     rows = ([(f"n{i}", 13335) for i in range(3)] + [(f"b{i}", 7) for i in range(51)]
-            + [(f"s{i}", 8) for i in range(50)] + [("lone", 9), ("zero", 0), ("zero2", 0)])
-    got = relate.same_asn_edges(spark.createDataFrame(rows, "name string, asn long"))
-    assert got.count() == 50 * 49 and {r.from_id[0] for r in got.collect()} == {"s"}
+            + [(f"s{i}", 8) for i in range(50)] + [("lone", 9), ("zero", 0), ("zero2", 0), (None, 9), ("b0", None)])
+    asn = spark.createDataFrame(rows, "name string, asn long")
+    got = relate.same_asn_edges(asn)
+    assert got.count() == 50 * 49 + 51 * 50 and {r.from_id[0] for r in got.collect()} == {"s", "b"}
+    assert relate.same_asn_edges(asn, largest=50).count() == 50 * 49
+
+
+@pytest.mark.parametrize("block", [1, 7, 2000])
+def test_blocked_pairs_equal_all_pairs(spark, block):
+    groups = {1: range(40), 2: range(30, 55), 3: [99], 4: range(98, 100)}
+    members = spark.createDataFrame([(f"n{i:02}", g) for g, of in groups.items() for i in of], "name string, asn long")
+    got = [tuple(r) for r in networks.group_pairs(members, "asn", "name", block).collect()]
+    assert sorted(got) == sorted((g, f"n{i:02}", f"n{j:02}") for g, of in groups.items() for i in of for j in of if i < j)
+
+
+def test_degrees_from_memberships_equal_those_of_pairs(spark):
+    import random
+    rng = random.Random(4)
+    rows = {(f"n{i}", g) for i in range(150) for g in rng.sample(range(1, 12), rng.choice([0, 1, 1, 2, 4]))}
+    members = spark.createDataFrame(sorted(rows), "name string, asn long")
+    want = {}
+    for a in {n for n, _ in rows}:
+        mine = {g for n, g in rows if n == a}
+        others = {n for n, g in rows if g in mine} - {a}
+        if others:
+            want[a] = len(others)
+    assert {r.name: r.degree for r in networks.shared_degree(members).collect()} == want
+    edges = relate.same_asn_edges(members)
+    assert {r.id: r.degree for r in relate.degree(edges).collect()} == want
+    none = edges.where("false")
+    assert {r.id: r.degree for r in relate.degree(none, members=members).collect()} == want
+    mine = {g for n, g in rows if n == "n3"}
+    assert {r.name: r.asn for r in networks.sharing(members, "n3").collect()} == {
+        n: max(g for m, g in rows if m == n and g in mine) for n, g in rows if g in mine and n != "n3"}
+
+
+def test_a_group_of_five_thousand_gives_all_its_pairs(spark):
+    asn = spark.range(5000).selectExpr("concat('n', id) AS name", "7L AS asn")
+    pairs = networks.group_pairs(networks.memberships(asn), "asn", "name")
+    assert pairs.select("a", "b").distinct().count() == 5000 * 4999 // 2
+    assert networks.shared_degree(networks.memberships(asn)).where("degree = 4999").count() == 5000
 
 
 def test_edge_upsert(spark):
