@@ -1,8 +1,7 @@
 """Addresses and prefixes.
 
 An address is a 32-digit hexadecimal string (IPv4 mapped into ``::ffff:0:0/96``), so that string
-order is address order.  IPv4 text is parsed by native expressions, IPv6 text by one vectorised
-function.
+order is address order.  Text of both kinds is parsed and printed by column expressions.
 """
 
 from __future__ import annotations
@@ -10,43 +9,23 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from dnslake import refdata
 
 V4_PREFIX = "0" * 20 + "ffff"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4_TEXT = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
+_GROUPS = "(?:[0-9a-f]{1,4}:)*[0-9a-f]{1,4}"
+_V6_FULL = "^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"
+_V6_SHORT = f"^(?:{_GROUPS})?::(?:{_GROUPS})?$"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _hex6(text: str | None) -> str | None:
-    try:
-        return f"{int(ipaddress.IPv6Address(text.split('%')[0])):032x}"
-    except (ValueError, AttributeError):
-        return None
-
-
-def _text6(key: str | None) -> str | None:
-    return None if key is None else str(ipaddress.IPv6Address(int(key, 16)))
-
-
-@F.pandas_udf(StringType())
-def _parse_v6(text: pd.Series) -> pd.Series:
-    return text.map(_hex6)
-
-
-@F.pandas_udf(StringType())
-def _format_v6(key: pd.Series) -> pd.Series:
-    return key.map(_text6)
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value evaluated once, however often ``use`` refers to it.
 
@@ -75,11 +54,52 @@ def _v4_key(number: Column) -> Column:
     return F.concat(F.lit(V4_PREFIX), F.lpad(F.lower(F.hex(number)), 8, "0"))
 
 
+def _v6_key(ip: Column) -> Column:
+    """Key of IPv6 text: a zone is cut off, a dotted tail counts as two groups, ``::`` stands for one group or more."""
+    text = F.lower(F.substring_index(ip, "%", 1))
+
+    def undotted(t: Column) -> Column:
+        tail = F.substring_index(t, ":", -1)
+        last = F.lpad(F.lower(F.hex(v4_number(tail))), 8, "0")
+        head = F.left(t, F.char_length(t) - F.char_length(tail))
+        return F.when(~t.contains("."), t).otherwise(F.concat(head, F.left(last, F.lit(4)), F.lit(":"), F.right(last, F.lit(4))))
+
+    def joined(groups: Column) -> Column:
+        return F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), "")
+
+    def read(t: Column) -> Column:
+        sides = F.struct(F.filter(F.split(F.substring_index(t, "::", 1), ":"), lambda g: g != "").alias("l"),
+                         F.filter(F.split(F.substring_index(t, "::", -1), ":"), lambda g: g != "").alias("r"))
+        packed = bound(sides, lambda p: F.when(F.size(p["l"]) + F.size(p["r"]) <= 7, F.concat(
+            joined(p["l"]), F.repeat(F.lit("0000"), 8 - F.size(p["l"]) - F.size(p["r"])), joined(p["r"]))))
+        return F.when(t.rlike(_V6_FULL), joined(F.split(t, ":"))).when(t.rlike(_V6_SHORT), packed)
+
+    return bound(bound(text, undotted), read)
+
+
+def _v6_text(key: Column) -> Column:
+    """Canonical text: no leading zeros, the first longest run of two or more zero groups as ``::``."""
+    def shown(groups: Column) -> Column:
+        plain = F.transform(groups, lambda g: F.regexp_replace(g, "^0{1,3}", ""))
+        zeros = F.array_join(F.transform(groups, lambda g: F.when(g == "0000", "0").otherwise("1")), "")
+        run = F.coalesce(*[F.when(F.locate("0" * n, z) > 0, F.struct(F.locate("0" * n, z).alias("at"), F.lit(n).alias("n")))
+                           for z in (zeros,) for n in range(8, 1, -1)])
+        def printed(p: Column) -> Column:
+            g, r = p["g"], p["run"]
+            cut = F.concat(F.array_join(F.slice(g, F.lit(1), r["at"] - 1), ":"), F.lit("::"),
+                           F.array_join(F.slice(g, r["at"] + r["n"], F.lit(8)), ":"))
+            return F.when(r.isNull(), F.array_join(g, ":")).otherwise(cut)
+        return bound(F.struct(plain.alias("g"), run.alias("run")), printed)
+
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(key, i * 4 + 1, F.lit(4)))
+    return F.when(key.isNotNull(), bound(groups, shown))
+
+
 def ip_key(ip: Column | str, allow_v6: bool = True) -> Column:
     """Address text to its key; null when unreadable.  v4-in-v6 becomes v4 by construction."""
     ip = _col(ip)
     v4 = _v4_key(v4_number(ip))
-    return F.coalesce(v4, _parse_v6(F.when(ip.contains(":"), ip))) if allow_v6 else v4
+    return F.coalesce(v4, _v6_key(F.when(ip.contains(":"), ip))) if allow_v6 else v4
 
 
 def is_v4(key: Column | str) -> Column:
@@ -94,7 +114,7 @@ def ip_text(key: Column | str, allow_v6: bool = True) -> Column:
     """Canonical text of an address key."""
     key = _col(key)
     v4 = F.when(is_v4(key), v4_text(v4_of_key(key)))
-    return F.coalesce(v4, _format_v6(F.when(~is_v4(key), key))) if allow_v6 else v4
+    return F.coalesce(v4, _v6_text(F.when(~is_v4(key), key))) if allow_v6 else v4
 
 
 def mask_key(key: Column | str, bits: Column | int) -> Column:
@@ -105,6 +125,21 @@ def mask_key(key: Column | str, bits: Column | int) -> Column:
     return bound(pair, lambda p: _masked(p["key"], p["bits"]))
 
 
+def last_key(key: Column | str, bits: Column | int) -> Column:
+    """The last address of a network: the bits behind the first ``bits`` set to one."""
+    bits = F.lit(bits) if isinstance(bits, int) else bits
+    pair = F.struct(_col(key).alias("key"), bits.cast("int").alias("bits"))
+
+    def filled(p: Column) -> Column:
+        whole, rest = F.floor(p["bits"] / 4).cast("int"), (p["bits"] % 4).cast("int")
+        ones = F.element_at(F.array(*[F.lit((1 << 4 - i) - 1) for i in range(4)]), rest + 1)
+        digit = F.conv(F.substr(p["key"], whole + 1, F.lit(1)), 16, 10).cast("int")
+        partial = F.when(rest == 0, F.lit("")).otherwise(F.lower(F.hex(digit.bitwiseOR(ones).cast("long"))))
+        return F.rpad(F.concat(F.left(p["key"], whole), partial), 32, "f")
+
+    return bound(pair, filled)
+
+
 def _masked(key: Column, bits: Column | int) -> Column:
     bits = F.lit(bits) if isinstance(bits, int) else bits
     whole = F.floor(bits / 4).cast("int")

@@ -98,14 +98,14 @@ def asn_facts(dns: DataFrame, ranges: DataFrame, allow_v6: bool = True) -> DataF
             .select("name", "asn", "org", "country"))
 
 
-def scan_threats(domain_ips: DataFrame, lists: DataFrame, allow_v6: bool = True,
-                 **lengths) -> tuple[DataFrame, DataFrame, DataFrame]:
+def scan_threats(domain_ips: DataFrame, lists: DataFrame,
+                 allow_v6: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Match every address again: (state now, changed rows, alerts).
 
     An address is set, moved to another list or cleared; an alert needs a new prefix.
     """
     was = ip_threat_state(domain_ips)
-    hit = priority_prefix_join(nets.ips_of(domain_ips, "ip", allow_v6), lists, **lengths)
+    hit = priority_prefix_join(nets.ips_of(domain_ips, "ip", allow_v6), lists)
     now = hit.select("ip", nets.prefix_text("net_key", "bits", allow_v6).alias("now_threat"),
                      F.col("source").alias("now_source"))
     state = (was.join(now, "ip", "left")

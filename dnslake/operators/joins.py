@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslake.functions import nets
+from dnslake.operators import sweep
+from dnslake.session import cut_lineage
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, start: str,
@@ -72,108 +74,54 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, gap: in
     return pairs.drop("_cell", "_share")
 
 
-#: Digits of the key that name a bucket.  A range is filed under the finest level at which it
-#: spans few buckets; ranges do not overlap, so a bucket of a coarse level holds few of them.
-_LEVELS_V6 = (4, 8, 12)
-_LEVELS_V4 = (28, 30)
-_MAX_SPAN = 4096
+def range_join(ips: DataFrame, ranges: DataFrame, how: str = "inner", slab_rows: int = sweep.SLAB_ROWS) -> DataFrame:
+    """Each address (``ip_key``) with every range (``start_key``, ``end_key``) that holds it, v4 or v6.
 
-
-def _number(key: Column, start: int, digits: int) -> Column:
-    return F.conv(F.substring(key, start, digits), 16, 10).cast("long")
-
-
-def _bucketed(ranges: DataFrame) -> DataFrame:
-    start, end = F.col("start_key"), F.col("end_key")
-
-    def span(level: int, v4: bool) -> tuple[Column, Column]:
-        first, digits = (25, level - 24) if v4 else (1, level)
-        return _number(start, first, digits), _number(end, first, digits)
-
-    def filed(levels: tuple[int, ...], v4: bool) -> Column:
-        chain: Column | None = None
-        for level in reversed(levels):
-            low, high = span(level, v4)
-            entry = F.struct(F.lit(level).alias("level"), low.alias("low"), high.alias("high"))
-            fits = (high - low < (256 if v4 else _MAX_SPAN)) if level != levels[0] else F.lit(True)
-            chain = F.when(fits, entry) if chain is None else chain.when(fits, entry)
-        return chain
-
-    entry = F.when(nets.is_v4(start), filed(_LEVELS_V4, True)).otherwise(filed(_LEVELS_V6, False))
-    return (ranges.withColumn("_e", entry)
-            .withColumn("_bucket", F.explode(F.sequence("_e.low", "_e.high")))
-            .withColumn("_level", F.col("_e.level")).drop("_e"))
-
-
-def range_join(ips: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
-    """Each address (``ip_key``) with the range (``start_key``, ``end_key``) that holds it.
-
-    Addresses are made distinct, looked up once, and joined back.
+    Distinct addresses are swept once against the sorted ranges (see :mod:`dnslake.operators.sweep`).
     """
-    key = F.col("ip_key")
-
-    def probes(levels: tuple[int, ...], v4: bool) -> Column:
-        first = 25 if v4 else 1
-        return F.array(*[
-            F.struct(F.lit(level).alias("level"),
-                     _number(key, first, level - first + 1).alias("bucket"))
-            for level in levels])
-
-    tried = ips.select("ip_key").distinct().withColumn("_p", F.explode(
-        F.when(nets.is_v4(key), probes(_LEVELS_V4, True)).otherwise(probes(_LEVELS_V6, False))))
-    tried = tried.select("ip_key", F.col("_p.level").alias("_level"),
-                         F.col("_p.bucket").alias("_bucket"))
-    # Size estimates do not see the explosion into buckets: keep it from being broadcast.
-    found = (tried.join(_bucketed(ranges).hint("merge"), ["_level", "_bucket"])
-             .where(key.between(F.col("start_key"), F.col("end_key")))
-             .drop("_level", "_bucket", "start_key", "end_key"))
+    listed = _numbered(ranges)
+    found = sweep.containing(ips, listed, slab_rows).join(listed.drop("start_key", "end_key"), "_range").drop("_range")
     return ips.join(found, "ip_key", how)
 
 
-def _probed(ips: DataFrame, v4_lengths: list[int], v6_lengths: list[int]) -> DataFrame:
-    key = F.col("ip_key")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a number of their own, written once so that it stays the same wherever it is used."""
+    return cut_lineage(rows.withColumn("_range", F.monotonically_increasing_id()))
 
-    def lengths(values: list[int]) -> Column:
-        return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<int>")
 
-    bits = F.when(nets.is_v4(key), lengths([96 + v for v in v4_lengths])).otherwise(
-        lengths(v6_lengths))
-    return (ips.select("ip_key").distinct().withColumn("bits", F.explode(bits))
-            .withColumn("net_key", nets.mask_key("ip_key", F.col("bits"))))
+def _as_ranges(cidrs: DataFrame) -> DataFrame:
+    """Networks (``net_key``, ``bits``) of any length as ranges of addresses."""
+    return cidrs.withColumn("start_key", nets.mask_key("net_key", F.col("bits"))).withColumn(
+        "end_key", nets.last_key("net_key", F.col("bits")))
 
 
-def longest_prefix_join(ips: DataFrame, cidrs: DataFrame, v4_lengths: list[int] | None = None,
-                        v6_lengths: list[int] | None = None, how: str = "inner") -> DataFrame:
-    """Each address with the most specific network (``net_key``, ``bits``) that holds it.
+def _first_prefix(ips: DataFrame, cidrs: DataFrame, order: Column, kept: list[str], how: str, slab_rows: int) -> DataFrame:
+    """Each address with the least network by ``order`` of those that hold it; networks nest, so a sweep meets each once."""
+    listed = _numbered(_as_ranges(cidrs))
+    found = sweep.containing(ips, listed, slab_rows).join(listed.drop("start_key", "end_key"), "_range")
+    best = found.groupBy("ip_key").agg(F.min_by(F.struct(*kept), order).alias("_m")).select("ip_key", "_m.*")
+    return ips.join(best, "ip_key", how)
+
 
-    A distinct address is turned into its masked prefixes of the admitted lengths (/8../32 and
-    /19../128 unless told which lengths occur) and matched by equality.
+def longest_prefix_join(ips: DataFrame, cidrs: DataFrame, how: str = "inner",
+                        slab_rows: int = sweep.SLAB_ROWS) -> DataFrame:
+    """Each address with the most specific network (``net_key``, ``bits``, 0 to 128) that holds it.
+
+    Of several rows on one network a whole row counts, the least by its columns in order.
     """
-    v4_lengths = list(range(8, 33)) if v4_lengths is None else v4_lengths
-    v6_lengths = list(range(19, 129)) if v6_lengths is None else v6_lengths
     rest = [c for c in cidrs.columns if c not in ("net_key", "bits")]
-    # Of several rows on one network a whole row counts, the least by its columns in order.
-    nets_once = cidrs.groupBy("net_key", "bits").agg(F.min(F.struct(*rest)).alias("_row")).select(
-        "net_key", "bits", "_row.*") if rest else cidrs.select("net_key", "bits").distinct()
-    hit = F.max_by(F.struct("net_key", "bits", *rest), "bits").alias("_m")
-    best = (_probed(ips, v4_lengths, v6_lengths).join(nets_once, ["net_key", "bits"])
-            .groupBy("ip_key").agg(hit).select("ip_key", "_m.*"))
-    return ips.join(best, "ip_key", how)
+    order = F.struct((-F.col("bits")).alias("narrow"), *rest)
+    return _first_prefix(ips, cidrs, order, ["net_key", "bits", *rest], how, slab_rows)
 
 
-def priority_prefix_join(ips: DataFrame, lists: DataFrame, v4_lengths: list[int] | None = None,
-                         v6_lengths: list[int] | None = None, how: str = "inner") -> DataFrame:
+def priority_prefix_join(ips: DataFrame, lists: DataFrame, how: str = "inner",
+                         slab_rows: int = sweep.SLAB_ROWS) -> DataFrame:
     """First list in priority order that holds the address, with its most specific network.
 
     ``lists`` has ``net_key, bits, source, priority``.
     """
-    v4_lengths = list(range(8, 33)) if v4_lengths is None else v4_lengths
-    v6_lengths = list(range(19, 129)) if v6_lengths is None else v6_lengths
     order = F.struct(F.col("priority"), (-F.col("bits")).alias("narrow"), F.col("source"))
-    hit = F.min_by(F.struct("net_key", "bits", "source", "priority"), order).alias("_m")
-    best = (_probed(ips, v4_lengths, v6_lengths).join(lists.distinct(), ["net_key", "bits"])
-            .groupBy("ip_key").agg(hit).select("ip_key", "_m.*"))
-    return ips.join(best, "ip_key", how)
+    return _first_prefix(ips, lists, order, ["net_key", "bits", "source", "priority"], how, slab_rows)
 
 
 def needs_fact(domains: DataFrame, facts: DataFrame, source: str, as_of: str) -> DataFrame:

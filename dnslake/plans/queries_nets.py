@@ -14,7 +14,6 @@ from dnslake.sources import lists, tables
 from dnslake.sources.events import stream_events
 from dnslake.streaming import streams
 
-LENGTHS = {"v4_lengths": [16, 24], "v6_lengths": []}
 CUST = """c AS (SELECT c_custkey, c_custkey % 25 AS n, (c_custkey % 1024) // 256 AS third,
   '10.' || (c_custkey % 25) || '.' || ((c_custkey % 1024) // 256) || '.' || (c_custkey % 256) AS ip
   FROM customer)"""
@@ -60,7 +59,7 @@ arg_max(source, bits) AS source FROM c JOIN net USING (n)
 WHERE bits = 16 OR third = 1 GROUP BY 1, 2""")
 def longest_prefix(spark, sf):
     ips = A.customer_ips(spark, sf).withColumn("ip_key", nets.ip_key("ip", allow_v6=False))
-    hit = joins.longest_prefix_join(ips, A.threat_lists(spark, sf), **LENGTHS)
+    hit = joins.longest_prefix_join(ips, A.threat_lists(spark, sf))
     return hit.select("c_custkey", "ip", nets.prefix_text("net_key", "bits", False).alias("net"),
                       "source")
 
@@ -99,6 +98,62 @@ def range_join_many(spark, sf):
     return joins.range_join(ips, ranges).groupBy("id").agg(F.count("*").alias("n"))
 
 
+_SIX = """v AS (SELECT c_custkey, c_custkey % 65535 + 1 AS v,
+'2001:db8:' || lower(to_hex(c_custkey % 65535 + 1)) || '::' || lower(to_hex(c_nationkey + 1)) AS ip FROM customer)"""
+
+
+def _six(spark, sf):
+    """One v6 address per customer."""
+    def digits(n):
+        return F.lower(F.hex(n.cast("long")))
+    return A.table(spark, sf, "customer").select("c_custkey", F.concat(
+        F.lit("2001:db8:"), digits(F.col("c_custkey") % 65535 + 1), F.lit("::"), digits(F.col("c_nationkey") + 1)).alias("ip"))
+
+
+@query(f"""WITH {_SIX} SELECT c_custkey, ip, CAST(p_partkey AS BIGINT) AS asn, 'ZZ' AS country FROM v
+JOIN part ON p_partkey = v // 8 AND v % 8 BETWEEN 2 AND 5 WHERE p_partkey > 0""")
+def range_lookup_v6(spark, sf):
+    """A table of v6 ranges, each half of eight /48 networks."""
+    start = F.lower(F.hex((F.col("p_partkey") * 8 + 2).cast("long")))
+    end = F.lower(F.hex((F.col("p_partkey") * 8 + 5).cast("long")))
+    lines = A.table(spark, sf, "part").where("p_partkey * 8 < 65536").select(F.concat_ws(
+        "\t", F.concat(F.lit("2001:db8:"), start, F.lit("::")),
+        F.concat(F.lit("2001:DB8:"), end, F.lit(":ffff:ffff:ffff:ffff:ffff")), F.col("p_partkey").cast("string"),
+        F.lit("ZZ"), F.lit("org")).alias("value"))
+    ips = _six(spark, sf).withColumn("ip_key", nets.ip_key("ip"))
+    return joins.range_join(ips, lists.parse_ip_ranges(lines)).select("c_custkey", "ip", "asn", "country")
+
+
+_SIX_NETS = f"""{_SIX}, hit AS (SELECT c_custkey, ip, v, v // 256 AS wide, v % 10 = 0 AS narrow FROM v)
+SELECT c_custkey, ip, CASE WHEN narrow THEN '2001:db8:' || lower(to_hex(v)) || '::/48'
+WHEN wide > 0 THEN '2001:db8:' || lower(to_hex(wide * 256)) || '::/40' ELSE '2001:db8::/32' END AS net"""
+
+
+def _six_lists(spark, sf):
+    lines = A.table(spark, sf, "customer").select((F.col("c_custkey") % 65535 + 1).alias("v"))
+    wide = lines.select(F.floor(F.col("v") / 256).alias("w")).where("w > 0").distinct().select(F.concat(
+        F.lit("2001:db8:"), F.lower(F.hex(F.col("w") * 256)), F.lit("::/40 ; wide")).alias("value"))
+    narrow = lines.where("v % 10 = 0").distinct().select(F.concat(
+        F.lit("2001:db8:"), F.lower(F.hex("v")), F.lit("::/48")).alias("value"))
+    all_ = spark.range(1).select(F.lit("2001:db8::/32").alias("value"))
+    first = lists.parse_cidr_list(wide.unionByName(narrow), "drop", 0)
+    return first.unionByName(lists.parse_cidr_list(all_, "base", 1))
+
+
+@query(f"WITH {_SIX_NETS}, CASE WHEN narrow OR wide > 0 THEN 'drop' ELSE 'base' END AS source FROM hit")
+def longest_prefix_v6(spark, sf):
+    ips = _six(spark, sf).withColumn("ip_key", nets.ip_key("ip"))
+    hit = joins.longest_prefix_join(ips, _six_lists(spark, sf))
+    return hit.select("c_custkey", "ip", nets.prefix_text("net_key", "bits").alias("net"), "source")
+
+
+@query(f"WITH {_SIX_NETS}, CASE WHEN narrow OR wide > 0 THEN 'drop' ELSE 'base' END AS source FROM hit")
+def priority_prefix_v6(spark, sf):
+    ips = _six(spark, sf).withColumn("ip_key", nets.ip_key("ip"))
+    hit = joins.priority_prefix_join(ips, _six_lists(spark, sf))
+    return hit.select("c_custkey", "ip", nets.prefix_text("net_key", "bits").alias("net"), "source")
+
+
 # Resolutions -------------------------------------------------------------------------------------
 
 
@@ -206,15 +261,13 @@ CASE WHEN o % 2 = 0 THEN 'drop' ELSE '' END AS source FROM st)"""
 
 @query(f"{SCAN} SELECT ip, threat, source FROM now WHERE threat <> was OR source <> was_source")
 def threat_changes(spark, sf):
-    _, changes, _ = investigate.scan_threats(A.domain_ips(spark, sf), A.threat_lists(spark, sf),
-                                             allow_v6=False, **LENGTHS)
+    _, changes, _ = investigate.scan_threats(A.domain_ips(spark, sf), A.threat_lists(spark, sf))
     return changes
 
 
 @query(f"{SCAN} SELECT ip, threat, source FROM now WHERE threat <> was AND threat <> ''")
 def threat_alerts(spark, sf):
-    _, _, alerts = investigate.scan_threats(A.domain_ips(spark, sf), A.threat_lists(spark, sf),
-                                            allow_v6=False, **LENGTHS)
+    _, _, alerts = investigate.scan_threats(A.domain_ips(spark, sf), A.threat_lists(spark, sf))
     return alerts
 
 
@@ -222,8 +275,7 @@ def threat_alerts(spark, sf):
        "FROM domain_ips d JOIN now n USING (ip)")
 def threats_written(spark, sf):
     d = A.domain_ips(spark, sf)
-    _, changes, _ = investigate.scan_threats(d, A.threat_lists(spark, sf), allow_v6=False,
-                                             **LENGTHS)
+    _, changes, _ = investigate.scan_threats(d, A.threat_lists(spark, sf))
     return investigate.set_threats(d, changes).select("name", "ip", "threat", "threat_source")
 
 

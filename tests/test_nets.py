@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dnslake.functions import nets
-from dnslake.operators import investigate, joins
+from dnslake.operators import investigate, joins, sweep
 from dnslake.sources import lists
 
 
@@ -119,6 +119,86 @@ def test_range_join_equals_search(spark, width):
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("slab_rows", [5, 40, 10_000])
+def test_overlapping_ranges_over_slabs(spark, slab_rows):
+    rng = random.Random(slab_rows)
+    ips = sorted(set(addresses(slab_rows, 150)))
+    keys = [key(i) for i in ips]
+    ranges = [("0" * 32, "f" * 32, 0), (keys[0], keys[0], 1), (keys[9], keys[3], 2)]
+    for r in range(3, 90):
+        lo, hi = sorted(rng.sample(keys, 2)) if rng.random() < 0.7 else [rng.choice(keys)] * 2
+        ranges.append((lo, hi, r))
+    want = {(i, r) for i in ips for lo, hi, r in ranges if lo <= key(i) <= hi}
+    table = spark.createDataFrame(ranges, "start_key string, end_key string, r int")
+    rows = nets.ips_of(frame(spark, ips, "ip"))
+    assert {tuple(r) for r in joins.range_join(rows, table, slab_rows=slab_rows).select("ip", "r").collect()} == want
+    assert joins.range_join(rows, table.where("false")).count() == 0
+    assert joins.range_join(rows, table.where("false"), "left").count() == len(ips)
+    assert joins.range_join(rows.where("false"), table).count() == 0
+
+
+def test_one_busy_network_is_cut_into_many_slabs(spark):
+    ips = spark.range(20_000).selectExpr("concat(repeat('2', 28), lpad(lower(hex(id)), 4, '0')) AS ip_key")
+    wide = spark.createDataFrame([("2" * 28 + "0000", "2" * 28 + "ffff", 1)], "start_key string, end_key string, r int")
+    cuts = sweep.cut_points(ips.withColumnRenamed("ip_key", "key"), 1000)
+    sizes = [r["count"] for r in ips.groupBy(sweep.slab_of(F.col("ip_key"), cuts).alias("s")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 4000 and sum(sizes) == 20_000
+    assert joins.range_join(ips, wide, slab_rows=1000).count() == 20_000
+
+
+def test_slab_is_a_binary_search(spark):
+    cuts = [f"{i:032x}" for i in range(0, 300, 3)]
+    rows = spark.range(310).select("id", sweep.slab_of(F.lpad(F.lower(F.hex("id")), 32, "0"), cuts).alias("s")).collect()
+    assert all(r.s == min(100, r.id // 3 + 1) for r in rows)
+
+
+def test_layers():
+    import numpy as np
+    start = np.array([0, 1, 1, 3, 5])
+    end = np.array([4, 2, 2, 3, 6])
+    assert [layer.tolist() for layer in sweep.layers(start, end)] == [[0, 4], [1, 3], [2]]
+    assert sweep.layers(start[:0], end[:0]) == []
+
+
+def test_prefixes_of_every_length(spark):
+    rng = random.Random(3)
+    ips = sorted(set(addresses(3, 120)))
+    networks = {ipaddress.ip_network((i, b), strict=False) for i in ips[::2]
+                for b in ((rng.randrange(0, 33), 7) if ":" not in i else (rng.randrange(1, 129), 16))}
+    def row(n):
+        v4 = n.version == 4
+        return (f"{int(n.network_address) + ((0xffff << 32) if v4 else 0):032x}", n.prefixlen + (96 if v4 else 0), str(n), len(str(n)) % 3)
+    table = spark.createDataFrame([row(n) for n in networks], "net_key string, bits int, source string, priority int")
+    rows = nets.ips_of(frame(spark, ips, "ip"))
+    held = {i: [n for n in networks if ipaddress.ip_address(i) in n] for i in ips}
+    for slab_rows in (20, 10_000):
+        got = joins.longest_prefix_join(rows, table, slab_rows=slab_rows).select("ip", "source")
+        assert {tuple(r) for r in got.collect()} == {
+            (i, str(max(h, key=lambda n: n.prefixlen))) for i, h in held.items() if h}
+        got = joins.priority_prefix_join(rows, table, slab_rows=slab_rows).select("ip", "source")
+        assert {tuple(r) for r in got.collect()} == {
+            (i, str(min(h, key=lambda n: (len(str(n)) % 3, -n.prefixlen)))) for i, h in held.items() if h}
+
+
+def test_v6_text_equals_the_library(spark):
+    rng = random.Random(11)
+    texts = ["::", "::1", "1::", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", ":::", "1:2:3:4:5:6:7", ":1:2",
+             "::01.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "fe80::1%eth0", "FE80::ABCD", "12345::", "1:2:3:4:5:6:7:8:9",
+             "", "a:", "1::2:3:4:5:6:7:8", "1.2.3.4::", "0:0:1:0:0:1:0:0", "1:0:0:2:0:0:0:3", " ::1"]
+    texts += ["".join(rng.choice("0123456789abcdef::::.F%") for _ in range(rng.randint(2, 24))) for _ in range(1000)]
+    for _ in range(1000):
+        mask = sum(0xffff << 16 * g for g in range(8) if rng.random() < 0.5)
+        address = ipaddress.IPv6Address(rng.getrandbits(128) & ~mask)
+        texts.append(rng.choice([str(address), address.exploded, str(address).upper()]))
+    for r in frame(spark, texts, "t").select("t", nets.ip_key("t").alias("k"), nets.ip_text(nets.ip_key("t")).alias("x")).collect():
+        try:
+            value = ipaddress.IPv6Address(r.t.split("%")[0]) if ":" in r.t else None
+        except ValueError:
+            value = None
+        assert r.k == (None if value is None else f"{int(value):032x}"), r.t
+        assert r.x == (None if value is None else str(value.ipv4_mapped or value)), r.t
+
+
 def test_longest_prefix_equals_search(spark):
     rng = random.Random(9)
     ips = sorted(set(addresses(9, 150)))
