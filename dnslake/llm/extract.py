@@ -32,6 +32,8 @@ from dnslake.llm.htmlblocks import Block, blocks
 SAMPLE = 300
 BUILT = 900
 SAMPLE_CHARS = 60_000
+#: Base of the hash that gives a word its bin.
+_BIN_BASE = 0x9E3779B97F4A7C15
 PATH_BINS, WORD_BINS, SHARES = 1024, 256, 5
 INPUT, HIDDEN = 24, 16
 EPOCHS = 10
@@ -94,7 +96,8 @@ def features(pages: list[list[Block]]) -> np.ndarray:
         bins = _PATHS(block.path)
         x[i, bins] = 1 / np.sqrt(max(1, len(bins)))
     words = textops.Words(*textops.flat(pa.array([b.text for b in every], pa.large_string())), WORDS)
-    place = words.row * WORD_BINS + (words.hash % np.uint64(WORD_BINS)).astype(np.int64)
+    code = textops.range_hashes(WORDS[words.data], words.starts, words.ends, _BIN_BASE)
+    place = words.row * WORD_BINS + (code % np.uint64(WORD_BINS)).astype(np.int64)
     counts = np.bincount(place, minlength=len(every) * WORD_BINS).reshape(len(every), WORD_BINS)
     x[:, PATH_BINS: PATH_BINS + WORD_BINS] = counts / np.sqrt(np.maximum(1, (counts * counts).sum(1)))[:, None]
     size = np.array([len(b.text) for b in every])

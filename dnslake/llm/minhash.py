@@ -94,11 +94,7 @@ def band_hashes(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def content_hash(words: textops.Words) -> np.ndarray:
     """64-bit hash of the whole word sequence of each row; 0 without words."""
-    counts, base = words.counts, 0xA24BAED4963EE407
-    total = textops.sums_at(words.hash, base, words.first)
-    code = textops.mix((total[1:] - total[:-1]) * textops.powers_at(textops.inverse(base), words.first[:-1])
-                       + counts.astype(_U))
-    return np.where(counts > 0, code | _U(1), _U(0)).view(np.int64)
+    return textops.row_hashes(words.hash, words.counts).view(np.int64)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

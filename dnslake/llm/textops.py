@@ -1,8 +1,8 @@
 """Whole-batch text helpers for Arrow batches: words, hashes and windows as numpy arrays.
 
-A batch of texts is seen as one byte array with row offsets.  Word hashes are polynomial sums over the
-bytes, window hashes polynomial sums over word hashes, both from running sums, so that each costs a few
-numpy passes over the batch whatever the number of words.  Batches are cut into slices of bounded bytes
+A batch of texts is seen as one byte array with row offsets.  Word hashes are sums over blocks of eight bytes, each
+mixed with its place first, so that no rearrangement of bytes leaves a hash unchanged; window hashes are polynomial sums
+over word hashes from running sums.  Each costs a few numpy passes over the batch whatever the number of words.  Batches are cut into slices of bounded bytes
 (one row at least), so memory does not depend on the number of rows Spark puts into a batch.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _U = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_WORD_BASE = 0xD6E8FEB86659FD93 | 1
 _POWERS: dict[int, np.ndarray] = {}
 #: Running sums go over blocks of 2**_BITS elements.
 _BITS = 16
@@ -143,8 +143,7 @@ class Words:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.row = np.repeat(np.arange(len(offs) - 1), self.counts)
         self.data, self.offs = data, offs
-        base = _BYTE_BASE + 2 * lane * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1
-        self.hash = range_hashes(code, self.starts, self.ends, base)
+        self.hash = block_hashes(code, self.starts, self.ends, lane)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -161,6 +160,34 @@ class Words:
         return at, mix((total[at + size] - total[at]) * powers_at(inverse(base), at) + _U(size))
 
 
+def block_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of every range of bytes: blocks of eight bytes, mixed with their number in the range and summed."""
+    if not len(starts):
+        return np.zeros(0, _U)
+    length = ends - starts
+    blocks = (length + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(int(blocks.sum()), dtype=np.int64) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * number
+    padded = np.concatenate([code, np.zeros(8, np.uint8)])
+    value = np.ndarray((len(code) + 1,), "<u8", padded, strides=(1,))[at]
+    short = np.minimum(np.repeat(ends, blocks) - at, 8).astype(_U)
+    value = (value << (_U(64) - _U(8) * short)) >> (_U(64) - _U(8) * short)
+    place = mix(number.astype(_U) * _U(0x9E3779B97F4A7C15) + _U((2 * lane + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    return mix(np.add.reduceat(mix(value ^ place), first) + length.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def row_hashes(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hash of the sequence of codes of every row, each code mixed with its place; 0 for rows without codes."""
+    out, full = np.zeros(len(counts), _U), np.flatnonzero(counts)
+    if len(full):
+        first = np.cumsum(counts) - counts
+        place = mix((np.arange(len(codes)) - np.repeat(first, counts)).astype(_U) + _U(0xA24BAED4963EE407))
+        total = np.add.reduceat(mix(codes ^ place), first[full])
+        out[full] = mix(total + counts[full].astype(_U)) | _U(1)
+    return out
+
+
 def range_hashes(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hash of every range of ``code``; starts and ends ascend."""
     total = sums_at(code, base, ends) - sums_at(code, base, starts)

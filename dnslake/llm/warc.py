@@ -121,10 +121,10 @@ def _unchunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         end = body.find(b"\r\n", at)
-        try:
-            size = int(body[at:end].split(b";")[0], 16) if end >= 0 else 0
-        except ValueError:
+        digits = body[at:end].split(b";")[0].strip() if end >= 0 else b"0"
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", digits):
             return body  # not chunked after all
+        size = int(digits, 16)
         if not size:
             return b"".join(out)
         out.append(body[end + 2: end + 2 + size])
