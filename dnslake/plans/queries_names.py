@@ -696,17 +696,16 @@ def weight_impact(spark, sf):
     return counts
 
 
-@query(f"""{SCORED} SELECT kind, count(*) AS n FROM (SELECT unnest(['cname_adtech', 'cname_blocked',
-'asn_adtech', 'cert_adtech', 'fan_out', 'beacon', 'etld1_blocked', 'http_beacon',
-'http_redirect_adtech', 'high_rank', 'shared_cdn']) AS kind, unnest([cname_adtech, cname_blocked,
-asn_adtech, cert_adtech, fan_out, beacon, etld1_blocked, http_beacon, http_redirect, high_rank,
-shared_cdn]) AS w FROM s2) WHERE w IS NOT NULL GROUP BY 1""")
+@query(f"""{SCORED} SELECT kind, count(*) AS n FROM (SELECT unnest(['cname_adtech', 'cname_blocked', 'asn_adtech',
+'cert_adtech', CASE WHEN third_party > 2 THEN 'third_party' ELSE 'third_party_weak' END, 'fan_out', 'beacon',
+CASE WHEN spread > 2 THEN 'spread_high' ELSE 'spread_mid' END, 'etld1_blocked', 'http_beacon', 'http_redirect_adtech',
+'http_real_site', CASE WHEN vt > 0 THEN 'vt_malicious' ELSE 'vt_clean' END,
+CASE WHEN ai > 0 THEN 'ai_adtech' ELSE 'ai_clean' END, 'high_rank', 'long_lived_content', 'shared_cdn']) AS kind,
+unnest(w) AS w FROM s2) WHERE w IS NOT NULL GROUP BY 1""")
 def signal_counts(spark, sf):
-    kinds = ["cname_adtech", "cname_blocked", "asn_adtech", "cert_adtech", "fan_out", "beacon",
-             "etld1_blocked", "http_beacon", "http_redirect_adtech", "high_rank", "shared_cdn"]
     scored = score.with_signals(score_rows(spark, sf, only_open=False))
     return (scored.select(F.explode("signals").alias("s")).groupBy(F.col("s.kind").alias("kind"))
-            .agg(F.count("*").alias("n")).where(F.col("kind").isin(kinds)))
+            .agg(F.count("*").alias("n")))
 
 
 @query(f"""{SCORED}, p AS (SELECT name, status, query_count FROM dom
@@ -770,17 +769,21 @@ def model_reply_counts(spark, sf):
     return counts
 
 
-@query(f"""WITH {DOM}, t AS (SELECT name, query_count, client_count, row_number() OVER (
-ORDER BY query_count DESC, name) - 1 AS p FROM dom)
+@query(f"""WITH {DOM}, t AS (SELECT name, query_count, row_number() OVER (ORDER BY query_count DESC, name) - 1 AS p,
+'- ' || name || ': ' || concat_ws(', ', query_count || ' queries', client_count || ' clients',
+CASE WHEN k % 10 IN (1, 2) THEN 'on a blocklist' WHEN etld1 = 'click.example' THEN 'parent name on a blocklist' END,
+CASE WHEN {FRESH} AND k % 17 = 3 THEN '5 malware engines report it' END,
+CASE WHEN {FRESH} AND k % 13 = 6 THEN 'popularity rank ' || k * 100 END,
+CASE WHEN {FRESH} AND k % 4 = 0 THEN 'alias of x' || k || '.eulerian.net'
+     WHEN {FRESH} AND k % 10 = 3 THEN 'alias of d' || k || '.cloudfront.net' END,
+CASE WHEN {FRESH} AND k % 6 = 1 THEN 'hosted by Adform' WHEN {FRESH} AND k % 6 = 2 THEN 'hosted by Google' END,
+CASE WHEN {FRESH} AND (k % 5 IN (2, 4) OR k % 5 = 3 AND k * 100 < 200) THEN 'page without text' END,
+CASE WHEN {FRESH} AND k % 5 = 3 THEN 'page title T' END) AS line FROM dom)
 SELECT CAST(p // 40 AS BIGINT) AS batch, count(*) AS n,
 'One CSV line (domain,category,confidence,reason) for each of these names, ' || count(*) ||
-' in all:' || chr(10) || string_agg('- ' || name || ': ' || query_count || ' queries, ' ||
-client_count || ' clients', chr(10) ORDER BY p) AS prompt FROM t GROUP BY 1""")
+' in all:' || chr(10) || string_agg(line, chr(10) ORDER BY p) AS prompt FROM t GROUP BY 1""")
 def model_prompts(spark, sf):
-    empty = facts_plan.facts_wide(A.facts(spark, sf).where(F.col("source") == ""), A.AS_OF)
-    rows = (A.domains(spark, sf).join(empty, "name", "left")
-            .withColumn("in_list", F.lit(False)).withColumn("etld1_in_list", F.lit(False)))
-    return replies.build_prompts(replies.evidence_line(rows))
+    return replies.build_prompts(replies.evidence_line(score_rows(spark, sf, only_open=False)))
 
 
 @query(f"""WITH {DOM}, t AS (SELECT name, query_count, row_number() OVER (
