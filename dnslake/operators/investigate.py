@@ -59,11 +59,11 @@ def ip_threat_state(domain_ips: DataFrame) -> DataFrame:
         F.coalesce(F.max_by("threat_source", "threat"), F.lit("")).alias("source"))
 
 
-def pending_geo(domain_ips: DataFrame, k: int = 2000) -> DataFrame:
-    """Addresses that were never looked up, most recent first."""
-    return (domain_ips.where(F.col("country").isNull()).groupBy("ip")
-            .agg(F.max("last_seen").alias("last_seen"))
-            .orderBy(F.desc("last_seen"), "ip").limit(k))
+def pending_geo(domain_ips: DataFrame, k: int | None = None) -> DataFrame:
+    """Addresses that were never looked up, most recent first; ``k`` keeps the first so many."""
+    queue = (domain_ips.where(F.col("country").isNull()).groupBy("ip")
+             .agg(F.max("last_seen").alias("last_seen")).orderBy(F.desc("last_seen"), "ip"))
+    return queue if k is None else queue.limit(k)
 
 
 def locate(df: DataFrame, ranges: DataFrame, ip: str = "ip", allow_v6: bool = True) -> DataFrame:

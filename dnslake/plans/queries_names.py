@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from dnslake import refdata
 from dnslake.functions import names as N
-from dnslake.operators import behavior, catalog, joins, search, windows
+from dnslake.operators import behavior, catalog, joins, search, trigrams, windows
 from dnslake.plans import adapters as A
 from dnslake.plans import facts as facts_plan
 from dnslake.plans import pages, replies, rules, score
 from dnslake.plans.publish import category_table
 from dnslake.plans.queries_log import CV, PRECEDED
 from dnslake.plans.registry import CATEGORIES, DOM, EV, HOSTS, LE, query, sec, six
-from dnslake.session import cut_lineage
+from dnslake.session import cut_lineage, work_path
 from dnslake.sources import lists as list_sources
 
 # Search ------------------------------------------------------------------------------------------
@@ -60,6 +60,31 @@ def search_regex(spark, sf):
                          "/^h[0-9]*3[.](view|error)/")
 
 
+def _indexed(spark, sf):
+    """Index of the part names of the whole part table and of the event names."""
+    path = work_path(spark, "trigrams")
+    parts = A.table(spark, sf, "part").select(F.concat_ws(
+        ".", F.lower(F.regexp_replace("p_type", " ", "-")), F.lower("p_brand"), F.col("p_partkey").cast("string"), F.lit("example")).alias("name"))
+    trigrams.build(A.events(spark, sf).select("name").unionAll(parts), path)
+    return path
+
+
+_INDEXED = f"""WITH {EV}, n AS (SELECT DISTINCT name FROM dns_events UNION
+SELECT lower(replace(p_type, ' ', '-')) || '.' || lower(p_brand) || '.' || p_partkey || '.example' FROM part)"""
+
+
+@query(f"{_INDEXED} SELECT name FROM n WHERE strpos(name, '7.e') > 0")
+def indexed_contains(spark, sf):
+    """A literal part of a name by the trigram index."""
+    return trigrams.find(spark, _indexed(spark, sf), "7.E")
+
+
+@query(f"{_INDEXED} SELECT name FROM n WHERE regexp_matches(name, 'brand#[0-9]+[.]1.*[.]exam') OR false")
+def indexed_regex(spark, sf):
+    """A pattern with literal parts by the trigram index."""
+    return trigrams.find(spark, _indexed(spark, sf), "/brand#[0-9]+[.]1.*[.]exam/")
+
+
 @query(f"""WITH {DOM} SELECT name, query_count FROM dom WHERE name = 'h7.view.example'""")
 def lookup_domain(spark, sf):
     return search.lookup(A.domains(spark, sf), " H7.view.example").select("name", "query_count")

@@ -228,9 +228,9 @@ def ip_threat_state(spark, sf):
 
 
 @query(f"""WITH {ANS} SELECT ip, CAST(epoch(max(last_seen)) AS BIGINT) AS last_seen FROM domain_ips
-WHERE country IS NULL GROUP BY 1 ORDER BY max(last_seen) DESC, ip LIMIT 100""")
+WHERE country IS NULL GROUP BY 1""")
 def pending_geo(spark, sf):
-    return investigate.pending_geo(A.domain_ips(spark, sf), 100).select("ip", sec("last_seen"))
+    return investigate.pending_geo(A.domain_ips(spark, sf)).select("ip", sec("last_seen"))
 
 
 @query(f"""WITH {ANS}, g AS (SELECT *, CAST(split_part(ip, '.', 3) AS INT) <= 3 AND octet % 5 <> 0

@@ -105,15 +105,16 @@ def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
     return _require_rows(parse_ip_ranges(spark.read.text(path)), "range table")
 
 
-def parse_rank(lines: DataFrame, cutoff: int = refdata.RANK_CUTOFF) -> DataFrame:
-    """``rank,domain`` lines; the ranks up to the cutoff, best rank per name."""
+def parse_rank(lines: DataFrame, cutoff: int | None = None) -> DataFrame:
+    """``rank,domain`` lines, best rank per name; all ranks, or those up to the cutoff."""
     f = F.split("value", ",")
     rows = lines.select(
         _stripped(F.get(f, F.lit(0))).try_cast("long").alias("rank"),
         F.lower(F.regexp_replace(_stripped(F.get(f, F.lit(1))), r'^"|"$', "")).alias("domain"))
-    return (rows.where((F.col("rank") >= 1) & (F.col("rank") <= cutoff)
-                       & F.col("domain").isNotNull())
-            .groupBy("domain").agg(F.min("rank").alias("rank")))
+    kept = rows.where((F.col("rank") >= 1) & F.col("domain").isNotNull())
+    if cutoff is not None:
+        kept = kept.where(F.col("rank") <= cutoff)
+    return kept.groupBy("domain").agg(F.min("rank").alias("rank"))
 
 
 def check_rank(ranks: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ def check_rank(ranks: DataFrame) -> DataFrame:
     return ranks
 
 
-def read_rank(spark: SparkSession, path: str, cutoff: int = refdata.RANK_CUTOFF) -> DataFrame:
+def read_rank(spark: SparkSession, path: str, cutoff: int | None = None) -> DataFrame:
     return check_rank(parse_rank(spark.read.text(path), cutoff))
 
 
