@@ -42,6 +42,18 @@ def hot_cells(rows: DataFrame, on: list[str], ts: str, gap: int,
                     .alias("_shares")))
 
 
+#: Salts over which the rows of a hot key are dealt while they are told that it is hot.
+SALTS = 64
+
+
+def with_hot(rows: DataFrame, hot: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+    """Left join to the table of hot keys without gathering a hot key: rows carry a salt, and each hot key
+    stands once under every salt."""
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))  # equal rows differ, too
+    spread = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
+
+
 def band_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, gap: int,
               residual: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Pairs with equal ``on`` and ``0 < right.ts - left.ts <= gap`` (whole seconds, columns).
@@ -61,8 +73,8 @@ def band_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, gap: in
     if hot is not None:
         shares = F.coalesce("_shares", F.lit(1))
         row = F.xxhash64(*[c for c in left.columns if c != ts], "_ta")
-        a = a.join(hot, keys, "left").withColumn("_share", F.pmod(row, shares)).drop("_shares")
-        b = (b.join(hot, keys, "left")
+        a = with_hot(a, hot, keys).withColumn("_share", F.pmod(row, shares)).drop("_shares")
+        b = (with_hot(b, hot, keys)
              .withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"),
                                                         (shares - 1).cast("long"))))
              .drop("_shares"))
@@ -150,4 +162,4 @@ def rank_of(df: DataFrame, ranks: DataFrame, key: str = "etld1") -> DataFrame:
 
 
 __all__ = ["band_join", "interval_join", "list_flags", "longest_prefix_join",
-           "membership", "needs_fact", "priority_prefix_join", "range_join", "rank_of"]
+           "membership", "needs_fact", "priority_prefix_join", "range_join", "rank_of", "with_hot"]

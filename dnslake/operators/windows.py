@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dnslake.operators.joins import with_hot
 from dnslake.session import cut_lineage
 
 
@@ -24,23 +25,32 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
     return rows.drop("_share", "_rn")
 
 
-def gaps(df: DataFrame, key: str | list[str], ts: str, cell_seconds: int = 3600) -> DataFrame:
+def gaps(df: DataFrame, key: str | list[str], ts: str, cell_seconds: int = 3600,
+         rows_per_cell: int = 1_000_000) -> DataFrame:
     """Add ``gap``: seconds since the previous row of the same key (null for its first row).
 
     ``lag`` runs inside (key, time cell); the first row of a cell takes the last time of the
-    previous non-empty cell from a summary that has one row per cell.
+    previous non-empty cell from a summary that has one row per cell.  Cells with more rows than ``rows_per_cell`` are
+    cut into finer ones; their rows learn that under a salt, so no task meets the whole of a busy cell.
     """
     keys = [key] if isinstance(key, str) else key
     sec = F.unix_micros(ts) / F.lit(1_000_000)
     cell = F.floor(F.unix_seconds(ts) / cell_seconds)
     rows = df.withColumn("_s", sec).withColumn("_cell", cell)
-    inside = F.lag("_s").over(Window.partitionBy(*keys, "_cell").orderBy("_s"))
-    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell"))
-    summary = (rows.groupBy(*keys, "_cell").agg(F.max("_s").alias("_last"))
-               .withColumn("_before", before).drop("_last"))
-    return (rows.withColumn("_in", inside).join(summary, [*keys, "_cell"], "left")
+    busy = (rows.groupBy(*keys, "_cell").agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_cell)
+            .select(*keys, "_cell", F.ceil(F.col("_n") / rows_per_cell).alias("_parts")))
+    part = F.lit(0).cast("long")
+    if not busy.isEmpty():
+        rows = with_hot(rows, busy, [*keys, "_cell"])
+        part = F.floor((F.col("_s") - F.col("_cell") * cell_seconds) * F.coalesce("_parts", F.lit(1)) / cell_seconds)
+    rows = rows.withColumn("_part", part).drop("_parts")
+    cells = [*keys, "_cell", "_part"]
+    inside = F.lag("_s").over(Window.partitionBy(*cells).orderBy("_s"))
+    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell", "_part"))
+    summary = rows.groupBy(*cells).agg(F.max("_s").alias("_last")).withColumn("_before", before).drop("_last")
+    return (rows.withColumn("_in", inside).join(summary, cells, "left")
             .withColumn("gap", F.col("_s") - F.coalesce("_in", "_before"))
-            .drop("_s", "_cell", "_in", "_before"))
+            .drop("_s", "_cell", "_part", "_in", "_before"))
 
 
 def latest_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -126,19 +126,30 @@ def test_behavior_reads_the_log_once(log):
     assert all(r.interval_cv == pytest.approx(cv[r.name]) for r in got)
 
 
-@pytest.mark.parametrize("cell", [1, 13, 3600])
-def test_gaps(log, cell):
+@pytest.mark.parametrize("cell,most", [(1, 9), (13, 4), (3600, 1_000_000), (3600, 3), (86400, 10)])
+def test_gaps(log, cell, most):
     rows, df = log
     want = []
     last = {}
     for name, at in sorted((r[0], r[4]) for r in rows):
         want.append((name, at, (at - last[name]).total_seconds() if name in last else -1.0))
         last[name] = at
-    got = windows.gaps(df, "name", "occurred_at", cell).select(
+    got = windows.gaps(df, "name", "occurred_at", cell, most).select(
         "name", "occurred_at", F.coalesce("gap", F.lit(-1.0)).alias("g")).collect()
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_a_key_with_half_of_all_rows_is_never_gathered(spark):
+    """Rows of the hot cell learn that they are hot under many salts, equal rows included."""
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', concat('k', id)) AS name", "0L AS _cell", "7 AS same")
+    hot = spark.createDataFrame([("hot", 0, 5)], "name string, _cell long, _parts long")
+    told = joins.with_hot(rows, hot, ["name", "_cell"])
+    assert told.count() == 20_000 and told.where("_parts = 5").count() == 10_000
+    assert told.where("name <> 'hot' and _parts is not null").isEmpty()
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(joins.SALTS)))
+    assert salted.where("name = 'hot'").groupBy("_salt").count().agg(F.max("count")).first()[0] <= 10_000 / 16
+
+
 @pytest.mark.parametrize("n,shares", [(1, 1), (5, 2), (1000, 64)])
 def test_first_n(log, n, shares):
     rows, df = log
