@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dnslake.functions import nets
 from dnslake.operators import sweep
-from dnslake.session import cut_lineage
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], ts: str, start: str,
@@ -91,14 +90,7 @@ def range_join(ips: DataFrame, ranges: DataFrame, how: str = "inner", slab_rows:
 
     Distinct addresses are swept once against the sorted ranges (see :mod:`dnslake.operators.sweep`).
     """
-    listed = _numbered(ranges)
-    found = sweep.containing(ips, listed, slab_rows).join(listed.drop("start_key", "end_key"), "_range").drop("_range")
-    return ips.join(found, "ip_key", how)
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with a number of their own, written once so that it stays the same wherever it is used."""
-    return cut_lineage(rows.withColumn("_range", F.monotonically_increasing_id()))
+    return ips.join(sweep.containing(ips, ranges, slab_rows), "ip_key", how)
 
 
 def _as_ranges(cidrs: DataFrame) -> DataFrame:
@@ -109,8 +101,7 @@ def _as_ranges(cidrs: DataFrame) -> DataFrame:
 
 def _first_prefix(ips: DataFrame, cidrs: DataFrame, order: Column, kept: list[str], how: str, slab_rows: int) -> DataFrame:
     """Each address with the least network by ``order`` of those that hold it; networks nest, so a sweep meets each once."""
-    listed = _numbered(_as_ranges(cidrs))
-    found = sweep.containing(ips, listed, slab_rows).join(listed.drop("start_key", "end_key"), "_range")
+    found = sweep.containing(ips, _as_ranges(cidrs), slab_rows)
     best = found.groupBy("ip_key").agg(F.min_by(F.struct(*kept), order).alias("_m")).select("ip_key", "_m.*")
     return ips.join(best, "ip_key", how)
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from dnslake.session import cut_lineage
 
@@ -71,17 +71,18 @@ def _ranks(*columns: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def containing(ips: DataFrame, ranges: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
-    """(ip_key, _range): every distinct address with the number of each range that holds it.
+    """Every distinct address (ip_key) with the other columns of each range that holds it.
 
-    ``ips`` has ip_key; ``ranges`` has start_key, end_key (both ends included) and a number _range.  Ranges may overlap.
+    ``ranges`` has start_key and end_key, both included.  Ranges may overlap.
     """
+    names = [c for c in ranges.columns if c not in ("start_key", "end_key")]
     ips = cut_lineage(ips.select("ip_key").where("ip_key is not null").distinct())
-    usable = ranges.where("start_key <= end_key").select("start_key", "end_key", "_range")
+    usable = ranges.where("start_key <= end_key").select("start_key", "end_key", F.struct(*names, F.lit(0).alias("_")).alias("_row"))
     cuts = cut_points(ips.select(F.col("ip_key").alias("key")).unionAll(usable.select("start_key")), slab_rows)
     slabbed = usable.withColumn("_slab", F.explode(F.sequence(
         slab_of(F.col("start_key"), cuts), slab_of(F.col("end_key"), cuts))))
     probes = ips.select("ip_key", slab_of(F.col("ip_key"), cuts).alias("_slab"))
-    schema = StructType([StructField("ip_key", StringType()), StructField("_range", LongType())])
+    schema = StructType([StructField("ip_key", StringType()), usable.schema["_row"]])
 
     def sweep(key, addresses, spans):
         table = spans.sort_by([("start_key", "ascending"), ("end_key", "descending")])
@@ -94,6 +95,7 @@ def containing(ips: DataFrame, ranges: DataFrame, slab_rows: int = SLAB_ROWS) ->
             hits.append(layer[at[inside]])
         none = np.zeros(0, np.int64)
         return pa.table({"ip_key": addresses.column("ip_key").take(pa.array(np.concatenate(rows or [none]))),
-                         "_range": table.column("_range").take(pa.array(np.concatenate(hits or [none])))})
+                         "_row": table.column("_row").take(pa.array(np.concatenate(hits or [none])))})
 
-    return probes.groupBy("_slab").cogroup(slabbed.groupBy("_slab")).applyInArrow(sweep, schema)
+    found = probes.groupBy("_slab").cogroup(slabbed.groupBy("_slab")).applyInArrow(sweep, schema)
+    return found.select("ip_key", *[F.col("_row")[c].alias(c) for c in names])

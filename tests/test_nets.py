@@ -285,6 +285,8 @@ def test_tables_without_rows_are_refused(spark, tmp_path):
         lists.read_rank(spark, str(other))
     other.write_text("1,google.com\r\n2,Knows.VN\nx,y\n60000,far.vn\n")
     assert {tuple(r) for r in lists.read_rank(spark, str(other)).collect()} == {
+        ("google.com", 1), ("knows.vn", 2), ("far.vn", 60000)}
+    assert {tuple(r) for r in lists.read_rank(spark, str(other), 50_000).collect()} == {
         ("google.com", 1), ("knows.vn", 2)}
 
 
