@@ -327,3 +327,14 @@ def test_edge_upsert(spark):
     new = spark.createDataFrame([edge("a", "b", strength=0.1), edge("e", "f"), edge("g", "g")], EDGES)
     got = {(r.from_id, r.to_id): r.strength for r in relate.upsert_edges(base, new).collect()}
     assert got == {("a", "b"): 0.1, ("c", "d"): 0.5, ("e", "f"): 1.0}
+
+
+CNAMES = [edge("a1", "hub"), edge("hub", "out"), edge("b0", "hub")]
+NETS = [(f"a{i}", 7) for i in range(5)] + [(f"b{i}", 8) for i in range(3)] + [("a0", 8), ("lone", 9)]
+
+
+def test_pairs_of_one_large_group_are_spread_over_tasks(spark):
+    members = networks.memberships(spark.range(4000).selectExpr("concat('n', id) AS name", "7L AS asn"))
+    counts = [r.n for r in networks.group_pairs(members, "asn", "name").groupBy(F.spark_partition_id())
+              .agg(F.count("*").alias("n")).collect()]
+    assert sum(counts) == 4000 * 3999 // 2 and len(counts) > 3 and max(counts) < sum(counts) / 2
