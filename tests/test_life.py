@@ -333,6 +333,24 @@ CNAMES = [edge("a1", "hub"), edge("hub", "out"), edge("b0", "hub")]
 NETS = [(f"a{i}", 7) for i in range(5)] + [(f"b{i}", 8) for i in range(3)] + [("a0", 8), ("lone", 9)]
 
 
+def test_degrees_in_large_overlapping_networks(spark):
+    """Many names, each in a network of its own kind and in one of two large ones."""
+    rows = spark.range(20000).selectExpr("concat('n', id) AS name", "explode(array(id div 4, 1000000 + id % 2)) AS asn")
+    found = networks.shared_degree(networks.memberships(rows.selectExpr("name", "asn + 2000000 AS asn")))
+    assert found.count() == 20000 and found.where("degree = 10001").count() == 20000
+
+
+@pytest.mark.parametrize("widest", [0, 1, 2, 3, 8])
+def test_degrees_of_wide_and_narrow_classes(spark, widest):
+    import random
+    rng = random.Random(9)
+    rows = {(f"n{i}", g) for i in range(80) for g in rng.sample(range(1, 9), rng.choice([1, 2, 3, 4, 6]))}
+    members = spark.createDataFrame(sorted(rows), "name string, asn long")
+    groups = {n: {g for m, g in rows if m == n} for n, _ in rows}
+    want = {a: n for a in groups if (n := sum(bool(groups[a] & groups[b]) for b in groups) - 1)}
+    assert {r.name: r.degree for r in networks.shared_degree(members, widest=widest).collect()} == want
+
+
 def test_pairs_of_one_large_group_are_spread_over_tasks(spark):
     members = networks.memberships(spark.range(4000).selectExpr("concat('n', id) AS name", "7L AS asn"))
     counts = [r.n for r in networks.group_pairs(members, "asn", "name").groupBy(F.spark_partition_id())
