@@ -329,10 +329,23 @@ def test_edge_upsert(spark):
     assert got == {("a", "b"): 0.1, ("c", "d"): 0.5, ("e", "f"): 1.0}
 
 
+def stored(spark, edges, members):
+    """Edges, memberships, and the relations that both stand for."""
+    edges = spark.createDataFrame(edges, EDGES)
+    members = networks.memberships(spark.createDataFrame(members, "name string, asn long"))
+    return edges, members, edges.unionByName(relate.same_asn_edges(members))
+
+
 CNAMES = [edge("a1", "hub"), edge("hub", "out"), edge("b0", "hub")]
 NETS = [(f"a{i}", 7) for i in range(5)] + [(f"b{i}", 8) for i in range(3)] + [("a0", 8), ("lone", 9)]
 
 
+def forbid_pairs(monkeypatch):
+    def none(*_, **__):
+        raise AssertionError("all pairs of a network are made")
+    monkeypatch.setattr(relate, "group_pairs", none)
+
+
 def test_degrees_in_large_overlapping_networks(spark):
     """Many names, each in a network of its own kind and in one of two large ones."""
     rows = spark.range(20000).selectExpr("concat('n', id) AS name", "explode(array(id div 4, 1000000 + id % 2)) AS asn")
@@ -356,3 +369,12 @@ def test_pairs_of_one_large_group_are_spread_over_tasks(spark):
     counts = [r.n for r in networks.group_pairs(members, "asn", "name").groupBy(F.spark_partition_id())
               .agg(F.count("*").alias("n")).collect()]
     assert sum(counts) == 4000 * 3999 // 2 and len(counts) > 3 and max(counts) < sum(counts) / 2
+
+
+@pytest.mark.parametrize("outgoing", [False, True])
+@pytest.mark.parametrize("kinds, strength", [(None, 0.0), (["cname"], 0.0), (["same_asn"], 1.0), (None, 1.5)])
+def test_totals_with_memberships(spark, monkeypatch, outgoing, kinds, strength):
+    edges, members, whole = stored(spark, CNAMES, NETS)
+    want = relate.network_totals(whole, kinds, strength, 3, outgoing).collect()
+    forbid_pairs(monkeypatch)
+    assert relate.network_totals(edges, kinds, strength, 3, outgoing, members=members).collect() == want
