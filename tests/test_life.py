@@ -378,3 +378,18 @@ def test_totals_with_memberships(spark, monkeypatch, outgoing, kinds, strength):
     want = relate.network_totals(whole, kinds, strength, 3, outgoing).collect()
     forbid_pairs(monkeypatch)
     assert relate.network_totals(edges, kinds, strength, 3, outgoing, members=members).collect() == want
+
+
+def test_network_with_memberships(spark, monkeypatch):
+    edges, members, whole = stored(spark, CNAMES, NETS)
+    names = spark.createDataFrame([(f"{c}{i}", "e", "new", "x", i) for c in "ab" for i in range(5)] + [
+        ("hub", "e", "blocked", "x", 1), ("lone", "e", "new", "x", 9)],
+        "name string, etld1 string, status string, category string, query_count long")
+    seen = []
+    made = relate.group_pairs
+    monkeypatch.setattr(relate, "group_pairs", lambda m, *a, **k: seen.append(m.count()) or made(m, *a, **k))
+    for how in ({"k": 4}, {"k": 100, "kinds": ["same_asn"]}, {"k": 100, "min_strength": 1.5}, {"k": 3, "most_edges": 2}):
+        want = relate.network(whole, names, **how)
+        got = relate.network(edges, names, members=members, **how)
+        assert [f.collect() for f in got] == [f.collect() for f in want]
+    assert seen[0] < len(NETS) - 1  # only memberships of the best connected names are paired
