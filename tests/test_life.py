@@ -371,6 +371,12 @@ def test_pairs_of_one_large_group_are_spread_over_tasks(spark):
     assert sum(counts) == 4000 * 3999 // 2 and len(counts) > 3 and max(counts) < sum(counts) / 2
 
 
+def test_both_directions_with_memberships(spark):
+    edges, members, whole = stored(spark, CNAMES, NETS)
+    got = [tuple(r) for r in relate.both_directions(edges, members).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in relate.both_directions(whole).collect()) and len(set(got)) == len(got)
+
+
 @pytest.mark.parametrize("outgoing", [False, True])
 @pytest.mark.parametrize("kinds, strength", [(None, 0.0), (["cname"], 0.0), (["same_asn"], 1.0), (None, 1.5)])
 def test_totals_with_memberships(spark, monkeypatch, outgoing, kinds, strength):
