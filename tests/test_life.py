@@ -399,3 +399,11 @@ def test_network_with_memberships(spark, monkeypatch):
         got = relate.network(edges, names, members=members, **how)
         assert [f.collect() for f in got] == [f.collect() for f in want]
     assert seen[0] < len(NETS) - 1  # only memberships of the best connected names are paired
+
+
+def test_related_names_with_memberships(spark, monkeypatch):
+    edges, members, whole = stored(spark, CNAMES, NETS)
+    known = spark.createDataFrame([("a1",), ("b2",)], "name string")
+    want = sorted(map(tuple, relate.related_names(whole, known).collect()))
+    forbid_pairs(monkeypatch)
+    assert sorted(map(tuple, relate.related_names(edges, known, members).collect())) == want
