@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnslake.sources.tables import merge_latest
@@ -55,12 +55,20 @@ def hourly_from_clients(rows: DataFrame) -> DataFrame:
 
 
 def hourly_cells(events: DataFrame, client: str = "client_id", unit: str = "hour") -> DataFrame:
-    """Stored roll-up for dense cells: per (name, hour, client bucket) the query count and the
-    client bitmap.  Bitmaps are built from distinct clients."""
-    return (client_hours(events, client, unit)
-            .groupBy("name", "hour", F.bitmap_bucket_number("client_id").alias("bucket"))
-            .agg(F.sum("query_count").alias("query_count"),
-                 F.bitmap_construct_agg(F.bitmap_bit_position("client_id")).alias("clients")))
+    """Stored roll-up for dense cells: per (name, hour, client bucket) the query count and the client bitmap.
+
+    A bucket is 64 clients and its bitmap one number, so that a sparse cell takes no more than its clients and rows
+    keep one small size while they are aggregated by hash.
+    """
+    number = F.col(client).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))
+    return events.groupBy("name", F.date_trunc(unit, "occurred_at").alias("hour"),
+                          F.shiftright(number, 6).alias("bucket")).agg(
+        F.count("*").alias("query_count"), _union_of(bit).alias("clients"))
+
+
+def _union_of(bitmaps: Column) -> Column:
+    return F.coalesce(F.bit_or(bitmaps), F.lit(0).cast("long"))
 
 
 def merge_rollups(*cells: DataFrame) -> DataFrame:
@@ -69,14 +77,14 @@ def merge_rollups(*cells: DataFrame) -> DataFrame:
     for other in cells[1:]:
         both = both.unionByName(other)
     return both.groupBy("name", "hour", "bucket").agg(
-        F.sum("query_count").alias("query_count"), F.bitmap_or_agg("clients").alias("clients"))
+        F.sum("query_count").alias("query_count"), _union_of(F.col("clients")).alias("clients"))
 
 
 def hourly_from_cells(cells: DataFrame) -> DataFrame:
     """Queries and exact distinct clients per (name, hour)."""
     return cells.groupBy("name", "hour").agg(
         F.sum("query_count").alias("query_count"),
-        F.sum(F.bitmap_count("clients")).alias("client_count"))
+        F.sum(F.bit_count("clients")).alias("client_count"))
 
 
 def hourly_rollup(events: DataFrame, client: str = "client_id", unit: str = "hour") -> DataFrame:
@@ -90,8 +98,8 @@ def peak_clients(hourly: DataFrame) -> DataFrame:
 
 def distinct_clients(cells: DataFrame) -> DataFrame:
     """Exact distinct clients per name over all hours, by OR-ing the bitmaps."""
-    return (cells.groupBy("name", "bucket").agg(F.bitmap_or_agg("clients").alias("clients"))
-            .groupBy("name").agg(F.sum(F.bitmap_count("clients")).alias("clients")))
+    return (cells.groupBy("name", "bucket").agg(_union_of(F.col("clients")).alias("clients"))
+            .groupBy("name").agg(F.sum(F.bit_count("clients")).alias("clients")))
 
 
 def domain_totals(events: DataFrame) -> DataFrame:

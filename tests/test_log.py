@@ -234,3 +234,15 @@ def test_event_age_of_an_empty_log(spark):
     e = spark.createDataFrame([], SCHEMA)
     assert stats.event_age(e, str(T0)).first().age_seconds == -1
     assert stats.freshness_alarm(e, str(T0)).first().stale
+
+
+def test_stored_cells_are_small_whatever_the_client_numbers(spark):
+    """A sparse cell takes no more than its clients; missing and negative numbers are kept apart."""
+    ids = [None, -1, -64, -65, 0, 63, 63, 64, (1 << 62) + 63]
+    e = spark.createDataFrame([("a.b", "a.b", c, 1, T0) for c in ids] + [("c.d", "c.d", None, 1, T0)], SCHEMA)
+    cells = rollup.hourly_cells(e)
+    assert {len(r.clients) if isinstance(r.clients, bytes) else 8 for r in cells.collect()} == {8}
+    merged = rollup.merge_rollups(cells, rollup.hourly_cells(e))
+    assert {tuple(r)[0::2] + (r.query_count,) for r in rollup.hourly_from_cells(merged).drop("hour").select(
+        "name", "query_count", "client_count").collect()} == {("a.b", 7, 18), ("c.d", 0, 2)}
+    assert {tuple(r) for r in rollup.distinct_clients(merged).collect()} == {("a.b", 7), ("c.d", 0)}
