@@ -407,3 +407,12 @@ def test_related_names_with_memberships(spark, monkeypatch):
     want = sorted(map(tuple, relate.related_names(whole, known).collect()))
     forbid_pairs(monkeypatch)
     assert sorted(map(tuple, relate.related_names(edges, known, members).collect())) == want
+
+
+def test_edge_upsert_takes_the_strongest_new_edge_in_one_shuffle(spark):
+    base = spark.createDataFrame([edge("a", "b", strength=0.9), ("c", "d", "cname_to", 0.5, "old")], EDGES)
+    new = spark.createDataFrame([("a", "b", "cname_to", 0.1, "x"), ("a", "b", "cname_to", 0.3, "y"),
+                                 ("a", "b", "cname_to", None, "z"), ("c", "d", "cname_to", None, "z")], EDGES)
+    merged = relate.upsert_edges(base, new)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.from_id, r.strength, r.detail) for r in merged.collect()} == {("a", 0.3, "y"), ("c", None, None)}
