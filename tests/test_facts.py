@@ -309,3 +309,23 @@ def test_signals_of_a_page(spark):
     got = {r.name: r.signals and [s.kind for s in r.signals]
            for r in search.signals_of(top, signals).collect()}
     assert got == {"a": ["shared_cdn", "keyword"], "b": None}
+
+
+def test_walks_are_put_together_once_and_end_before_loops(spark, monkeypatch):
+    """No stored walk is longer than its chain, and one that has ended is not stored again."""
+    from dnslake.operators import chains
+    kept, cut = [], chains.cut_lineage
+
+    def watched(df):
+        df = cut(df)
+        if "path" in df.columns:
+            kept.extend((r.at, r.end, len(r.path)) for r in df.select("at", "end", "path").collect())
+        return df
+
+    monkeypatch.setattr(chains, "cut_lineage", watched)
+    links = [(f"t{i:02}", f"t{i + 1:02}") for i in range(20)] + [("t20", "l0")] + [
+        (f"l{i}", f"l{(i + 1) % 5}") for i in range(5)] + [(f"s{i}", f"s{i + 1}") for i in range(30)]
+    got = {r.at: (len(r.path), r.looped) for r in chains.walks(spark.createDataFrame(links, "at string, to string")).collect()}
+    assert got["t00"] == (25, True) and got["l3"] == (4, True) and got["s0"] == (30, False) and len(got) == 56
+    ended = [at for at, end, _ in kept if end is None]
+    assert max(n for *_, n in kept) <= 30 and len(ended) == len(set(ended)) == 56
