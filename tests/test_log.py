@@ -246,3 +246,17 @@ def test_stored_cells_are_small_whatever_the_client_numbers(spark):
     assert {tuple(r)[0::2] + (r.query_count,) for r in rollup.hourly_from_cells(merged).drop("hour").select(
         "name", "query_count", "client_count").collect()} == {("a.b", 7, 18), ("c.d", 0, 2)}
     assert {tuple(r) for r in rollup.distinct_clients(merged).collect()} == {("a.b", 7), ("c.d", 0)}
+
+
+def test_a_large_input_partition_is_dealt_out_before_its_cells_are_built(spark):
+    """Cells that hardly combine take memory by the event, so one partition of the input is dealt over tasks first."""
+    e = spark.range(4000).selectExpr(
+        "concat('h', id % 7) AS name", "id * 64 AS client_id", f"TIMESTAMP '{T0}' + make_interval(0, 0, 0, 0, 0, 0, id) "
+        "AS occurred_at").coalesce(1)
+    node = rollup.hourly_cells(e)._jdf.queryExecution().sparkPlan()
+    aggregates = []
+    while node.children().nonEmpty():
+        aggregates += [node] if "Aggregate" in node.nodeName() else []
+        node = node.children().head()
+    assert aggregates[-1].child().outputPartitioning().numPartitions() > 1
+    assert rollup.distinct_clients(rollup.hourly_cells(e)).agg(F.sum("clients")).first()[0] == 4000
