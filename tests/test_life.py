@@ -409,6 +409,17 @@ def test_related_names_with_memberships(spark, monkeypatch):
     assert sorted(map(tuple, relate.related_names(edges, known, members).collect())) == want
 
 
+@pytest.mark.parametrize("name", ["a0", "a1", "hub", "lone", "none"])
+@pytest.mark.parametrize("kinds, strength", [(None, 0.0), (["cname"], 0.0), (["same_asn"], 1.0), (None, 1.5)])
+def test_neighbours_with_memberships(spark, monkeypatch, name, kinds, strength):
+    edges, members, whole = stored(spark, CNAMES, NETS)
+    names = spark.createDataFrame([(f"{c}{i}", "new", "x") for c in "ab" for i in range(5)] + [("hub", "blocked", "y")],
+                                  "name string, status string, category string")
+    want = [relate.neighbours(whole, names, name, kinds, strength, k).collect() for k in (2, 60)]
+    forbid_pairs(monkeypatch)
+    assert [relate.neighbours(edges, names, name, kinds, strength, k, members).collect() for k in (2, 60)] == want
+
+
 def test_edge_upsert_takes_the_strongest_new_edge_in_one_shuffle(spark):
     base = spark.createDataFrame([edge("a", "b", strength=0.9), ("c", "d", "cname_to", 0.5, "old")], EDGES)
     new = spark.createDataFrame([("a", "b", "cname_to", 0.1, "x"), ("a", "b", "cname_to", 0.3, "y"),
