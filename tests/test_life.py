@@ -371,6 +371,44 @@ def test_pairs_of_one_large_group_are_spread_over_tasks(spark):
     assert sum(counts) == 4000 * 3999 // 2 and len(counts) > 3 and max(counts) < sum(counts) / 2
 
 
+@pytest.mark.parametrize("block", [1, 7, 2000])
+def test_runs_of_two_sizes_give_pairs_both_ways(spark, monkeypatch, block):
+    monkeypatch.setattr(networks, "RUN", 3)
+    members = spark.createDataFrame([(f"n{i:02}", g, i % 4 == 0) for g, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)],
+                                    "name string, asn long, odd boolean")
+    want = sorted((g, f"n{i:02}", f"n{j:02}") for g, n in ((1, 40), (2, 3)) for i in range(n) for j in range(n) if i != j)
+    got = networks.group_pairs(members, "asn", "name", block, both_ways=True)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    got = networks.group_pairs(members, "asn", "name", block, both_ways=True, apart="odd")
+    assert sorted(tuple(r) for r in got.collect()) == [w for w in want if int(w[1][1:]) % 4 or int(w[2][1:]) % 4]
+
+
+def test_edges_of_a_network_are_written_small(spark, tmp_path):
+    """Runs follow each other in the same order, so that a column file stores them once."""
+    asn = spark.range(3000).selectExpr("concat('n', id) AS name", "7L AS asn")
+    relate.same_asn_edges(asn).write.parquet(str(tmp_path / "edges"))
+    assert spark.read.parquet(str(tmp_path / "edges")).distinct().count() == 3000 * 2999
+    assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 3000 * 2999
+
+
+def test_names_in_several_networks_have_one_edge(spark):
+    """Only names that are both in several networks are grouped; the greatest shared number stays."""
+    import random
+    rng = random.Random(6)
+    rows = {(f"n{i}", g) for i in range(60) for g in rng.sample(range(1, 9), rng.choice([1, 1, 2, 4]))}
+    asn = spark.createDataFrame(sorted(rows), "name string, asn long")
+    for largest in (None, 15):
+        kept = {(n, g) for n, g in rows if largest is None or sum(h == g for _, h in rows) <= largest}
+        want = {}
+        for a, g in kept:
+            for b, h in kept:
+                if g == h and a != b:
+                    want[a, b] = max(g, want.get((a, b), 0))
+        got = relate.same_asn_edges(asn, largest).collect()
+        assert len(got) == len(want) and {(r.from_id, r.to_id): r.detail for r in got} == {
+            p: f'{{"asn":{g}}}' for p, g in want.items()}
+
+
 def test_both_directions_with_memberships(spark):
     edges, members, whole = stored(spark, CNAMES, NETS)
     got = [tuple(r) for r in relate.both_directions(edges, members).collect()]
