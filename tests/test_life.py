@@ -391,6 +391,14 @@ def test_edges_of_a_network_are_written_small(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "edges").glob("*.parquet")) < 3000 * 2999
 
 
+def test_both_directions_of_a_network_are_written_small(spark, tmp_path):
+    members = networks.memberships(spark.range(3000).selectExpr("concat('n', id) AS name", "7L AS asn"))
+    edges = spark.createDataFrame(CNAMES, EDGES)
+    relate.both_directions(edges, members).write.parquet(str(tmp_path / "ways"))
+    assert spark.read.parquet(str(tmp_path / "ways")).distinct().count() == 3000 * 2999 + 2 * len(CNAMES)
+    assert sum(f.stat().st_size for f in (tmp_path / "ways").glob("*.parquet")) < 3000 * 2999
+
+
 def test_names_in_several_networks_have_one_edge(spark):
     """Only names that are both in several networks are grouped; the greatest shared number stays."""
     import random
