@@ -473,3 +473,31 @@ def test_edge_upsert_takes_the_strongest_new_edge_in_one_shuffle(spark):
     merged = relate.upsert_edges(base, new)
     assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {(r.from_id, r.strength, r.detail) for r in merged.collect()} == {("a", 0.3, "y"), ("c", None, None)}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_edges_of_networks_are_merged_where_they_are_made(spark, monkeypatch, block):
+    """Pairs of networks, which grow with their square, are not shuffled; other edges and shared pairs are."""
+    monkeypatch.setattr(relate, "group_pairs", lambda *a, made=networks.group_pairs, **k: made(*a, block=block, **k))
+    for nets in (NETS, [n for n in NETS if n != ("a0", 8)]):
+        members = spark.createDataFrame(nets, "name string, asn long")
+        others = spark.createDataFrame([*CNAMES, edge("a0", "a1", "cname_to", 0.2)], EDGES)
+        plain = others.unionByName(relate.same_asn_edges(members))
+        base = others.unionByName(relate.same_asn_edges(members, placed=True), allowMissingColumns=True)
+        assert sorted(map(str, base.drop(*relate.PLACE).collect())) == sorted(map(str, plain.collect()))
+        def changed(rows):
+            up = rows.where("from_id < to_id").withColumns({"strength": F.lit(0.25), "detail": F.lit("new")})
+            most = rows.where("from_id < 'a2' and to_id < 'a3'").withColumn("strength", F.lit(0.5))
+            loops = rows.withColumn("to_id", F.col("from_id"))
+            return up.unionByName(most).unionByName(loops).unionByName(up.where("from_id > 'a0'"))
+        merged = relate.upsert_edges(base, changed(base))
+        want = relate.upsert_edges(plain, changed(plain))
+        assert merged.columns == want.columns
+        assert sorted(map(str, merged.collect())) == sorted(map(str, want.collect()))
+        assert sorted(map(str, relate.upsert_edges(base, changed(plain)).collect())) == sorted(map(str, want.collect()))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "same_asn" in plan
+    physical = relate.upsert_edges(*[f.where("kind = 'same_asn'") for f in (base, changed(base))])
+    physical = physical._jdf.queryExecution().executedPlan().toString()
+    before_sort = physical.split("SortAggregate")[2].split("Union")[0]
+    assert "Exchange" not in before_sort
