@@ -374,6 +374,7 @@ def test_pairs_of_one_large_group_are_spread_over_tasks(spark):
 @pytest.mark.parametrize("block", [1, 7, 2000])
 def test_runs_of_two_sizes_give_pairs_both_ways(spark, monkeypatch, block):
     monkeypatch.setattr(networks, "RUN", 3)
+    monkeypatch.setattr(networks, "SHORT_RUN", 2)
     members = spark.createDataFrame([(f"n{i:02}", g, i % 4 == 0) for g, n in ((1, 40), (2, 3), (3, 1)) for i in range(n)],
                                     "name string, asn long, odd boolean")
     want = sorted((g, f"n{i:02}", f"n{j:02}") for g, n in ((1, 40), (2, 3)) for i in range(n) for j in range(n) if i != j)
